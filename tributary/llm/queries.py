@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import decontaminate, line_dedup, quality_rules, url_filters
 from .common import table
 
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -17,9 +18,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select("doc_id", *BASE_COLUMNS, "base_failed", "kept")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    df = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return df.select("doc_id", "contaminated", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("items"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = url_filters.url_filters(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return df.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return df.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules}
+    return {f.__name__: f for f in (op1_quality_rules, op4_decontaminate, op8_url_filters, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle()}
+    return {"op1_quality_rules": quality_rules.oracle(), "op4_decontaminate": decontaminate.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
