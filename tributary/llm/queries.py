@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality_rules, url_filters
+from . import byte_bpe, decontaminate, line_dedup, quality_rules, url_filters
 from .common import table
 
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -24,6 +24,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "contaminated", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("items"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    df = byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=False)
+    return df.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = url_filters.url_filters(table(spark, sf_dir, "pages").select("page_id", "url"))
     return df.select("page_id", "host", "path", "rule", "verdict")
@@ -35,7 +43,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_decontaminate, op8_url_filters, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_decontaminate, op7_byte_bpe, op8_url_filters, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
