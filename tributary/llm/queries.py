@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, quality_rules, url_filters
+from . import byte_bpe, chat_format, decontaminate, line_dedup, private_data, quality_rules, url_filters
 from .common import table
 
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -18,6 +18,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select("doc_id", *BASE_COLUMNS, "base_failed", "kept")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat_format.digests(chat_format.format_chats(turns))
+
+
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = private_data.find_private_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = ", ".join(f"'{k}'" for k in private_data.BASE_KINDS)
+    said = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    return df.select(
+        "doc_id",
+        *[F.expr(f"CAST(size(filter(pii, s -> s.kind = '{k}')) AS LONG)").alias(f"n_{k}") for k in private_data.BASE_KINDS],
+        F.expr(f"sha2({said.format(f'filter(pii, s -> s.kind IN ({base}))')}, 256)").alias("base_sha256"),
+        F.expr(said.format("pii")).alias("spans"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     df = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -43,7 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_decontaminate, op7_byte_bpe, op8_url_filters, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_private_data, op4_decontaminate, op7_byte_bpe, op8_url_filters, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
