@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, line_dedup, private_data, quality_rules, simhash, url_filters
+from . import byte_bpe, chat_format, decontaminate, line_dedup, private_data, quality_rules, simhash, substring_dedup, url_filters
 from .common import table
 
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -42,6 +42,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "contaminated", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("items"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return df.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -66,8 +71,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_private_data, op4_decontaminate, op6_simhash, op7_byte_bpe, op8_url_filters, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_private_data, op4_decontaminate, op5_substring_dedup, op6_simhash, op7_byte_bpe, op8_url_filters, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle(), "op4_decontaminate": decontaminate.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+    return {"op1_quality_rules": quality_rules.oracle(), "op4_decontaminate": decontaminate.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
