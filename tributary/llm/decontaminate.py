@@ -40,8 +40,9 @@ def allowed(length: str) -> str:
 
 def seeds(df: DataFrame, hashes: str, place: str, carried: list[str]) -> DataFrame:
     """A row for each place and mask: ``seed`` besides the carried columns; null where the mask runs over the end."""
-    # posexplode and the projections after it stay in one generated loop, in which the array is only pointed to
-    df = df.select(*carried, F.posexplode(hashes).alias(place, "__dc_x"))
+    # The generators and projections here stay in one generated loop, in which the array is only pointed to. An outer one:
+    # else the optimizer would test the array's size below it, which makes the array twice.
+    df = df.select(*carried, F.posexplode_outer(hashes).alias(place, "__dc_x"))
     masks = [F.expr(f"CASE WHEN {place} + {m[-1]} < size({hashes}) THEN xxhash64({k}, {', '.join(f'get({hashes}, {place} + {o})' for o in m)}) END") for k, m in enumerate(MASKS)]
     return df.select(*carried, place, F.explode(F.array(*masks)).alias("seed")).where("seed IS NOT NULL")
 
@@ -52,10 +53,12 @@ def found_in(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = seeds(docs, "dh", "p", [*KEY, "dh"]).join(F.broadcast(bench), "seed")
     # the tokens from `a` before the meeting to `b` after it, in both
     hits = hits.withColumns({"a": F.expr(f"least(p, q, {WINDOW - 1})"), "b": F.expr(f"least(size(dh) - p, size(ih) - q, {WINDOW})"), "w": F.expr(f"least({WINDOW}, size(ih))")})
-    hits = hits.select(*KEY, "item_id", "w", F.expr("slice(dh, p - a + 1, a + b)").alias("x"), F.expr("slice(ih, q - a + 1, a + b)").alias("y")).where("size(x) >= w")
-    alike = F.expr("zip_with(x, y, (s, t) -> CASE WHEN s = t THEN 0 ELSE 1 END)")
-    hits = hits.select(*KEY, "item_id", "w", alike.alias("e"))
-    best = f"exists(sequence(1, size(e) - w + 1), k -> aggregate(slice(e, k, w), 0, (s, t) -> s + t) <= {allowed('w')})"
+    # A generator hands on the slices alone: a projection would be merged with the comparison after it, which is not
+    # compiled, so that every meeting of a long document would be copied with all its tokens.
+    slices = F.struct(F.expr("slice(dh, p - a + 1, a + b)").alias("x"), F.expr("slice(ih, q - a + 1, a + b)").alias("y"))
+    hits = hits.select(*KEY, "item_id", "w", F.inline(F.array(slices))).where("size(x) >= w")
+    unlike = "zip_with(x, y, (s, t) -> CASE WHEN s = t THEN 0 ELSE 1 END)"
+    best = f"exists(array({unlike}), e -> exists(sequence(1, size(e) - w + 1), k -> aggregate(slice(e, k, w), 0, (s, t) -> s + t) <= {allowed('w')}))"
     return hits.where(best).select(*KEY, "item_id").distinct()
 
 
