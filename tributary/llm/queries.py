@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, line_dedup, private_data, quality_rules, simhash, substring_dedup, url_filters
+from . import byte_bpe, chat_format, decontaminate, line_dedup, private_data, quality_classifier, quality_rules, simhash, substring_dedup, url_filters
 from .common import table
 
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -65,13 +65,17 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_private_data, op4_decontaminate, op5_substring_dedup, op6_simhash, op7_byte_bpe, op8_url_filters, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_private_data, op4_decontaminate, op5_substring_dedup, op6_simhash, op7_byte_bpe, op8_url_filters, op9_quality_classifier, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
