@@ -1 +1 @@
-
+"""Documents, their plans and their runs."""
