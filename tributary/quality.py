@@ -153,8 +153,10 @@ def run_suites(suites: list[dict], frames: dict[str, DataFrame], now: datetime |
         slots: list[list[Column] | str] = []
         for c in checks:
             try:
-                slots.append(metrics(c))
-                df.agg(*slots[-1]) if slots[-1] else None  # a wrong column fails its own check alone
+                wanted = metrics(c)
+                if wanted:
+                    df.agg(*wanted)  # analysed alone: a wrong column fails its own check only
+                slots.append(wanted)
             except Exception as e:
                 slots.append(str(e)[:300])
         flat = [m for x in slots if isinstance(x, list) for m in x]
