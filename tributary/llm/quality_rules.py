@@ -1,6 +1,6 @@
 """Quality rules [native]: a threshold table compiled into one projection.
 
-Each rule is a row ``(name, feature, low, high)``; a document is kept if every feature lies inside its bounds. All
+Each rule is a row ``(name, value, of, low, high)``; a document is kept if every ratio lies inside its bounds. All
 features are SQL expressions over arrays of the document's own words and lines, so a row is judged where it was read:
 no shuffle, no Python.
 
@@ -32,28 +32,29 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """low <= feature <= high; None: unbounded on that side."""
+    """low <= value / of <= high; None: unbounded on that side. Without anything to divide by the rule fails."""
 
     name: str
-    feature: str
+    value: str
+    of: str = "1"
     low: float | None = None
     high: float | None = None
 
 
 #: Production thresholds. Ratios are of words, characters or lines as the feature names say.
 RULES = (
-    Rule("mean_word_length", "word_chars / n_words", 2.0, 15.0),
-    Rule("symbols_per_word", "n_symbols / n_words", None, 0.25),
-    Rule("shouted_marks_per_word", "n_exclaims / n_words", None, 0.5),
-    Rule("stop_words", "n_stop_words", 2, None),
-    Rule("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", None, 0.7),
+    Rule("mean_word_length", "word_chars", "n_words", 2.0, 15.0),
+    Rule("symbols_per_word", "n_symbols", "n_words", None, 0.25),
+    Rule("shouted_marks_per_word", "n_exclaims", "n_words", None, 0.5),
+    Rule("stop_words", "n_stop_words", "1", 2, None),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 0.7),
 )
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def failed(rule: Rule) -> Column:
-    value = F.expr(f"CAST({rule.feature} AS DOUBLE)")
+    value = F.expr(f"try_divide(CAST({rule.value} AS DOUBLE), {rule.of})")
     bad = F.lit(False)
     if rule.low is not None:
         bad = bad | (value < rule.low)
@@ -107,7 +108,7 @@ def oracle() -> str:
     stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
     rules = []
     for r in RULES:
-        feature = r.feature.replace(" / ", "::DOUBLE / ")
+        feature = f"{r.value}::DOUBLE / nullif({r.of}, 0)"
         if r.low is not None:
             rules.append(f"{feature} >= {r.low}")
         if r.high is not None:
