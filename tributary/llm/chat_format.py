@@ -149,3 +149,18 @@ def digests(chats: DataFrame) -> DataFrame:
 
     kind = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return chats.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, kind)
+
+
+def oracle() -> str:
+    """The query in DuckDB's SQL: what reading back must give, and the formatted length from counts of control strings."""
+    escaped = lambda c: f"length({c}) + length({c}) - length(replace({c}, chr(92), ''))" + "".join(f" + (length({c}) - length(replace({c}, '{s}', ''))) // {len(s)}" for s in CONTROL)
+    marks = len(TURN) + 1 + len(END)
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST({len(BEGIN)} + sum({marks} + {escaped('role')} + length(role) - length(replace(role, chr(10), '')) + {escaped('text')}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""

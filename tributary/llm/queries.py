@@ -79,4 +79,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle(), "op4_decontaminate": decontaminate.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+    return {
+        "op1_quality_rules": quality_rules.oracle(),
+        "op2_chat_format": chat_format.oracle(),
+        "op4_decontaminate": decontaminate.ORACLE,
+        "op5_substring_dedup": substring_dedup.ORACLE,
+        "op8_url_filters": url_filters.oracle(),
+        "op10_line_dedup": line_dedup.ORACLE,
+    }

@@ -80,3 +80,28 @@ def url_filters(pages: DataFrame, rules=RULES, url: str = "url", depth: int = 4,
     out = pages.join(judged, ["host", "__uf_s"], "left")
     by_method = F.when((F.col("host") != "") & (F.col("blocked_share") > reject), "block").otherwise("allow")
     return out.withColumn("verdict", F.coalesce("__uf_v", by_method)).select(*[c for c in pages.columns if not c.startswith("__uf_")], "template", "blocked_share", "verdict")
+
+
+def oracle(rules=RULES, depth: int = 4, many: int = 5, min_share: float = 0.02, merge_z: float = 1.96, strength: float = 4.0, prior: float = 0.2, reject: float = 0.5) -> str:
+    """The query in DuckDB's SQL: a common table expression for each step of each level."""
+    fits = [(v, h + p, f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')") for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))]
+    levels = []
+    for d in range(depth):
+        levels.append(rf"""
+s{d} AS (SELECT *, segs[{d + 1}] AS seg FROM t{d}),
+c{d} AS (SELECT host, tmpl, seg, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM s{d} WHERE seg IS NOT NULL GROUP BY ALL),
+k{d} AS (SELECT *, count(*) OVER w AS kinds, sum(n) OVER w AS all_n, sum(l) OVER w AS all_l, sum(b) OVER w AS all_b FROM c{d} WINDOW w AS (PARTITION BY host, tmpl)),
+z{d} AS (SELECT *, abs(b / nullif(l, 0) - (all_b - b) / nullif(all_l - l, 0)) / nullif(sqrt(greatest((all_b / nullif(all_l, 0)) * (1 - all_b / nullif(all_l, 0)), 1e-9) * (1 / nullif(l, 0) + 1 / nullif(all_l - l, 0))), 0) AS z FROM k{d}),
+t{d + 1} AS (SELECT s.host, s.segs, s.n, s.l, s.b, CASE WHEN s.seg IS NULL THEN s.tmpl ELSE s.tmpl || '/' || CASE WHEN kinds >= {many} AND (z.n < {min_share} * all_n OR coalesce(z < {merge_z}, false)) THEN '*' ELSE s.seg END END AS tmpl
+  FROM s{d} s LEFT JOIN z{d} z ON s.host = z.host AND s.tmpl = z.tmpl AND s.seg = z.seg)""")
+    return rf"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+p AS (SELECT *, CASE {' '.join(f"WHEN {c} THEN '{n}'" for _, n, c in fits)} END AS rule, CASE {' '.join(f"WHEN {c} THEN '{v}'" for v, _, c in fits)} END AS v,
+  list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^[0-9a-fA-F-]{{16,}}$') OR length(x) > 60 THEN '{{n}}' ELSE regexp_replace(x, '[0-9]+', '{{n}}', 'g') END) AS look FROM h),
+q AS (SELECT *, CASE WHEN len(look) > {depth} THEN list_concat(look[1:{depth - 1}], ['**']) ELSE look END AS segs FROM p),
+t0 AS (SELECT host, segs, count(*) AS n, count(v) AS l, count(*) FILTER (WHERE v = 'block') AS b, '' AS tmpl FROM q GROUP BY host, segs),{','.join(levels)},
+f AS (SELECT host, tmpl, (sum(b) + {strength * prior}) / (sum(l) + {strength}) AS share FROM t{depth} GROUP BY ALL)
+SELECT page_id, q.host, path, rule, coalesce(v, CASE WHEN q.host <> '' AND share > {reject} THEN 'block' ELSE 'allow' END) AS verdict
+FROM q JOIN t{depth} t ON q.host = t.host AND q.segs = t.segs JOIN f ON t.host = f.host AND t.tmpl = f.tmpl
+"""
