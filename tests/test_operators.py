@@ -122,7 +122,8 @@ def test_as_of(spark, direction, expected, on):
 def test_lateral_limit(spark):
     l, r = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, 5), (1, 7), (1, 6)], "lid int, v int")
     p = {"left": "l", "right": "r", "join_type": "left", "on": ["l.id = r.lid"], "order_by": [{"column": "v", "direction": "desc"}], "limit": 2}
-    assert rows(run(spark, "lateralJoin", p, l=l, r=r)) == [(1, 1, 6), (1, 1, 7), (2, None, None)]
+    for on in (["l.id = r.lid"], ["l.id <= r.lid", "l.id >= r.lid"]):
+        assert rows(run(spark, "lateralJoin", {**p, "on": on}, l=l, r=r)) == [(1, 1, 6), (1, 1, 7), (2, None, None)]
 
 
 def test_pivot_counts_none_as_zero_and_skips_null(spark):

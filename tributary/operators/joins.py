@@ -143,7 +143,8 @@ def as_of_join(ctx, p, inputs) -> DataFrame:
 def lateral_join(ctx, p, inputs) -> DataFrame:
     """For each left row the right rows that meet ``on``; with ``order_by`` and ``limit``, the first of them.
 
-    ``on`` may use both sides by asset name. A limit is planned as a rank within the left row, never as a loop.
+    ``on`` may use both sides by asset name. A limit is planned as a rank, never as a loop: under equalities, and an order of
+    right columns, right rows are ranked by key before they are joined; otherwise within each left row.
     """
     from ..functions.expressions import ordering
 
@@ -156,6 +157,12 @@ def lateral_join(ctx, p, inputs) -> DataFrame:
         return a.crossJoin(b) if not on else a.join(b, all_of(on), kind if kind != "cross" else "inner")
     if kind not in ("inner", "left"):
         raise PipelineError(BAD_PARAMETER, "lateralJoin: a limit needs an inner or left join")
+    names = [c["column"] if isinstance(c, dict) else c for c in p.get("order_by") or []]
+    equal = equal_keys(on, p["left"], p["right"], left.columns, right.columns)
+    if equal and names and all(c in right.columns for c in names):
+        by = Window.partitionBy(*[F.col(identifier(k)) for _, k in equal]).orderBy(*ordering(p["order_by"]))
+        best = right.withColumn("__nth", F.row_number().over(by)).where(F.col("__nth") <= int(p["limit"])).drop("__nth")
+        return left.alias(p["left"]).join(best.alias(p["right"]), all_of(on), kind)
     a = left.withColumn("__lateral", F.monotonically_increasing_id()).alias(p["left"])
     df = a.join(right.withColumn("__hit", F.lit(1)).alias(p["right"]), all_of(on) if on else F.lit(True), kind)
     keys = ordering(p.get("order_by") or [c for c in right.columns if c not in left.columns])
