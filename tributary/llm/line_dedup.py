@@ -33,13 +33,18 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def line_ids(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row for each line with a word: document, place among such lines, name and words; no text."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    lines = docs.select(*KEY, F.posexplode(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("seq", "line"))
-    return lines.select(*KEY, "seq", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.size(F.array_remove(F.split("line", WORD_GAP), "")).alias("words"))
+    # An outer generator: for another the optimizer would test the array's size below it, which makes the array twice.
+    lines = docs.select(*KEY, F.posexplode_outer(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("seq", "line"))
+    return lines.where("line IS NOT NULL").select(*KEY, "seq", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.size(F.array_remove(F.split("line", WORD_GAP), "")).alias("words"))
 
 
 def classes(names: DataFrame) -> DataFrame:
-    """Names that occur twice or more, each with its first place. Partial aggregation keeps a hot name small."""
-    return names.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "seq")).alias("first")).where("n > 1").drop("n")
+    """Names that occur twice or more, each with its first place. Partial aggregation keeps a hot name small.
+
+    Checkpointed, so that a join with it shuffles it anew: adaptive execution splits a hot name's rows only in a join whose
+    two sides come straight from a shuffle.
+    """
+    return cut(names.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "seq")).alias("first")).where("n > 1").drop("n"))
 
 
 def joined_names(names: DataFrame, offset: int) -> DataFrame:
