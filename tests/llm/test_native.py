@@ -121,7 +121,7 @@ def test_decontamination_against_brute_force(spark):
         docs.append((k, " ".join(body[:at] + [w.upper() + "," for w in cut] + body[at:])))
     docs += [(None, items[0][1]), (None, "clean"), (900, None), (901, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (200_000, 30):
+    for block in (50_000, 30):
         got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_tokens=block).collect()
         assert len(got) == len(docs)
         for x in got:

@@ -49,20 +49,22 @@ def seeds(df: DataFrame, hashes: str, place: str, carried: list[str]) -> DataFra
 
 def found_in(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Verified (document, item): docs with the key and ``dh``, token hashes; items with ``item_id`` and ``ih``."""
-    bench = seeds(items, "ih", "q", ["item_id", "ih"])
+    # of an item only the tokens near the seed travel, so that a long item's rows stay small
+    near = f"slice(ih, greatest(q - {WINDOW - 1}, 0) + 1, {2 * WINDOW - 1}) AS ctx"
+    bench = seeds(items, "ih", "q", ["item_id", "ih"]).selectExpr("seed", "item_id", "q", "size(ih) AS m", near)
     hits = seeds(docs, "dh", "p", [*KEY, "dh"]).join(F.broadcast(bench), "seed")
     # the tokens from `a` before the meeting to `b` after it, in both
-    hits = hits.withColumns({"a": F.expr(f"least(p, q, {WINDOW - 1})"), "b": F.expr(f"least(size(dh) - p, size(ih) - q, {WINDOW})"), "w": F.expr(f"least({WINDOW}, size(ih))")})
+    hits = hits.withColumns({"a": F.expr(f"least(p, q, {WINDOW - 1})"), "b": F.expr(f"least(size(dh) - p, m - q, {WINDOW})"), "w": F.expr(f"least({WINDOW}, m)")})
     # A generator hands on the slices alone: a projection would be merged with the comparison after it, which is not
     # compiled, so that every meeting of a long document would be copied with all its tokens.
-    slices = F.struct(F.expr("slice(dh, p - a + 1, a + b)").alias("x"), F.expr("slice(ih, q - a + 1, a + b)").alias("y"))
+    slices = F.struct(F.expr("slice(dh, p - a + 1, a + b)").alias("x"), F.expr(f"slice(ctx, least(q, {WINDOW - 1}) - a + 1, a + b)").alias("y"))
     hits = hits.select(*KEY, "item_id", "w", F.inline(F.array(slices))).where("size(x) >= w")
     unlike = "zip_with(x, y, (s, t) -> CASE WHEN s = t THEN 0 ELSE 1 END)"
     best = f"exists(array({unlike}), e -> exists(sequence(1, size(e) - w + 1), k -> aggregate(slice(e, k, w), 0, (s, t) -> s + t) <= {allowed('w')}))"
     return hits.where(best).select(*KEY, "item_id").distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_tokens: int = 200_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_tokens: int = 50_000) -> DataFrame:
     """docs with ``item_ids``, the sorted ids of the items found in each, and ``contaminated``."""
     docs = docs.drop("item_ids", "contaminated")
     rows = docs.withColumns({"__dc_d": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)), "__dc_t": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
