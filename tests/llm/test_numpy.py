@@ -139,10 +139,10 @@ def kept_words(docs, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("group,batch", [(2_000_000, 1_500_000), (300, 500)])
+@pytest.mark.parametrize("group,batch", [(2_000_000, 4_000_000), (300, 2_000)])
 def test_substring_dedup(spark, monkeypatch, group, batch):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
-    monkeypatch.setattr(substring_dedup, "BATCH_WORDS", batch)
+    monkeypatch.setattr(substring_dedup, "BATCH_CHARS", batch)
     r = random.Random(6)
     shared = [words(r.randrange(10, 30), 70 + k) for k in range(6)]
     docs = [(k, " ".join(sum((r.choice([*shared, words(r.randrange(20), 1000 + 50 * k + j, 3000)]) for j in range(4)), []))) for k in range(80)]
@@ -151,6 +151,16 @@ def test_substring_dedup(spark, monkeypatch, group, batch):
     assert sorted(map(tuple, got), key=repr) == kept_words(docs, 13)
 
 
+def test_batches_follow_the_running_total(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BATCH_CHARS", 100)
+    rows = spark.createDataFrame([(k, "x" * (k % 37)) for k in range(300)] + [(7, "y" * 500)], "__sd_id long, __sd_text string")
+    bounds = substring_dedup.batch_bounds(rows).tolist()
+    sizes = [0] * (len(bounds) + 1)
+    for i, t in rows.collect():
+        sizes[sum(b <= i for b in bounds)] += len(t)
+    assert all(s < 100 + 37 or k == sum(b <= 7 for b in bounds) for k, s in enumerate(sizes)) and len(bounds) > 40
+
+
 def test_substring_dedup_without_rows_or_words(spark):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
     assert [tuple(x) for x in substring_dedup.remove_repeats(spark.createDataFrame([(1, None), (1, " ")], "doc_id long, text string")).collect()] == [(1, 0, 0, "")] * 2

@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_arrays as W
+from .common import cut
 
 SLOTS = 4096
 GROUP = 2_000_000
-BATCH_WORDS = 1_500_000
+BATCH_CHARS = 4_000_000
 LOWEST = -(2**63)
 
 
@@ -93,15 +94,40 @@ def prefix_counts(docs: DataFrame, window: int) -> np.ndarray:
     return out
 
 
+def batch_bounds(rows: DataFrame) -> np.ndarray:
+    """The ids at which new batches begin, so that a batch holds about ``BATCH_CHARS`` characters, or one id.
+
+    Ids and lengths are sorted by range; sums by partition give each partition its place in the running total, and each
+    then names its own bounds. The driver holds one number a partition and one a batch.
+    """
+    ids = rows.select("__sd_id", F.length("__sd_text").cast("long").alias("n"))
+    ids = cut(ids.repartitionByRange("__sd_id").sortWithinPartitions("__sd_id").withColumn("p", F.spark_partition_id()))
+    sums = sorted(map(tuple, ids.groupBy("p").agg(F.sum("n")).collect()))
+    before = dict(zip([p for p, _ in sums], np.cumsum([0, *[n for _, n in sums]]).tolist(), strict=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = last = None
+        for batch in batches:
+            i, n, p = (c.to_numpy() for c in batch.columns)
+            if not len(i):
+                continue
+            if total is None:  # a partition begins a batch, as its predecessor's last turn isn't known here
+                total, last = before[int(p[0])], -1 if before[int(p[0])] else 0
+            upto = total + np.concatenate([[0], np.cumsum(n)])
+            turn = upto[:-1] // BATCH_CHARS
+            earlier = np.concatenate([[last], turn[:-1]])
+            total, last = int(upto[-1]), int(turn[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(i[turn > earlier])], ["bound"])
+
+    return np.array(sorted({b for (b,) in ids.mapInArrow(run, "bound long").collect()}), np.int64)
+
+
 def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The ids with ``n_words``, ``n_removed`` and ``kept``, the words left, joined by one space."""
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)).alias("__sd_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__sd_text"))
     counts = prefix_counts(rows, window)
     first, splits = plan(counts)
-    n_batches = max(1, int(counts.sum()) // BATCH_WORDS)
-    shares = [k / n_batches for k in range(1, n_batches)]
-    cuts = rows.agg(F.percentile_approx("__sd_id", shares, max(10_000, 10 * n_batches))).first()[0] if shares else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    bounds = batch_bounds(rows)
 
     @F.pandas_udf("int")
     def batch_of(ids: pd.Series) -> pd.Series:
