@@ -180,9 +180,10 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := state(edges)) != last and now[0]:
         last = now
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
+        # checkpointed minima: a join with them can split the many edges of one node
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"))
         large = both.where("v > u").join(low, "u").selectExpr("v AS u", "m AS v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").selectExpr("v AS u", "m AS v").where("u != v").unionByName(down.selectExpr("u", "m AS v")).distinct()
         edges = cut(small)
     return edges.selectExpr("u AS node", "v AS root")
