@@ -60,7 +60,8 @@ def templates(paths: DataFrame, depth: int, many: int, min_share: float, merge_z
         # share of blocked pages of the branch against that of its siblings, both labelled
         z = "try_divide(abs(try_divide(blocked, labelled) - try_divide(rest_b, rest_l)), sqrt(greatest(p * (1 - p), 1e-9) * (try_divide(1, labelled) + try_divide(1, rest_l))))"
         alike = f"(kinds >= {many} AND coalesce({z} < {merge_z}, false))"
-        token = child.select("host", "tmpl", "seg", F.expr(f"CASE WHEN {rare} OR {alike} THEN '*' ELSE seg END").alias("token"))
+        # checkpointed: a join with it can split the rows of a hot host's branch
+        token = cut(child.select("host", "tmpl", "seg", F.expr(f"CASE WHEN {rare} OR {alike} THEN '*' ELSE seg END").alias("token")))
         df = cut(df.join(token, ["host", "tmpl", "seg"], "left").withColumn("tmpl", F.expr("CASE WHEN seg IS NULL THEN tmpl ELSE concat(tmpl, '/', token) END")).drop("token", "seg"))
     return df
 
