@@ -30,9 +30,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated lines go; a document that loses all of its lines stays, empty."""
+    """Every later copy of a line goes, short ones too; a document that loses all of its lines stays, empty."""
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__row")
-    df = line_dedup.line_dedup(docs.select("doc_id", "text", rest))
+    df = line_dedup.line_dedup(docs.select("doc_id", "text", rest), min_lines=1, min_words=1)
     left = {c: F.col(f"__row.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("text")}
     if "n_chars" in left:
         left["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("__row.n_chars"))

@@ -8,7 +8,8 @@ next round only if its name occurs twice, so after the first round only repeated
 
 Rule: a line is deleted if it lies in ``min_lines`` consecutive lines that also occur earlier, or if it has
 ``min_words`` words and occurs earlier. "Earlier" is the order of (doc_id, hash of the text, line). Unions of such
-windows are the maximal repeated runs. Each first copy stays. Lines without a word are never deleted.
+windows are the maximal repeated runs. Each first copy stays. Lines without a word are never deleted. With 1 and 1 every
+later copy of a line goes, whatever its length: a short line alone is a repeated run too.
 
 Defined cases: null text is empty text; a null doc_id sorts before all others; rows equal in doc_id and text are one
 document (each such row gets the same result); an empty table gives an empty result. Names hold 96 bits.
@@ -112,3 +113,13 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n,
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
 """
+
+#: Every later copy of a line, for min_lines 1 and min_words 1.
+ORACLE_EVERY_LINE = r"""
+WITH s AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+m AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS said FROM s),
+o AS (SELECT *, said AND row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AS gone FROM m)
+SELECT doc_id, count(*) FILTER (WHERE said) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM o GROUP BY doc_id
+"""

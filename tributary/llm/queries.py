@@ -74,8 +74,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_line_dedup_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=1, min_words=1)
+    return df.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_private_data, op4_decontaminate, op5_substring_dedup, op6_simhash, op7_byte_bpe, op8_url_filters, op9_quality_classifier, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_private_data, op4_decontaminate, op5_substring_dedup, op6_simhash, op7_byte_bpe, op8_url_filters, op9_quality_classifier, op10_line_dedup, op10_line_dedup_every_line)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -86,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substring_dedup.ORACLE,
         "op8_url_filters": url_filters.oracle(),
         "op10_line_dedup": line_dedup.ORACLE,
+        "op10_line_dedup_every_line": line_dedup.ORACLE_EVERY_LINE,
     }
