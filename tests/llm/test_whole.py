@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from tributary.plans.catalogue import QUERIES
 
 
 def test_pipeline_deletes_short_repeated_lines(spark):
@@ -13,3 +14,10 @@ def test_pipeline_deletes_short_repeated_lines(spark):
     want = {0: docs[0][1]} | {k: f"{k} begins here\nand {k} ends\n" for k in range(1, 5)}
     assert {k: t for k, (t, _) in got.items()} == want
     assert all(n == len(t) for k, (t, n) in got.items() if k)
+
+
+def test_order_by_of_the_whole_table(spark):
+    d = "/root/testdata/sf0.01"
+    got = [(r.bal, r.c_custkey) for r in QUERIES["order_by_nulls_all"](spark, d).collect()]
+    rows = [(None if r.c_custkey % 7 == 0 else r.c_acctbal, r.c_custkey) for r in spark.read.parquet(f"{d}/customer.parquet").collect()]
+    assert len(rows) > 300 and got == sorted(rows, key=lambda x: (x[0] is not None, -(x[0] or 0), x[1]))

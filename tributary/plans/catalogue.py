@@ -135,6 +135,7 @@ simple("distinct_columns", "distinct", {"from": "orders", "columns": ["o_custkey
 # Order, limits, partitions
 
 simple("order_by_nulls", "addColumns", {"from": "customer", "columns": [{"name": "bal", "expression": "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END"}]}, "SELECT * FROM (SELECT *, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal FROM customer) ORDER BY bal DESC NULLS FIRST, c_custkey LIMIT 300", [("orderBy", {"columns": [{"column": "bal", "direction": "desc", "nulls": "first"}, "c_custkey"]}), ("limit", {"count": 300})])
+simple("order_by_nulls_all", "addColumns", {"from": "customer", "columns": [{"name": "bal", "expression": "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END"}]}, "SELECT *, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal FROM customer ORDER BY bal DESC NULLS FIRST, c_custkey", [("orderBy", {"columns": [{"column": "bal", "direction": "desc", "nulls": "first"}, "c_custkey"]})])
 simple("limit_ordered", "orderBy", {"from": "part", "columns": ["p_name", "p_partkey"]}, "SELECT * FROM part ORDER BY p_name, p_partkey LIMIT 50", [("limit", {"count": 50})])
 simple("top_k", "orderBy", {"from": "orders", "columns": [{"column": "o_totalprice", "direction": "desc"}, "o_orderkey"]}, "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", [("limit", {"count": 20})])
 simple("offset", "orderBy", {"from": "supplier", "columns": ["s_suppkey"]}, "SELECT * FROM supplier ORDER BY s_suppkey OFFSET 10", [("offset", {"count": 10})])
