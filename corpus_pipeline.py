@@ -46,7 +46,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    df = decontaminate.contaminated(wrapped(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    df = decontaminate.contaminated(wrapped(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"), short_items=True)
     return df.where(~F.col("contaminated")).select("__row.*")
 
 

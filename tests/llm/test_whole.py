@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from tributary.llm import decontaminate
 from tributary.plans.catalogue import QUERIES
 
 
@@ -21,3 +22,15 @@ def test_order_by_of_the_whole_table(spark):
     got = [(r.bal, r.c_custkey) for r in QUERIES["order_by_nulls_all"](spark, d).collect()]
     rows = [(None if r.c_custkey % 7 == 0 else r.c_acctbal, r.c_custkey) for r in spark.read.parquet(f"{d}/customer.parquet").collect()]
     assert len(rows) > 300 and got == sorted(rows, key=lambda x: (x[0] is not None, -(x[0] or 0), x[1]))
+
+
+def test_decontamination_of_items_of_every_length(spark):
+    """0.8 alike, by brute force, for whole items of 1 to 13 tokens, unchanged and with every pair of substitutions."""
+    items = [(m, [f"i{m}x{k}" for k in range(m)]) for m in range(14)]
+    docs = [[w if k not in (a, b) else "sub" for k, w in enumerate(t)] for _, t in items for a in range(len(t) or 1) for b in range(a, len(t) + 1)] + [t for _, t in items]
+    bench = spark.createDataFrame([(m, " ".join(t)) for m, t in items], "item_id long, text string")
+    df = spark.createDataFrame([(k, " ".join(["before", *d, "after"])) for k, d in enumerate(docs)], "doc_id long, text string")
+    for x in decontaminate.contaminated(df, bench, short_items=True).collect():
+        d = ["before", *docs[x.doc_id], "after"]
+        want = [m for m, t in items if m and any(5 * sum(u != v for u, v in zip(d[p : p + m], t, strict=True)) <= m for p in range(len(d) - m + 1))]
+        assert x.item_ids == want, (d, x.item_ids, want)

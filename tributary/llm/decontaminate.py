@@ -5,7 +5,9 @@ hashed, the others being ignored. Seeds of all places of the documents meet thos
 meeting fixes an alignment, and the tokens around it are compared place by place. An item is found if ``WINDOW``
 consecutive aligned tokens (or the whole of a shorter item) differ in at most ``allowed()`` places: at least 0.8 alike.
 The three masks together hit every such window of 13, 12, 11, 9, 8 and 7 tokens; of ten tokens two substitutions are not
-allowed, and items of five or six tokens must occur unchanged. Items under five tokens are not looked for.
+allowed, and items of five or six tokens must occur unchanged. Items under five tokens are not looked for. With
+``short_items`` 0.8 holds for every length: items that three masks can't serve have lighter ones of their own (``LIGHT``),
+made only if the benchmark holds such items.
 
 The benchmark side is broadcast in blocks of at most ``block_tokens`` tokens, a fixed size, whatever the benchmark's; the
 documents stream past each block once, and only verified meetings are shuffled.
@@ -26,6 +28,9 @@ from .line_dedup import LOWEST
 WINDOW = 13
 #: Token offsets that each mask hashes.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 5, 6))
+#: Item lengths that MASKS can't serve, and masks that can. Of ten tokens two substitutions leave three in a row, of six one
+#: does; of five, one leaves the first or the second mask; shorter items must occur unchanged.
+LIGHT = (((1,), ((0,),)), ((2,), ((0, 1),)), ((3, 4, 5, 6, 10), ((0, 1, 2), (0, 1, 3))))
 KEY = ["__dc_d", "__dc_t"]
 
 
@@ -38,21 +43,21 @@ def allowed(length: str) -> str:
     return f"(CASE WHEN {length} >= 11 THEN 2 WHEN {length} >= 7 THEN 1 ELSE 0 END)"
 
 
-def seeds(df: DataFrame, hashes: str, place: str, carried: list[str]) -> DataFrame:
+def seeds(df: DataFrame, hashes: str, place: str, carried: list[str], offsets=MASKS) -> DataFrame:
     """A row for each place and mask: ``seed`` besides the carried columns; null where the mask runs over the end."""
     # The generators and projections here stay in one generated loop, in which the array is only pointed to. An outer one:
     # else the optimizer would test the array's size below it, which makes the array twice.
     df = df.select(*carried, F.posexplode_outer(hashes).alias(place, "__dc_x"))
-    masks = [F.expr(f"CASE WHEN {place} + {m[-1]} < size({hashes}) THEN xxhash64({k}, {', '.join(f'get({hashes}, {place} + {o})' for o in m)}) END") for k, m in enumerate(MASKS)]
+    masks = [F.expr(f"CASE WHEN {place} + {m[-1]} < size({hashes}) THEN xxhash64({k}, {', '.join(f'get({hashes}, {place} + {o})' for o in m)}) END") for k, m in enumerate(offsets)]
     return df.select(*carried, place, F.explode(F.array(*masks)).alias("seed")).where("seed IS NOT NULL")
 
 
-def found_in(docs: DataFrame, items: DataFrame) -> DataFrame:
+def found_in(docs: DataFrame, items: DataFrame, offsets=MASKS, bad: str | None = None) -> DataFrame:
     """Verified (document, item): docs with the key and ``dh``, token hashes; items with ``item_id`` and ``ih``."""
     # of an item only the tokens near the seed travel, so that a long item's rows stay small
     near = f"slice(ih, greatest(q - {WINDOW - 1}, 0) + 1, {2 * WINDOW - 1}) AS ctx"
-    bench = seeds(items, "ih", "q", ["item_id", "ih"]).selectExpr("seed", "item_id", "q", "size(ih) AS m", near)
-    hits = seeds(docs, "dh", "p", [*KEY, "dh"]).join(F.broadcast(bench), "seed")
+    bench = seeds(items, "ih", "q", ["item_id", "ih"], offsets).selectExpr("seed", "item_id", "q", "size(ih) AS m", near)
+    hits = seeds(docs, "dh", "p", [*KEY, "dh"], offsets).join(F.broadcast(bench), "seed")
     # the tokens from `a` before the meeting to `b` after it, in both
     hits = hits.withColumns({"a": F.expr(f"least(p, q, {WINDOW - 1})"), "b": F.expr(f"least(size(dh) - p, m - q, {WINDOW})"), "w": F.expr(f"least({WINDOW}, m)")})
     # A generator hands on the slices alone: a projection would be merged with the comparison after it, which is not
@@ -60,19 +65,25 @@ def found_in(docs: DataFrame, items: DataFrame) -> DataFrame:
     slices = F.struct(F.expr("slice(dh, p - a + 1, a + b)").alias("x"), F.expr(f"slice(ctx, least(q, {WINDOW - 1}) - a + 1, a + b)").alias("y"))
     hits = hits.select(*KEY, "item_id", "w", F.inline(F.array(slices))).where("size(x) >= w")
     unlike = "zip_with(x, y, (s, t) -> CASE WHEN s = t THEN 0 ELSE 1 END)"
-    best = f"exists(array({unlike}), e -> exists(sequence(1, size(e) - w + 1), k -> aggregate(slice(e, k, w), 0, (s, t) -> s + t) <= {allowed('w')}))"
+    best = f"exists(array({unlike}), e -> exists(sequence(1, size(e) - w + 1), k -> aggregate(slice(e, k, w), 0, (s, t) -> s + t) <= {bad or allowed('w')}))"
     return hits.where(best).select(*KEY, "item_id").distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_tokens: int = 50_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_tokens: int = 50_000, short_items: bool = False) -> DataFrame:
     """docs with ``item_ids``, the sorted ids of the items found in each, and ``contaminated``."""
     docs = docs.drop("item_ids", "contaminated")
     rows = docs.withColumns({"__dc_d": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)), "__dc_t": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.transform(tokens(F.col(f"`{item_text}`")), lambda x: F.xxhash64(x)).alias("ih")).where("size(ih) >= 5")
-    n = items.agg(F.sum(F.size("ih"))).first()[0] or 0
-    blocks = max(1, -(-n // block_tokens))
+    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.transform(tokens(F.col(f"`{item_text}`")), lambda x: F.xxhash64(x)).alias("ih")).where(F.size("ih") >= (1 if short_items else 5))
+    kind = F.lit(-1)
+    for k, (lengths, _) in enumerate(LIGHT if short_items else ()):
+        kind = F.when(F.size("ih").isin(*lengths), k).otherwise(kind)
+    total = dict(map(tuple, items.groupBy(kind.alias("k")).agg(F.sum(F.size("ih"))).collect()))
     hashed = rows.select(*KEY, F.transform(tokens(F.col(f"`{text}`")), lambda x: F.xxhash64(x)).alias("dh"))
-    parts = [found_in(hashed, items if blocks == 1 else items.where(F.pmod(F.xxhash64("ih"), F.lit(blocks)) == k)) for k in range(blocks)]
+    parts = []
+    for k, n in sorted((total or {-1: 0}).items()):
+        of, blocks = items.where(kind == k), -(-n // block_tokens) or 1
+        offsets, bad = (LIGHT[k][1], "(w DIV 5)") if k >= 0 else (MASKS, None)
+        parts += [found_in(hashed, of if blocks == 1 else of.where(F.pmod(F.xxhash64("ih"), F.lit(blocks)) == b), offsets, bad) for b in range(blocks)]
     found = reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     out = rows.join(found, KEY, "left")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("item_ids", F.expr("CAST(array() AS ARRAY<LONG>)")).alias("item_ids"), F.col("item_ids").isNotNull().alias("contaminated"))

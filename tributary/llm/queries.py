@@ -38,7 +38,7 @@ def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    df = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    df = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), short_items=True)
     return df.select("doc_id", "contaminated", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("items"))
 
 
