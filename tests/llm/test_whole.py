@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tributary.llm import decontaminate
+from tributary.llm import decontaminate, quality_classifier
 from tributary.plans.catalogue import QUERIES
 
+from .data import words
+
 
 def test_pipeline_deletes_short_repeated_lines(spark):
     """A later copy of a short line goes though its neighbours differ each time; each first copy stays."""
@@ -34,3 +36,13 @@ def test_decontamination_of_items_of_every_length(spark):
         d = ["before", *docs[x.doc_id], "after"]
         want = [m for m, t in items if m and any(5 * sum(u != v for u, v in zip(d[p : p + m], t, strict=True)) <= m for p in range(len(d) - m + 1))]
         assert x.item_ids == want, (d, x.item_ids, want)
+
+
+def test_training_reads_all_passages(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda x, first, y: seen.append((len(x), list(first))))
+    docs = spark.createDataFrame([(k, " ".join(words(n, k))) for k, n in enumerate([20_000, 64, 65, 64, 64, 64])], "doc_id long, text string")
+    labels = docs.where(~quality_classifier.held_out(docs.doc_id)).selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    assert {0, 1} <= {r.doc_id for r in labels.collect()}
+    quality_classifier.train(docs, labels)
+    assert len(seen) == 1 and max(b - a for a, b in zip(seen[0][1], seen[0][1][1:], strict=False)) == 313
