@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tributary.llm import decontaminate, quality_classifier
-from tributary.plans.catalogue import QUERIES
+from tributary.plans.catalogue import QUERIES, SHIFT
 
 from .data import words
 
@@ -46,3 +46,12 @@ def test_training_reads_all_passages(spark, monkeypatch):
     assert {0, 1} <= {r.doc_id for r in labels.collect()}
     quality_classifier.train(docs, labels)
     assert len(seen) == 1 and max(b - a for a, b in zip(seen[0][1], seen[0][1][1:], strict=False)) == 313
+
+
+def test_changes_over_the_whole_table(spark, sf_dir):
+    """Every customer is on both sides, with keys that match, that are new and that have no partner."""
+    ids = {r.c_custkey for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect()}
+    moved = {k + SHIFT for k in ids}
+    assert ids & moved and ids - moved and moved - ids
+    assert {r.c_custkey for r in QUERIES["scd2_all"](spark, sf_dir).collect()} == ids | moved
+    assert moved - ids <= {r.c_custkey for r in QUERIES["merge_all"](spark, sf_dir).collect()}

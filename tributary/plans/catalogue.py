@@ -280,6 +280,36 @@ def merge(t: Tables) -> DataFrame:
     }, t=target, s=t["customer"].where("c_custkey % 2 = 1"))
 
 
+#: The whole table with its keys moved on: the first keys of customer have no partner, the last of these are new.
+SHIFT = 100
+SHIFTED_SQL = f"(SELECT * REPLACE (c_custkey + {SHIFT} AS c_custkey) FROM customer)"
+
+
+def shifted(t: Tables) -> DataFrame:
+    return t["customer"].withColumn("c_custkey", F.col("c_custkey") + F.lit(SHIFT))
+
+
+@query("scd2_all", ORACLES["scd2"].replace(VERSIONS_SQL, VERSIONS_SQL.replace(" WHERE c_custkey % 10 <> 3", "")).replace(NEWS_SQL, f"(SELECT {NEWS} FROM {SHIFTED_SQL})"))
+def scd2_all(t: Tables) -> DataFrame:
+    cur, inc = t["customer"].selectExpr(*columns_of(VERSIONS)), shifted(t).selectExpr(*columns_of(NEWS))
+    return t.run("scd2", {"current": "cur", "incoming": "inc", "key_columns": ["c_custkey"], "track_columns": ["c_mktsegment"]}, cur=cur, inc=inc)
+
+
+@query(
+    "merge_all",
+    f"""SELECT t.c_custkey, t.c_name, CASE WHEN s.c_custkey IS NOT NULL AND s.c_acctbal > 5000 THEN s.c_acctbal + 1 WHEN s.c_custkey IS NOT NULL THEN s.c_acctbal ELSE t.c_acctbal END AS c_acctbal
+       FROM customer t LEFT JOIN {SHIFTED_SQL} s ON t.c_custkey = s.c_custkey
+       WHERE NOT coalesce(s.c_acctbal < 0, false)
+       UNION ALL SELECT c_custkey, c_name, c_acctbal FROM {SHIFTED_SQL} WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)""",
+)
+def merge_all(t: Tables) -> DataFrame:
+    return t.run("merge", {
+        "target": "t", "source": "s", "on": ["t.c_custkey = s.c_custkey"],
+        "when_matched": [{"action": "delete", "condition": "s.c_acctbal < 0"}, {"action": "update", "condition": "s.c_acctbal > 5000", "set": {"c_acctbal": "s.c_acctbal + 1"}}, {"action": "update", "set": {"c_acctbal": "s.c_acctbal"}}],
+        "when_not_matched": [{"action": "insert", "star": True}],
+    }, t=t["customer"].select("c_custkey", "c_name", "c_acctbal"), s=shifted(t))
+
+
 # Checks
 
 simple("assertion_drop", "assertion", {"from": "lineitem", "on_failure": "drop", "checks": [{"rule": "l_quantity < 40"}, {"column": "l_orderkey", "rule": "not_null"}, {"rule": "nullif(l_returnflag, 'N') = 'A'"}]}, "SELECT * FROM lineitem WHERE l_quantity < 40 AND coalesce(nullif(l_returnflag, 'N') = 'A', true)")
