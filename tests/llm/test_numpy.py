@@ -273,6 +273,45 @@ def test_byte_pairs_against_the_library(reference_encoding):
     assert v.merged(b"abc" * 15) == v.merged_long(b"abc" * 15)
 
 
+def test_every_code_point_as_the_library_reads_it(reference_encoding):
+    """Each code point before a contraction, alone, doubled and behind a space: classes and boundaries together."""
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)]]
+    v = byte_bpe.Vocabulary(VOCABULARY)
+    for k in range(0, len(every), 50_000):
+        texts = ["".join(f"{x}'s {x}{x}" for x in every[a : a + 500]) for a in range(k, min(k + 50_000, len(every)), 500)]
+        ids, offsets, _ = v.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in reference_encoding.encode_ordinary(t)]
+
+
+def test_class_table_is_the_library_s():
+    classes = byte_bpe.class_table()
+    assert classes[0x558] == byte_bpe.OTHER and classes[ord("é")] == byte_bpe.LETTER and classes[ord("Ⅷ")] == byte_bpe.NUMBER and classes[0x85] == byte_bpe.WHITE
+    for kind, expression in ((byte_bpe.LETTER, r"\p{L}"), (byte_bpe.NUMBER, r"\p{N}")):
+        assert sorted(byte_bpe.matching(expression, "".join(map(chr, range(0x3000))))) == np.flatnonzero(classes[:0x3000] == kind).tolist()
+
+
+def test_scan_composes_the_automaton_s_functions():
+    numbers, products, result, _ = byte_bpe.monoid()
+    r = random.Random(4)
+    for n in (1, 2, 255, 256, 257, 70_000):
+        some = [r.randrange(2 * byte_bpe.SYMBOLS) if r.random() < 0.02 else r.randrange(byte_bpe.SYMBOLS) for _ in range(n)]
+        got = byte_bpe.scanned(numbers[some], products)
+        for begin in byte_bpe.STATES:
+            state, want = begin, []
+            for x in some:
+                state = byte_bpe.step(byte_bpe.NOTHING if x >= byte_bpe.SYMBOLS else state, x % byte_bpe.SYMBOLS)[0]
+                want.append(state)
+            assert result[got, begin].tolist() == want
+    for a in range(len(products)):  # associative, as compositions are
+        assert (products[products[a]] == products[a][products]).all()
+
+
+def test_pieces_merged_together_as_one_by_one():
+    v, r = byte_bpe.Vocabulary(VOCABULARY), random.Random(3)
+    pieces = list({"".join(r.choice("abcdefé 漢\x00lingtheouer") for _ in range(r.randrange(1, 60))).encode() for _ in range(3000)} | {b"aaaa", b"aaaaaaa", b"\xff\xfe"})
+    assert [np.frombuffer(x, np.int32).tolist() for x in v.merged_together(pieces)] == [v.merged(p) for p in pieces]
+
+
 def test_byte_pairs_awkward_rows(spark, reference_encoding):
     got = byte_bpe.encode_decode(frame(spark).selectExpr("*", "'x' AS n_tokens"), VOCABULARY).collect()
     assert len(got) == len(rows()) and got[0].ids is not None

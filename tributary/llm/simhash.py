@@ -27,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .byte_bpe import blocks as text_blocks
+from . import word_arrays as W
 from .common import cut
 
 SEED = 42
+#: Bytes of text handled at once.
+BLOCK_BYTES = 2_000_000
 TILE = 4096
 
 
@@ -55,10 +57,11 @@ def fingerprints_of(texts: list[str], width: int = 4) -> np.ndarray:
     out = np.zeros(len(texts), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        first = np.cumsum(counts[some]) - counts[some]
-        over = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int64) > counts[some][:, None]
-        out[some] = np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
+        every, first = np.array(hashes, np.uint64), np.cumsum(counts[some]) - counts[some]
+        del hashes
+        for b in range(64):  # a bit at a time: 64 bytes a shingle would be too much of a very long text
+            over = 2 * np.add.reduceat(every >> np.uint64(b) & np.uint64(1), first, dtype=np.int64) > counts[some]
+            out[some[over]] |= np.uint64(1 << b)
     return out
 
 
@@ -70,8 +73,8 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            prints = [fingerprints_of(texts[a:b], width) for a, b in text_blocks(texts)]
+            texts = batch.column(len(keep))
+            prints = [fingerprints_of([t or "" for t in texts[a:b].to_pylist()], width) for a, b in W.blocks(texts, BLOCK_BYTES)]
             column = np.concatenate([np.zeros(0, np.uint64), *prints]).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(column)], schema.names)
 

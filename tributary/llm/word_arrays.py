@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 GAP = np.zeros(256, bool)
 GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,6 +36,19 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def blocks(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Rows a to b of consecutive blocks of about ``most`` bytes of text, a longer text being a block of its own."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    a = size = 0
+    for b, n in enumerate(sizes.tolist()):
+        if b > a and size + n > most:
+            yield a, b
+            a, size = b, 0
+        size += n
+    if len(sizes):
+        yield a, len(sizes)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of every word, and the number of words before each text (and in all)."""
     n = len(data)
