@@ -80,6 +80,46 @@ def test_line_dedup_rule(spark):
         assert {x.doc_id: (x.n_lines, x.n_removed, x.text) for x in got} == want
 
 
+def test_repeated_runs_of_any_length(spark):
+    """Runs of 2, 5 and 40 lines, one run a row; a run inside a longer one isn't listed; ranks end up distinct."""
+    line = lambda k: f"line number {k}"
+    run = {n: [line(1000 * n + k) for k in range(n)] for n in (2, 5, 40)}
+    own = lambda d, n: [f"own {d} {k}" for k in range(n)]
+    docs = {1: own(1, 3) + run[2] + own(11, 1) + run[5], 2: run[40] + own(2, 2), 3: own(3, 1) + run[5] + own(31, 2) + run[40], 4: run[2], 5: own(5, 4) + run[40][10:30] + ["", " "] + run[40][30:35] + run[5][1:4], 6: own(6, 70)}
+    df = spark.createDataFrame([(k, "\n".join(v)) for k, v in docs.items()], "doc_id long, text string")
+    got = sorted(map(tuple, line_dedup.repeated_runs(df).collect()))
+    assert got == [(3, 1, 5, 1, 6), (3, 8, 40, 2, 0), (4, 0, 2, 1, 3), (5, 4, 25, 2, 10), (5, 29, 3, 1, 7)]
+    spans = [n for n, _ in line_dedup.levels(line_dedup.line_ids(line_dedup.keyed(df)), 3)]
+    assert spans == [1, 2, 3, 4, 8, 16, 32]
+    left = {x.doc_id: x.text for x in line_dedup.line_dedup(df, 2, 8).collect()}
+    assert left[3] == "\n".join(own(3, 1) + own(31, 2)) and left[4] == "" and left[6] == "\n".join(docs[6])
+    assert line_dedup.repeated_runs(frame(spark, [])).count() == 0 and line_dedup.repeated_runs(df.where("doc_id = 6")).count() == 0
+
+
+def test_ranks_are_the_order_of_runs(spark):
+    r = random.Random(5)
+    df = spark.createDataFrame([(k, "\n".join(f"l{r.randrange(4)}" for _ in range(r.randrange(30)))) for k in range(20)], "doc_id long, text string")
+    lines = line_dedup.line_ids(line_dedup.keyed(df))
+    at = {}
+    for x in lines.orderBy("__ld_d", "seq").collect():
+        at.setdefault(x["__ld_d"], []).append((x.h1, x.h2))
+    runs = lambda n: [(d, k, tuple(v[k : k + n])) for d, v in at.items() for k in range(len(v) - n + 1)]
+    for span, level in line_dedup.levels(lines, 1):
+        count = Counter(x for *_, x in runs(span))
+        rank = {(x["__ld_d"], x.seq): x["rank"] for x in level.collect()}
+        kept = [(d, k, x) for d, k, x in runs(span) if count[x] > 1]
+        assert rank.keys() == {(d, k) for d, k, _ in kept}
+        order = sorted({(rank[d, k], x) for d, k, x in kept})
+        assert [x for _, x in order] == sorted({x for *_, x in kept})
+
+
+def test_long_texts_and_clashing_columns_in_lines(spark):
+    long = "\n".join(f"line {k} of a very long text that has words" for k in range(30_000))
+    df = spark.createDataFrame([(1, long, 5, 6, "r"), (2, long + "\nlast", 7, 8, "r"), (3, None, 1, 1, None)], "doc_id long, text string, n_lines int, seq int, `rank` string")
+    got = {x.doc_id: x for x in line_dedup.line_dedup(df).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].text, got[2].n_lines, got[2].seq, got[3].text) == (0, 30_000, "last", 30_001, 8, None)
+
+
 def test_line_dedup_awkward_rows(spark):
     got = line_dedup.line_dedup(frame(spark)).collect()
     assert len(got) == len(rows()) and {c for c in got[0].asDict()} >= {"lang", "kept", "n_words", "__row"}
