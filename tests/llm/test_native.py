@@ -44,6 +44,14 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("place_bits", [56, 60])
+def test_repeats_are_of_words_not_of_hashes(spark, place_bits):
+    """With a hash of a few bits nearly all windows meet; counts stay right."""
+    df = quality_rules.measure(frame(spark, rows() + [(900, " ".join(f"v{k}" for k in range(5000)), "en", True, "m", 1, "f", 0, "i", "p", "s", "q", 9)]), place_bits=place_bits)
+    for r in df.collect():
+        assert r.n_repeat_words == base_of(r.text)[4], r.text
+
+
 def test_quality_rules_of_labelled_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality_rules.quality_rules(docs).join(labels, "doc_id").where("NOT base_failed").select("kept", "quality").collect()

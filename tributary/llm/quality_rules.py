@@ -5,11 +5,12 @@ features are SQL expressions over arrays of the document's own words and lines,
 no shuffle, no Python.
 
 Defined cases: a null text counts as a text without words and fails; an empty text likewise; repeated rows are judged
-one by one; other columns pass through unless their names are those of the result, which replace them.
+one by one; very long texts are judged whole, in memory of a few times their size; other columns pass through unless their
+names are those of the result, which replace them.
 
-Repeated three-word windows are found by sorting, inside the row, numbers whose low bits hold a window's place and
-whose other bits hold its hash: of a text of n words the hash keeps 63 - log2(n) bits at least, so that two different
-windows of a 600-word text meet with a chance below 1e-10.
+Repeated three-word windows are found in two steps inside the row. Numbers whose low bits hold a window's place and
+whose other bits its hash are sorted: a window beside one of equal hash may be a repeat. Of these few the words themselves
+are sorted and compared, so that hashes that meet by chance, as they do in a text of millions of words, count for nothing.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 2.0, 15.0),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.25),
     Rule("shouted_marks_per_word", "n_exclaims", "n_words", None, 0.5),
-    Rule("stop_words", "n_stop_words", "1", 2, None),
+    Rule("stop_words", "n_stop_words", "n_words", 0.04, None),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 0.7),
 )
 
@@ -63,8 +64,8 @@ def failed(rule: Rule) -> Column:
     return F.coalesce(bad, F.lit(True))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the features; helper columns are gone again."""
+def measure(docs: DataFrame, text: str = "text", place_bits: int = 1) -> DataFrame:
+    """docs with the features; helper columns are gone again. place_bits: bits that a place takes from the hash, at least."""
     keep = [c for c in docs.columns if c not in (*BASE, "n_exclaims", "n_stop_words", "n_lines")]
     t = "__q_text"
     df = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(t))
@@ -79,7 +80,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_lines": F.size("__q_l").cast("long"),
             "n_dup_lines": (F.size("__q_l") - F.size(F.array_distinct("__q_l"))).cast("long"),
             "n_stop_words": F.expr(f"CAST(size(filter(__q_w, w -> w IN ({stop}))) AS LONG)"),
-            "__q_b": F.expr("length(bin(size(__q_w)))"),
+            "__q_b": F.expr(f"greatest(length(bin(size(__q_w))), {int(place_bits)})"),
         }
     )
     df = df.withColumn(
@@ -87,8 +88,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.expr("sort_array(CASE WHEN n_words >= 3 THEN transform(sequence(0, size(__q_w) - 3), i -> shiftleft(xxhash64(get(__q_w, i), get(__q_w, i + 1), get(__q_w, i + 2)), __q_b) | CAST(i AS LONG)) ELSE CAST(array() AS ARRAY<LONG>) END)"),
     )
     same = "shiftrightunsigned(x, __q_b) = shiftrightunsigned(get(__q_s, j {}), __q_b)"
-    df = df.withColumn("__q_p", F.expr(f"sort_array(transform(filter(__q_s, (x, j) -> {same.format('- 1')} OR {same.format('+ 1')}), x -> x & (shiftleft(1L, __q_b) - 1)))"))
-    df = df.withColumn("n_repeat_words", F.expr("aggregate(transform(__q_p, (x, j) -> least(3L, coalesce(get(__q_p, j + 1) - x, 3L))), 0L, (a, x) -> a + x)"))
+    df = df.withColumn("__q_c", F.expr(f"transform(filter(__q_s, (x, j) -> {same.format('- 1')} OR {same.format('+ 1')}), x -> CAST(x & (shiftleft(1L, __q_b) - 1) AS INT))"))
+    df = df.withColumn("__q_e", F.expr("sort_array(transform(__q_c, i -> struct(concat_ws(' ', get(__q_w, i), get(__q_w, i + 1), get(__q_w, i + 2)) AS k, i)))"))
+    df = df.withColumn("__q_p", F.expr("sort_array(transform(filter(__q_e, (x, j) -> x.k = get(__q_e, j - 1).k OR x.k = get(__q_e, j + 1).k), x -> x.i))"))
+    df = df.withColumn("n_repeat_words", F.expr("aggregate(transform(__q_p, (x, j) -> least(3L, coalesce(CAST(get(__q_p, j + 1) - x AS LONG), 3L))), 0L, (a, x) -> a + x)"))
     features = [*BASE, "n_exclaims", "n_stop_words", "n_lines"]
     # A generator ends here what the optimizer may substitute: a later filter on a feature would else be pushed below all
     # these projections, with the word array's expression copied at each of its uses.
