@@ -104,6 +104,23 @@ def test_added_kinds_need_checksum_and_context():
     assert private_data.redacted("mail a@b.co now", private_data.spans_of("mail a@b.co now")) == "mail <email> now"
 
 
+def test_context_is_whole_words():
+    kinds = lambda t: [k for k, *_ in private_data.spans_of(t)]
+    assert kinds("my ssn is 123-45-6789 of the sales department") == ["ssn"] and kinds("part 123-45-6789 ssn") == [] and kinds("monkey: 24be64439e3e49cf46b2d7c90f3602a3") == []
+    for name in ("accessKey", "API_KEY", "token2", "my-secret", "PASSWORD"):
+        assert kinds(f"{name} = 24be64439e3e49cf46b2d7c90f3602a3") == ["credential"], name
+    assert kinds("commitKey = 24be64439e3e49cf46b2d7c90f3602a3") == []
+
+
+def test_ibans_end_where_their_country_s_do():
+    found = lambda t: [t[a:b] for k, a, b, _ in private_data.spans_of(t) if k == "iban"]
+    assert found("IBAN BE71 0961 2345 6769 PAID") == ["BE71 0961 2345 6769"] and found("BE71096123456769 PAID IN FULL") == ["BE71096123456769"]
+    assert found("DE89 3704 0044 0532 0130 00 2024") == ["DE89 3704 0044 0532 0130 00"] and found("DE89370400440532013000X") == []
+    assert found("NO93 8601 1117 947, NO9386011117947") == ["NO93 8601 1117 947", "NO9386011117947"]
+    assert found("BE7 1096 1234 56769") == [] and found("xBE71 0961 2345 6769") == [] and found("BE71 0961 2345 6768") == []
+    private_data.spans_of("BE71 " * 50_000), private_data.spans_of("ZZ71" * 50_000)
+
+
 def test_private_data_awkward_rows(spark):
     some = [(1, "a@b.co 10.0.0.1"), (2, None), (3, ""), (1, "a@b.co 10.0.0.1")]
     got = private_data.find_private_data(spark.createDataFrame(some, "doc_id long, text string").selectExpr("*", "1 AS pii"), redact=True).collect()

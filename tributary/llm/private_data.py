@@ -1,14 +1,15 @@
 """PII: regular expressions propose spans, checksums confirm them, words nearby adjust the score.
 
 Base kinds (email, ip, card, phone) follow fixed expressions and checks and stay whatever their context. The method adds
-IBANs (mod 97), social security numbers and credentials, kept if their score, raised or lowered by words within
-``NEAR`` characters, reaches ``threshold``. Offsets are code points, ends exclusive.
+IBANs (mod 97, as long as their country's are), social security numbers and credentials, kept if their score, raised or
+lowered by whole words within ``NEAR`` characters, reaches ``threshold``. Offsets are code points, ends exclusive.
 
 Each text is scanned once for runs of digits and separators, for ``@``, ``+`` and ``=`` or ``:``; the expressions run only
 there. That finds what a leftmost scan of the whole text finds, in time linear in the text: an email's local part reaches
 left from its ``@``, and an ip or card lies within one run.
 
-Defined cases: null text is empty text, without spans; rows are judged one by one; other columns pass through unless named
+Defined cases: null text is empty text, without spans; rows are judged one by one, repeated ones alike; a very long text is
+scanned whole; of spans that begin together the kinds stand in the order listed; other columns pass through unless named
 ``pii`` or ``redacted``.
 """
 
@@ -30,14 +31,24 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+IN_FOURS = re.compile(r"[A-Z0-9]{4}(?: ?[A-Z0-9]{4})*(?: ?[A-Z0-9]{1,3})?")
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24,
+    "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 CREDENTIAL = re.compile(r"[=:]\s?[\"']?([A-Za-z0-9_/+=-]{16,})")
+WORD, CAMEL = re.compile(r"[^\W_]+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 NEAR = 40
 #: Scores before context, and words that raise or lower them.
 SCORES = {"email": 0.9, "ip": 0.8, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4, "credential": 0.3}
 RAISES = {
-    "email": ("mail", "contact"), "ip": ("ip", "host", "server"), "card": ("card", "visa", "credit"), "phone": ("phone", "call", "tel", "mobile"),
-    "iban": ("iban", "bank", "account"), "ssn": ("ssn", "social", "security"), "credential": ("token", "secret", "password", "passwd", "api_key", "apikey", "key"),
+    "email": ("mail", "email", "contact"), "ip": ("ip", "host", "server"), "card": ("card", "visa", "credit"), "phone": ("phone", "telephone", "call", "tel", "mobile"),
+    "iban": ("iban", "bank", "account"), "ssn": ("ssn", "social", "security"), "credential": ("token", "secret", "password", "passwd", "apikey", "key"),
 }
 LOWERS = {"credential": ("checksum", "sha1", "sha256", "md5", "commit", "digest"), "ssn": ("order", "invoice", "isbn", "part")}
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
@@ -62,6 +73,21 @@ def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def iban_end(text: str, at: int) -> int | None:
+    """The end of the IBAN that begins at ``at``: as long as its country's are, or the longest valid one elsewhere."""
+    if not (m := IBAN.match(text, at)):
+        return None
+    signs = [k for k in range(at, m.end()) if text[k] != " "]
+    lengths = [IBAN_LENGTH[c]] if (c := text[at : at + 2]) in IBAN_LENGTH else range(len(signs), 14, -1)
+    for n in lengths:
+        if n <= len(signs):
+            end = signs[n - 1] + 1
+            alone = not (end < len(text) and text[end].isalnum())
+            if alone and IN_FOURS.fullmatch(text, at, end) and mod97(text[at:end].replace(" ", "")):
+                return end
+    return None
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     done, at = 0, text.find("@")
     while at >= 0:
@@ -100,8 +126,8 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
 def added_spans(text: str) -> Iterator[tuple[str, int, int]]:
     for run in DIGIT_RUN.finditer(text):
         a, b = run.span()
-        if b - a >= 2 and a >= 2 and text[a - 2 : a].isupper() and text[a - 2 : a].isascii() and not (a > 2 and text[a - 3].isalnum()) and (m := IBAN.match(text, a - 2)) and mod97(m[0].replace(" ", "")):
-            yield "iban", *m.span()
+        if b - a >= 2 and a >= 2 and text[a - 2 : a].isupper() and text[a - 2 : a].isascii() and not (a > 2 and text[a - 3].isalnum()) and (end := iban_end(text, a - 2)):
+            yield "iban", a - 2, end
         if b - a >= 11 and "-" in run[0]:
             for m in SSN.finditer(text, a, b):
                 if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
@@ -112,9 +138,23 @@ def added_spans(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "credential", *m.span(1)
 
 
+def words_near(text: str, start: int, end: int) -> set[str]:
+    """Lower-cased whole words within NEAR characters; underscores, digits' ends and capitals inside a word part it."""
+    a, b = max(0, start - NEAR), end + NEAR
+    while a > 0 and start - a < 2 * NEAR and text[a - 1].isalnum() and text[a].isalnum():  # not to begin inside a word
+        a -= 1
+    while b < len(text) and b - end < 2 * NEAR and text[b - 1].isalnum() and text[b].isalnum():
+        b += 1
+    found = set()
+    for w in WORD.findall(f"{text[a:start]} {text[end:b]}"):
+        parts = (w, w.rstrip("0123456789"), *CAMEL.findall(w))
+        found.update(p.lower() for p in parts)
+    return found
+
+
 def score(kind: str, text: str, start: int, end: int) -> float:
-    around = f"{text[max(0, start - NEAR) : start]} {text[end : end + NEAR]}".lower()
-    s = SCORES[kind] + 0.3 * any(w in around for w in RAISES[kind]) - 0.4 * any(w in around for w in LOWERS.get(kind, ()))
+    near = words_near(text, start, end)
+    s = SCORES[kind] + 0.3 * (not near.isdisjoint(RAISES[kind])) - 0.4 * (not near.isdisjoint(LOWERS.get(kind, ())))
     return round(min(1.0, max(0.0, s)), 2)
 
 
