@@ -5,11 +5,16 @@ inside roles and texts are broken by a backslash after their first character, an
 control string remains and reading back restores every character. The loss mask covers the texts of assistant turns.
 
 For a block of turns, headers and contents lie end to end in one source buffer; segment lengths give cumulative offsets,
-these give the scatter indices, and one numpy assignment copies all bytes into the preallocated buffer of the Arrow column.
+these give the scatter indices, and one numpy assignment copies all short segments into the preallocated buffer of the Arrow
+column. Segments over ``LONG`` bytes are copied as slices: an index for each of their bytes would take eight times the room.
 
 Rows are ordered by turn (then role and text where turns tie) and a conversation's rows come to one task, in order, as it
-becomes one value; tasks hold a block of turns and the conversation that runs over its end. Null text and null role are
-empty; rows without an id are one conversation; repeated rows are turns of their own.
+becomes one value; tasks hold a block of at most ``block_turns`` turns and about ``block_bytes`` of text, and the conversation
+that runs over its end.
+
+Defined cases: null text and null role are empty; rows without an id are one conversation; repeated rows are turns of their
+own; a very long text is one segment of its block, and a conversation may hold what a string column's value may (2 GB);
+other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import word_arrays as W
+
 BEGIN, TURN, END = "<s>", "<|turn|>", "</s>"
 #: Control strings that may not occur in contents.
 CONTROL = (BEGIN, END, TURN, "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 CONTROL_AT = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
+#: Bytes of the longest segment that is copied by indices.
+LONG = 512
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -49,27 +58,41 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def assemble(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of four segments a turn (opening, role, text, closing), and the end of each segment.
-
-    pieces: role and text of each turn, by turn. Openings and closings are taken from one shared place in the source.
+def gathered(source: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The source's segments end to end, and where each ends."""
+    ends = np.cumsum(size)
+    to = ends - size
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    short = np.flatnonzero(size <= LONG)
+    n = size[short]
+    step = np.arange(n.sum(), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(to[short], n) + step] = source[np.repeat(begin[short], n) + step]
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[to[k] : ends[k]] = source[begin[k] : begin[k] + size[k]]
+    return out, ends
+
+
+def assemble(pieces: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of six segments a turn (beginning, opening, role, line feed, text, end), and each segment's end.
+
+    pieces: role and text of each turn, by turn; first: each conversation's first turn, which alone has a beginning. The
+    marks are taken from one shared place in the source.
     """
-    marks = [f"{TURN}".encode(), b"\n", END.encode()]
+    marks = [BEGIN.encode(), TURN.encode(), b"\n", END.encode()]
     source = np.frombuffer(b"".join([*marks, *pieces]), np.uint8)
     m = np.array([len(x) for x in marks], np.int64)
+    at = np.cumsum(m) - m
     lengths = np.array([len(p) for p in pieces], np.int64)
     begins = m.sum() + np.cumsum(lengths) - lengths
     n = len(pieces) // 2
-    size, begin = np.empty((n, 5), np.int64), np.empty((n, 5), np.int64)
-    size[:, 0], size[:, 2], size[:, 4] = m
-    begin[:, 0], begin[:, 2], begin[:, 4] = 0, m[0], m[0] + m[1]
-    size[:, 1], size[:, 3] = lengths[0::2], lengths[1::2]
-    begin[:, 1], begin[:, 3] = begins[0::2], begins[1::2]
-    size, begin = size.ravel(), begin.ravel()
-    ends = np.cumsum(size)
-    out = np.empty(ends[-1] if n else 0, np.uint8)
-    out[:] = source[np.repeat(begin - (ends - size), size) + np.arange(len(out))]
-    return out, ends.reshape(n, 5)
+    size, begin = np.zeros((n, 6), np.int64), np.zeros((n, 6), np.int64)
+    size[first, 0] = m[0]
+    for k, column in ((1, 1), (2, 3), (3, 5)):
+        size[:, column], begin[:, column] = m[k], at[k]
+    size[:, 2], size[:, 4] = lengths[0::2], lengths[1::2]
+    begin[:, 2], begin[:, 4] = begins[0::2], begins[1::2]
+    out, ends = gathered(source, begin.ravel(), size.ravel())
+    return out, ends.reshape(n, 6)
 
 
 def formatted_block(ids: list, first: np.ndarray, roles: list[str], texts: list[str]) -> pa.RecordBatch:
@@ -78,17 +101,9 @@ def formatted_block(ids: list, first: np.ndarray, roles: list[str], texts: list[
     pieces[0::2] = [escape(r).replace("\n", "\\\n").encode() for r in roles]
     escaped = [escape(t) for t in texts]
     pieces[1::2] = [t.encode() for t in escaped]
-    body, ends = assemble(pieces)
+    out, ends = assemble(pieces, first)
     last = np.append(first[1:], len(roles)) - 1
-    # each conversation is its opening and a slice of the body
-    upto = np.concatenate([[0], ends[last, 4]])
-    opening = np.frombuffer(BEGIN.encode(), np.uint8)
-    out = np.empty(len(body) + len(opening) * len(first), np.uint8)
-    shift = np.repeat(len(opening) * np.arange(1, len(first) + 1), np.diff(upto))
-    out[np.arange(len(body)) + shift] = body
-    offsets = upto + len(opening) * np.arange(len(first) + 1)
-    for k in range(len(opening)):
-        out[offsets[:-1] + k] = opening[k]
+    offsets = np.concatenate([[0], ends[last, 5]])
     column = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out)])
     # code points of the assistant texts
     size = np.array([len(TURN) + len(p) + 1 for p in map(str, (x.decode() for x in pieces[0::2]))], np.int64)
@@ -102,7 +117,7 @@ def formatted_block(ids: list, first: np.ndarray, roles: list[str], texts: list[
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), column, *spans], ["conv_id", "formatted", "loss_start", "loss_end"])
 
 
-def format_chats(turns: DataFrame, block_turns: int = 4096) -> DataFrame:
+def format_chats(turns: DataFrame, block_turns: int = 4096, block_bytes: int = 4_000_000) -> DataFrame:
     """(conv_id, formatted, loss_start, loss_end) from rows (conv_id, turn, role, text); loss spans in code points."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
@@ -117,8 +132,7 @@ def format_chats(turns: DataFrame, block_turns: int = 4096) -> DataFrame:
             return out
 
         for batch in batches:
-            for a in range(0, batch.num_rows, block_turns):
-                part = batch.slice(a, block_turns)
+            for part in (batch.slice(k, min(block_turns, b - k)) for a, b in W.blocks(batch.column(2), block_bytes) for k in range(a, b, block_turns)):
                 for to, column in zip((ids, roles, texts), part.columns, strict=True):
                     to += column.to_pylist()
                 n = len(ids) - 1
