@@ -13,7 +13,8 @@ members. Connected components of these come from alternating large-star and smal
 checkpointed; links and components stay distributed.
 
 Defined cases: a text without words, null or empty, has fingerprint zero and is linked like any other; equal rows and equal
-texts share a fingerprint; a null doc_id never names a component unless all ids of it are null.
+texts share a fingerprint; a very long text is handled alone, in eight bytes a shingle; a null doc_id never names a component
+unless all ids of it are null; columns of any name pass through ``one_of_each``, and only the id through ``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -205,7 +206,8 @@ def classes(prints: DataFrame, radius: int = 4, blocks: int | None = None, doc_i
     nodes = cut(prints.groupBy("fingerprint").agg(F.min(doc_id).alias("first")))
     found = components(links(nodes.select("fingerprint"), radius, blocks or blocks_for(nodes.count(), radius)))
     nodes = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    # checkpointed: the join with it can split the many fingerprints of one component
+    least = cut(nodes.groupBy("root").agg(F.min("first").alias("component_id")))
     return nodes.join(least, "root").select("fingerprint", "root", "component_id")
 
 
