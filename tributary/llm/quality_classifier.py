@@ -5,11 +5,13 @@ small network encodes it, a gated attention (tanh times sigmoid) learned from th
 passages, and the weighted sum is scored. Labels, language, source and id are never inputs.
 
 The network is fitted on the driver from all passages of at most ``sample`` labelled documents, those with the lowest hash
-of their id; a passage is 92 bytes there, about a quarter of its text.
-Rows whose crc32(doc_id) mod 4 is 2 are held out. Scoring is one pass over the texts, whose blocks bound its memory.
+of their id; a passage is 92 bytes there, about a quarter of its text. Of rows that share an id one is learned from, that
+with the lowest hash of its text. Rows whose crc32(doc_id) mod 4 is 2 are held out. Scoring is one pass over the texts, in
+blocks of ``BLOCK_BYTES`` and one text at least.
 
-Defined cases: null and empty texts have one passage of zeros and get its score; rows are scored one by one; duplicate labels
-of an id count once by their mean, and null labels not at all; without labels of both kinds every score is 0.5.
+Defined cases: null and empty texts have one passage of zeros and get its score; rows are scored one by one, repeated ones
+alike; a very long text is a block of its own, all its passages are read; duplicate labels of an id count once by their mean,
+and null labels not at all; without labels of both kinds every score is 0.5; columns of other names are left out.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from . import word_arrays as W
 from .quality_rules import STOP_WORDS
 
 PASSAGE = 64
+#: Bytes of text handled at once.
+BLOCK_BYTES = 2_000_000
 HIDDEN = 16
 #: Byte classes: other, symbols, exclamation and question marks, capitals, digits, small letters, sentence marks, line feeds, beyond ASCII.
 CLASSES = 9
@@ -158,14 +162,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, doc_id: str =
     """The network fitted on the sample; none if it lacks one of the two labels."""
     known = labels.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.col(f"`{label}`").cast("double").alias("y")).where("i IS NOT NULL AND y IS NOT NULL")
     known = known.where(~held_out(F.col("i"))).groupBy("i").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(sample)
-    bags = docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).join(F.broadcast(known), "i")
+    bags = docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).join(F.broadcast(known), "i")
+    bags = bags.groupBy("i").agg(F.min("y").alias("y"), F.min(F.struct(F.xxhash64("t"), "t")).alias("t")).select("i", "y", "t.t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for a, b in W.blocks(batch.column(2), BLOCK_BYTES):
+                part = batch.slice(a, b - a)
                 x, first = passages(part.column(part.schema.get_field_index("t")))
-                blobs = [x[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                blobs = [x[p:q].tobytes() for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("i")), part.column(part.schema.get_field_index("y")), pa.array(blobs, pa.binary())], ["i", "y", "x"])
 
     found = bags.mapInArrow(run, "i long, y double, x binary").toPandas().sort_values(["i", "x"], kind="stable")
@@ -184,8 +189,8 @@ def score(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for a, b in W.blocks(batch.column(len(rest)), BLOCK_BYTES):
+                part = batch.slice(a, b - a)
                 x, first = passages(part.column(len(rest)))
                 s = net.score(x, first) if net else np.full(part.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s)], schema.names)
