@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints, as the cluster names it; a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for checkpoints, as the cluster names it. Only a session of one machine may do without: it gets a
+    temporary one; on a cluster a folder of one machine's would break the run, so that it is an error not to name one."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="checkpoint-"))
-    return found or sc._jsc.sc().getCheckpointDir().get()
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return sc._jsc.sc().getCheckpointDir().get()
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all machines share")
+    sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
