@@ -21,6 +21,11 @@ def test_against_sql(spark, sf_dir, name):
     assert spark_rows(queries.queries()[name](spark, sf_dir)) == duck_rows(queries.oracle_sql()[name], sf_dir)
 
 
+@pytest.mark.parametrize("name", sorted(queries.variants()))
+def test_variants_against_sql(spark, sf_dir, name):
+    assert spark_rows(queries.variants()[name](spark, sf_dir)) == duck_rows(queries.variant_sql()[name], sf_dir)
+
+
 def base_of(text):
     text = text or ""
     w = GAP.findall(text)

@@ -56,6 +56,25 @@ def test_chats_read_back(spark):
     assert chat_format.digests(chat_format.format_chats(df.where("false"))).count() == 0
 
 
+def test_long_chats_and_clashing_columns(spark):
+    """Texts above a block and above the copied slices; other columns don't matter."""
+    long = "</s>é" * 400_000
+    turns = [(1, 0, "user", long), (1, 1, "assistant", "x" * 600), (2, 0, "assistant", long[1:]), (3, 0, "user", "short"), (3, 1, "assistant", "y" * 512)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS loss_start", "'x' AS formatted", "2 AS n_turns")
+    for size in (4_000_000, 1000):
+        got = {x.conv_id: (x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) for x in chat_format.digests(chat_format.format_chats(df, block_bytes=size)).collect()}
+        assert got == chat_digests(turns)
+
+
+def test_segments_are_gathered_in_order():
+    r = np.random.default_rng(1)
+    source = r.integers(0, 256, 5000).astype(np.uint8)
+    begin = r.integers(0, 3000, 40)
+    size = r.choice([0, 1, 7, 511, 512, 513, 1900], 40)
+    out, ends = chat_format.gathered(source, begin, size)
+    assert out.tobytes() == b"".join(source[a : a + n].tobytes() for a, n in zip(begin, size, strict=True)) and ends.tolist() == np.cumsum(size).tolist()
+
+
 def test_chat_query(spark, sf_dir):
     turns = [tuple(x) for x in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     turns += [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
@@ -235,6 +254,24 @@ def test_simhash_query(spark, sf_dir):
     assert {x.doc_id: (x.fingerprint, x.component_id) for x in queries.op6_simhash(spark, sf_dir).collect()} == want
 
 
+def test_simhash_of_a_very_long_text(spark):
+    text = " ".join(words(200_000, 3, 50_000))
+    assert simhash.fingerprints_of([text, "a b c d e", ""]).tolist() == [plain_fingerprint(t) for t in (text, "a b c d e", "")]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tributary.llm import common
+
+    class Empty:
+        getCheckpointDir = lambda self: SimpleNamespace(isEmpty=lambda: True)
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(_jsc=SimpleNamespace(sc=Empty), master="spark://host:7077"), conf=SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.checkpoint_dir(session)
+
+
 def test_simhash_awkward_rows(spark):
     got = simhash.near_duplicates(frame(spark)).collect()
     assert len(got) == len(rows())
@@ -392,6 +429,42 @@ def test_classifier_awkward_rows(spark):
     assert quality_classifier.classify(frame(spark, []), labels).count() == 0
 
 
+def plain_passages(text):
+    """Features by plain Python: shares and logarithms of byte classes, word lengths, stop words, repeats, fill."""
+    data = (text or "").encode()
+    at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    if not at:
+        return [[0.0] * quality_classifier.FEATURES]
+    out = []
+    for k in range(0, len(at), quality_classifier.PASSAGE):
+        mine = at[k : k + quality_classifier.PASSAGE]
+        to = at[k + len(mine)][0] if k + len(mine) < len(at) else len(data)
+        kinds = [0] * quality_classifier.CLASSES
+        for b in data[mine[0][0] : to]:
+            kinds[quality_classifier.CLASS[b]] += 1
+        w, n = [data[a:b].decode() for a, b in mine], len(mine)
+        tail = [np.log1p(sum(len(x.encode()) for x in w) / n), sum(len(x.encode()) == 1 for x in w) / n, sum(x in set(quality_classifier.STOP_WORDS) for x in w) / n, (n - len(set(w))) / n, n / quality_classifier.PASSAGE]
+        out.append([x / max(sum(kinds), 1) for x in kinds] + [np.log1p(x / n) for x in kinds] + tail)
+    return out
+
+
+def test_passages_against_plain_python():
+    import pyarrow as pa
+
+    texts = [t for _, t, *_ in rows()] + ["The the THE of. " * 70 + "!?#$ 123\n", " lead  and trail \n"]
+    x, first = quality_classifier.passages(pa.array(texts))
+    want = [plain_passages(t) for t in texts]
+    assert np.diff(first).tolist() == [len(w) for w in want]
+    assert np.allclose(x, np.array([p for w in want for p in w]), atol=1e-6)
+
+
+def test_training_takes_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(k, " ".join(words(80, k)) if k % 2 else "### $$$ " * 40) for k in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    a, b = (quality_classifier.train(d, labels) for d in (docs, docs.unionByName(docs)))
+    assert all((x == y).all() for x, y in zip(a.values, b.values, strict=True))
+
+
 def test_labels_of_held_out_rows_are_not_read(spark):
     d = "/root/testdata/sf0.001"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))

@@ -80,7 +80,12 @@ def op10_line_dedup_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_private_data, op4_decontaminate, op5_substring_dedup, op6_simhash, op7_byte_bpe, op8_url_filters, op9_quality_classifier, op10_line_dedup, op10_line_dedup_every_line)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_private_data, op4_decontaminate, op5_substring_dedup, op6_simhash, op7_byte_bpe, op8_url_filters, op9_quality_classifier, op10_line_dedup)}
+
+
+def variants() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Further queries of operators that ``queries`` has, with other parameters."""
+    return {f.__name__: f for f in (op10_line_dedup_every_line,)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -91,5 +96,8 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substring_dedup.ORACLE,
         "op8_url_filters": url_filters.oracle(),
         "op10_line_dedup": line_dedup.ORACLE,
-        "op10_line_dedup_every_line": line_dedup.ORACLE_EVERY_LINE,
     }
+
+
+def variant_sql() -> dict[str, str]:
+    return {"op10_line_dedup_every_line": line_dedup.ORACLE_EVERY_LINE}
