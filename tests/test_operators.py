@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date, datetime
 from decimal import Decimal
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from threading import Thread
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.errors import PipelineError
@@ -119,6 +121,50 @@ def test_as_of(spark, direction, expected, on):
     assert [x.v for x in near.orderBy("id").collect()] == ["r10x", "r10x", None, None, None, None, None]
 
 
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+@pytest.mark.parametrize("n,values", [(400, 3000), (60, 10), (0, 5), (40, 1)])
+def test_as_of_without_keys(spark, direction, n, values):
+    """Every left row against all right rows: stretches of any size, ties, edges, nulls, an empty right side."""
+    r = random.Random(n)
+    left = [(k, r.choice([None, *[r.randrange(values) for _ in range(9)]])) for k in range(150)]
+    right = [(r.choice([None, *[r.randrange(values) for _ in range(9)]]), f"v{k:03}") for k in range(n)]
+    a, b = spark.createDataFrame(left, "id int, at int"), spark.createDataFrame(right, "rat int, v string")
+    out = run(spark, "asOfJoin", {"left": "l", "right": "r", "left_as_of": "at", "right_as_of": "rat", "direction": direction, "tie_break": "v"}, l=a, r=b)
+
+    def best(at):
+        some = [(x, v) for x, v in right if at is not None and x is not None and (direction == "nearest" or (x <= at if direction == "backward" else x >= at))]
+        return max(some, key=lambda x: (-abs(x[0] - at), -x[0], x[1]), default=(None, None))
+
+    assert sorted(map(tuple, out.collect())) == sorted(((k, at, *best(at)) for k, at in left), key=lambda x: x[0])
+    plan_text = out._jdf.queryExecution().executedPlan().toString()
+    assert all("__part" in line for line in plan_text.splitlines() if "Window [" in line)
+
+
+def test_as_of_null_keys_are_spread(spark):
+    l, r = spark.createDataFrame([(None, k) for k in range(50)] + [(1, 5)], "k int, at int"), spark.createDataFrame([(1, 3), (None, 4)], "rk int, rat int")
+    out = run(spark, "asOfJoin", {"left": "l", "right": "r", "left_as_of": "at", "right_as_of": "rat", "on": ["l.k = r.rk"]}, l=l, r=r)
+    assert out.where("rat IS NOT NULL").collect() == [(1, 5, 1, 3)] and out.count() == 51
+
+
+def test_lateral_without_condition(spark):
+    l, r = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(5, "b"), (5, "a"), (4, "c")], "v int, w string")
+    p = {"left": "l", "right": "r", "join_type": "left"}
+    assert rows(run(spark, "lateralJoin", p, l=l, r=r.limit(0))) == [(1, None, None), (2, None, None)]
+    assert run(spark, "lateralJoin", p, l=l, r=r).count() == 6 == run(spark, "lateralJoin", {**p, "join_type": "cross"}, l=l, r=r).count()
+    with pytest.raises(PipelineError, match="without a condition"):
+        run(spark, "lateralJoin", {**p, "join_type": "inner"}, l=l, r=r)
+    top = {**p, "order_by": [{"column": "v", "direction": "desc"}], "limit": 1}
+    assert rows(run(spark, "lateralJoin", top, l=l, r=r)) == [(1, 5, "a"), (2, 5, "a")]
+    assert rows(run(spark, "lateralJoin", top, l=l, r=r.limit(0))) == [(1, None, None), (2, None, None)]
+
+
+def test_lateral_ties_go_by_the_right_columns(spark):
+    l, r = spark.createDataFrame([(1,)], "id int"), spark.createDataFrame([(1, 5, c) for c in "dbca"], "lid int, v int, w string").repartition(4)
+    for on in (["l.id = r.lid"], ["l.id <= r.lid"]):
+        p = {"left": "l", "right": "r", "on": on, "order_by": ["v"], "limit": 2}
+        assert rows(run(spark, "lateralJoin", p, l=l, r=r)) == [(1, 1, 5, "a"), (1, 1, 5, "b")]
+
+
 def test_lateral_limit(spark):
     l, r = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, 5), (1, 7), (1, 6)], "lid int, v int")
     p = {"left": "l", "right": "r", "join_type": "left", "on": ["l.id = r.lid"], "order_by": [{"column": "v", "direction": "desc"}], "limit": 2}
@@ -126,6 +172,16 @@ def test_lateral_limit(spark):
         assert rows(run(spark, "lateralJoin", {**p, "on": on}, l=l, r=r)) == [(1, 1, 6), (1, 1, 7), (2, None, None)]
 
 
+def test_pivot_refuses_too_many_values(spark):
+    df = spark.range(30).selectExpr("id % 3 AS g", "id AS p")
+    p = {"from": "t", "group_by": ["g"], "pivot_column": "p", "agg": ["count(*) AS n"]}
+    with pytest.raises(PipelineError, match="more than 29 values"):
+        run(spark, "pivot", {**p, "max_values": 29}, t=df)
+    assert len(run(spark, "pivot", {**p, "max_values": 30}, t=df).columns) == 31
+    with pytest.raises(PipelineError, match="more than 5 values"):
+        run(spark, "crosstab", {"from": "t", "col1": "g", "col2": "p", "max_values": 5}, t=df)
+
+
 def test_pivot_counts_none_as_zero_and_skips_null(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "it's", 2), ("b", "x", 3), ("b", None, 4)], "g string, p string, v int")
     out = run(spark, "pivot", {"from": "t", "group_by": ["g"], "pivot_column": "p", "agg": ["count(*) AS n"]}, t=df)
@@ -160,6 +216,33 @@ def test_scd2(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_scd2_keys(spark):
+    """A key that comes twice is an error; a null key is a key, and isn't added again."""
+    d = lambda y: date(y, 1, 1)
+    kind = "k int, v string, start_date date, end_date date, is_current boolean"
+    cur = spark.createDataFrame([(1, "a", d(2020), None, True), (None, "n", d(2020), None, True)], kind)
+    go = lambda inc, c=cur: run(spark, "scd2", {"current": "c", "incoming": "i", "key_columns": ["k"], "track_columns": ["v"]}, c=c, i=spark.createDataFrame(inc, "k int, v string"))
+    assert rows(go([(None, "n"), (1, "a")])) == rows(cur)
+    twice = go([(None, "m")])
+    assert rows(go([(None, "m")], twice)) == rows(twice) and twice.where("is_current").count() == 2
+    for inc in ([(1, "b"), (1, "c")], [(1, "a"), (1, "a")], [(None, "x"), (None, "x")], [(7, "x"), (7, "x")]):
+        with pytest.raises(Exception, match="several incoming rows"):
+            go(inc).collect()
+
+
+def test_merge_spreads_inserts(spark):
+    """Rows of the source alone aren't one window partition."""
+    t, s = spark.range(900).selectExpr("id", "id AS v"), spark.range(100, 50_900).selectExpr("id", "-id AS v")
+    p = {"target": "t", "source": "s", "on": ["t.id = s.id"], "when_matched": [{"action": "update", "star": True}], "when_not_matched": [{"action": "insert", "star": True}]}
+    df = run(spark, "merge", p, t=t, s=s)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 50_900 and max(sizes) < 0.6 * sum(sizes) and df.where("v < 0").count() == 50_800
+
+
 def test_merge(spark):
     t, s = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "id int, v int"), spark.createDataFrame([(2, 20), (3, None), (9, 90)], "id int, v int")
     p = {"target": "t", "source": "s", "on": ["t.id = s.id"], "when_matched": [{"action": "delete", "condition": "s.v IS NULL"}, {"action": "update", "set": {"v": "t.v + s.v"}}], "when_not_matched": [{"action": "insert", "star": True}]}

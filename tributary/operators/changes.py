@@ -7,6 +7,8 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..errors import BAD_PARAMETER, PipelineError
 from ..functions.expressions import expr, identifier
@@ -21,10 +23,14 @@ def scd2(ctx, p, inputs) -> DataFrame:
     (null-safe) from the incoming row's is closed; changed and new incoming rows start a version. One full join, from which
     each pair gives the rows it needs, so either side is shuffled once. Columns of current that neither the incoming rows
     nor the operator fill are null in new versions.
+
+    Keys compare null-safely: a null key is a key. Two incoming rows of one key fail the run when rows are read.
     """
     cur, inc = inputs[p["current"]], inputs[p["incoming"]]
     start, end, flag = (p.get(k) or d for k, d in (("start_date_column", "start_date"), ("end_date_column", "end_date"), ("current_flag_column", "is_current")))
     keys, track = p["key_columns"], p["track_columns"]
+    if not keys or not track:
+        raise PipelineError(BAD_PARAMETER, "scd2: key_columns and track_columns can't be empty")
     known(cur, [*keys, *track, start, end, flag], "scd2")
     known(inc, [*keys, *track], "scd2")
     kind = cur.schema[start].dataType
@@ -33,9 +39,12 @@ def scd2(ctx, p, inputs) -> DataFrame:
     live = F.coalesce(F.col(identifier(flag)), F.lit(False))
     history = cur.where(~live)
     pack = lambda df, name: df.select(F.struct(*[F.col(identifier(c)) for c in df.columns]).alias(name))
-    a, b = pack(cur.where(live), "c"), pack(inc, "i")
+    # one row a key, by a partial aggregation: a key that comes twice is an error, not two versions
+    once = pack(inc, "i").groupBy(*[F.col(f"i.{identifier(k)}").alias(f"__k{n}") for n, k in enumerate(keys)]).agg(F.first("i").alias("i"), F.count("*").alias("n"))
+    twice = F.raise_error(F.lit(f"scd2: several incoming rows for one key ({', '.join(keys)})"))
+    a, b = pack(cur.where(live), "c"), once.select(F.when(F.col("n") > 1, twice.cast(inc_type(inc))).otherwise(F.col("i")).alias("i"))
     c, i = (lambda n: F.col(f"c.{identifier(n)}")), (lambda n: F.col(f"i.{identifier(n)}"))
-    pairs = a.join(b, reduce(and_, [c(k) == i(k) for k in keys]), "full")
+    pairs = a.join(b, reduce(and_, [c(k).eqNullSafe(i(k)) for k in keys]), "full")
     changed = reduce(or_, [~c(t).eqNullSafe(i(t)) for t in track])
     old, new = F.col("c").isNotNull(), F.col("i").isNotNull()
 
@@ -52,6 +61,10 @@ def scd2(ctx, p, inputs) -> DataFrame:
     return pairs.select(F.explode(rows).alias("r")).select("r.*").unionByName(history)
 
 
+def inc_type(df: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
+
+
 def action_of(clauses: list[dict], default: int) -> Column:
     """The number of the first clause whose condition holds."""
     case = F
@@ -75,14 +88,13 @@ def merge(ctx, p, inputs) -> DataFrame:
             raise PipelineError(BAD_PARAMETER, f"merge: {cl['action']} is out of place")
         known(target, list(cl.get("set") or {}), "merge")
     left = target.withColumns({"__t": F.lit(1), "__tid": F.monotonically_increasing_id()}).alias(t)
-    right = source.withColumn("__s", F.lit(1)).alias(s)
+    right = source.withColumns({"__s": F.lit(1), "__sid": -1 - F.monotonically_increasing_id()}).alias(s)
     df = left.join(right, expr(" AND ".join(f"({c})" for c in p["on"])), "full")
     both, only_s = F.col("__t").isNotNull() & F.col("__s").isNotNull(), F.col("__t").isNull()
     df = df.withColumn("__m", F.when(both, action_of(matched, -1)).otherwise(-1)).withColumn("__a", F.when(only_s, action_of(added, -1)).otherwise(-1))
     if p.get("check_duplicates", True) and matched:
-        from pyspark.sql.window import Window
-
-        hits = F.count(F.when(F.col("__m") >= 0, 1)).over(Window.partitionBy("__tid"))
+        # a row of the source alone is a partition of its own: all of them together would be one task
+        hits = F.count(F.when(F.col("__m") >= 0, 1)).over(Window.partitionBy(F.coalesce("__tid", "__sid")))
         df = df.withColumn("__hits", F.when(F.col("__t").isNotNull(), hits).otherwise(0))
         df = df.withColumn("__m", F.when(F.col("__hits") > 1, F.raise_error(F.lit("merge: several source rows match one target row")).cast("int")).otherwise(F.col("__m")))
     gone = [n for n, cl in enumerate(matched) if cl["action"] == "delete"]

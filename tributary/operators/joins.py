@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..errors import BAD_PARAMETER, PipelineError
-from ..functions.expressions import expr, identifier, normalised
+from ..functions.expressions import expr, identifier, normalised, ordering
 from .registry import known, operator
 
 KINDS = {
@@ -77,6 +77,33 @@ def distance(a: Column, b: Column, kind: T.DataType) -> Column:
     return F.abs(F.timestamp_diff("MICROSECOND", a.cast("timestamp_ntz"), b.cast("timestamp_ntz")))
 
 
+#: Stretches of as-of values that a join without keys is cut into.
+STRETCHES = 200
+
+
+def stretch_of(both: DataFrame, kind: T.DataType) -> Column:
+    """The number of the quantiles at or below ``__at``: equal values share a stretch, and stretches ascend with values."""
+    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise PipelineError(BAD_PARAMETER, f"asOfJoin: without on, values must be numbers, dates or timestamps, not {kind.simpleString()}")
+    shares = F.array(*[F.lit((k + 1) / STRETCHES) for k in range(STRETCHES - 1)])
+    bounds = sorted(set(both.agg(F.percentile_approx("__at", shares, 10 * STRETCHES)).first()[0] or []))
+    return F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col("__at"))) if bounds else F.lit(0)
+
+
+def carried(df: DataFrame, both: DataFrame, wanted: list[str]) -> DataFrame:
+    """df with the nearest right row of the stretches before (__back) or behind (__ahead) where its own has none."""
+    part = F.col("__part")
+    at = both.where("__side = 1").groupBy("__part", "__at").agg(F.max_by("__r", "__r.t").alias("r"))
+    edges = at.groupBy("__part").agg(F.max_by("r", "__at")["row"].alias("last"), F.min_by("r", "__at")["row"].alias("next"))
+    edges = F.broadcast(edges.agg(F.array_sort(F.collect_list(F.struct("__part", "last", "next")), lambda a, b: a["__part"] - b["__part"]).alias("__edges")))
+    df = df.join(edges, F.lit(True), "left")
+    for name in wanted:
+        beyond = F.filter("__edges", lambda e: (e["__part"] < part) if name == "__back" else (e["__part"] > part))
+        near = F.element_at(beyond, -1)["last"] if name == "__back" else F.get(beyond, F.lit(0))["next"]
+        df = df.withColumn(name, F.coalesce(F.col(name), F.when(F.size(beyond) > 0, near)))
+    return df.drop("__edges")
+
+
 @operator("asOfJoin", "left right left_as_of right_as_of", "on direction how tie_break tolerance", sources=lambda p: [p["left"], p["right"]])
 def as_of_join(ctx, p, inputs) -> DataFrame:
     """Every left row with the nearest right row at or before it (backward), at or after it (forward), or either way.
@@ -86,7 +113,9 @@ def as_of_join(ctx, p, inputs) -> DataFrame:
     the earlier. ``tolerance``: the largest distance, in the as-of type's unit (microseconds for timestamps).
 
     With equality keys the sides are stacked and each left row picks its partner from a window over the key, so nothing is
-    joined many-to-many. Other conditions join first and rank then.
+    joined many-to-many. Without any condition the as-of values are cut into stretches at quantiles (found when planning),
+    each a window of its own, and the nearest right row beyond a stretch's edge is carried into it. Other conditions join
+    first and rank then.
     """
     l, r = inputs[p["left"]], inputs[p["right"]]
     la, ra, direction, how = p["left_as_of"], p["right_as_of"], p.get("direction") or "backward", p.get("how") or "left"
@@ -114,21 +143,31 @@ def as_of_join(ctx, p, inputs) -> DataFrame:
         stack = lambda df, side, row, at: df.select(*[F.col(identifier(k[side])).alias(f"__k{n}") for n, k in enumerate(keys)], F.lit(side).alias("__side"), F.col(identifier(at)).alias("__at"), (row if side == 0 else F.lit(None)).alias("__l"), (F.struct(tie.alias("t"), row.alias("row")) if side else F.lit(None)).alias("__r"))
         usable = r.where(F.col(identifier(ra)).isNotNull())
         both = stack(l, 0, row_l, la).unionByName(stack(usable, 1, row_r, ra))
-        by = [F.col(f"__k{n}") for n in range(len(keys))] or [F.lit(0)]
+        no_key = [F.col(f"__k{n}").isNull() for n in range(len(keys))]
+        # rows whose key is null have no partner: each is a partition of its own, all of them together would be one task
+        alone = F.when(F.greatest(F.lit(False), F.lit(False), *no_key), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+        by = [F.col(f"__k{n}") for n in range(len(keys))]
+        both = both.withColumn("__part", alone if keys else stretch_of(both, kind))
+        by.append(F.col("__part"))
         upto = (Window.unboundedPreceding, Window.currentRow)
         back = Window.partitionBy(*by).orderBy(F.col("__at").asc(), F.col("__side").desc(), F.col("__r.t").asc()).rowsBetween(*upto)
         ahead = Window.partitionBy(*by).orderBy(F.col("__at").desc(), F.col("__side").desc(), F.col("__r.t").asc()).rowsBetween(*upto)
+        seen = {}
         if direction != "forward":
-            both = both.withColumn("__back", F.last("__r", ignorenulls=True).over(back)["row"])
+            seen["__back"] = F.last("__r", ignorenulls=True).over(back)["row"]
         if direction != "backward":
-            both = both.withColumn("__ahead", F.last("__r", ignorenulls=True).over(ahead)["row"])
-        df = both.where("__side = 0")
+            seen["__ahead"] = F.last("__r", ignorenulls=True).over(ahead)["row"]
+        found = both
+        for name, column in seen.items():
+            found = found.withColumn(name, column)
+        df = found.where("__side = 0")
+        if not keys:
+            df = carried(df, both, list(seen))
         if direction == "nearest":
             a, b = distance(value("back"), F.col("__at"), kind), distance(value("ahead"), F.col("__at"), kind)
             best = F.when(F.col("__ahead").isNull() | (a <= b), F.col("__back")).otherwise(F.col("__ahead"))
         else:
             best = F.col("__back" if direction == "backward" else "__ahead")
-        no_key = [F.col(f"__k{n}").isNull() for n in range(len(keys))]
         best = F.when(~F.greatest(F.lit(False), F.col("__at").isNull(), *no_key), best)
         df = df.select("__l", best.alias("__best"))
     if p.get("tolerance") is not None:
@@ -143,28 +182,38 @@ def as_of_join(ctx, p, inputs) -> DataFrame:
 def lateral_join(ctx, p, inputs) -> DataFrame:
     """For each left row the right rows that meet ``on``; with ``order_by`` and ``limit``, the first of them.
 
-    ``on`` may use both sides by asset name. A limit is planned as a rank, never as a loop: under equalities, and an order of
-    right columns, right rows are ranked by key before they are joined; otherwise within each left row.
+    ``on`` may use both sides by asset name; without it the type must be cross or left, or a limit given. A limit is planned
+    as a rank, never as a loop: under equalities, and an order of right columns, right rows are ranked by key before they are
+    joined; without a condition the first rows are the same for every left row; otherwise ranks are within each left row.
+    Rows that tie are taken in the order of the right side's columns.
     """
-    from ..functions.expressions import ordering
-
     kind, on = kind_of(p.get("join_type")), [*(p.get("on") or []), *([p["filter"]] if p.get("filter") else [])]
     left, right = inputs[p["left"]], inputs[p["right"]]
     if p.get("columns"):
         right = right.selectExpr(*[normalised(c) for c in p["columns"]])
     if p.get("limit") is None:
         a, b = left.alias(p["left"]), right.alias(p["right"])
-        return a.crossJoin(b) if not on else a.join(b, all_of(on), kind if kind != "cross" else "inner")
+        if on:
+            return a.join(b, all_of(on), kind if kind != "cross" else "inner")
+        if kind not in ("cross", "left"):
+            raise PipelineError(BAD_PARAMETER, f"lateralJoin: {kind} join without a condition; ask for cross")
+        return a.crossJoin(b) if kind == "cross" else a.join(b, F.lit(True), "left")
     if kind not in ("inner", "left"):
         raise PipelineError(BAD_PARAMETER, "lateralJoin: a limit needs an inner or left join")
     names = [c["column"] if isinstance(c, dict) else c for c in p.get("order_by") or []]
     equal = equal_keys(on, p["left"], p["right"], left.columns, right.columns)
+    ties = [F.col(identifier(c)) for c, t in right.dtypes if "map<" not in t and "variant" not in t]
+    if not on:
+        if unknown := [c for c in names if c not in right.columns]:
+            raise PipelineError(BAD_PARAMETER, f"lateralJoin: an order by {', '.join(unknown)} needs a condition")
+        best = right.orderBy(*ordering(p.get("order_by") or []), *ties).limit(int(p["limit"]))
+        return left.alias(p["left"]).join(best.alias(p["right"]), F.lit(True), kind)
     if equal and names and all(c in right.columns for c in names):
-        by = Window.partitionBy(*[F.col(identifier(k)) for _, k in equal]).orderBy(*ordering(p["order_by"]))
+        by = Window.partitionBy(*[F.col(identifier(k)) for _, k in equal]).orderBy(*ordering(p["order_by"]), *ties)
         best = right.withColumn("__nth", F.row_number().over(by)).where(F.col("__nth") <= int(p["limit"])).drop("__nth")
         return left.alias(p["left"]).join(best.alias(p["right"]), all_of(on), kind)
     a = left.withColumn("__lateral", F.monotonically_increasing_id()).alias(p["left"])
-    df = a.join(right.withColumn("__hit", F.lit(1)).alias(p["right"]), all_of(on) if on else F.lit(True), kind)
-    keys = ordering(p.get("order_by") or [c for c in right.columns if c not in left.columns])
+    df = a.join(right.withColumn("__hit", F.lit(1)).alias(p["right"]), all_of(on), kind)
+    keys = [*ordering(p.get("order_by") or []), *[F.col(f"{identifier(p['right'])}.{identifier(c)}") for c, t in right.dtypes if "map<" not in t and "variant" not in t]]
     rank = F.row_number().over(Window.partitionBy("__lateral").orderBy(*keys))
     return df.withColumn("__nth", rank).where(F.col("__nth") <= int(p["limit"])).drop("__nth", "__lateral", "__hit")

@@ -11,22 +11,30 @@ from ..functions.expressions import identifier, normalised, without_alias
 from .registry import known, only, operator
 
 
-def values_of(df: DataFrame, column: str) -> list:
-    """The column's values in order, without null. One small job, as the columns of the result depend on them."""
-    c = F.col(identifier(column))
-    return [r[0] for r in df.select(c).where(c.isNotNull()).distinct().orderBy(c).collect()]
+#: Columns that a pivot or crosstab makes at most, unless told otherwise.
+MAX_VALUES = 10_000
+
+
+def values_of(df: DataFrame, column: str, most: int | None) -> list:
+    """The column's values in order, without null. One small job, as the columns of the result depend on them; more values
+    than ``most`` are an error, so that the driver never holds more."""
+    c, most = F.col(identifier(column)), MAX_VALUES if most is None else int(most)
+    found = [r[0] for r in df.select(c).where(c.isNotNull()).distinct().orderBy(c).limit(most + 1).collect()]
+    if len(found) > most:
+        raise PipelineError(BAD_PARAMETER, f"{column} has more than {most} values: give them, or raise max_values")
+    return found
 
 
 def value_name(v) -> str:
     return str(v).lower() if isinstance(v, bool) else str(v)
 
 
-@operator("pivot", "from group_by pivot_column agg", "values")
+@operator("pivot", "from group_by pivot_column agg", "values max_values")
 def pivot(ctx, p, inputs) -> DataFrame:
     """A column for each value (several aggregates: ``value_alias``); filtered aggregates, so that counts of none are 0."""
     df = only(inputs)
     known(df, [*p["group_by"], p["pivot_column"]], "pivot")
-    values = p["values"] if p.get("values") else values_of(df, p["pivot_column"])
+    values = p["values"] if p.get("values") else values_of(df, p["pivot_column"], p.get("max_values"))
     kind = df.schema[p["pivot_column"]].dataType
     aggregates = [without_alias(a) for a in p["agg"]]
     out = []
@@ -61,13 +69,13 @@ def transpose(ctx, p, inputs) -> DataFrame:
     return text.unpivot([F.col(identifier(c)) for c in index], [F.col(identifier(c)) for c in rest], "column_name", "value")
 
 
-@operator("crosstab", "from col1 col2")
+@operator("crosstab", "from col1 col2", "max_values")
 def crosstab(ctx, p, inputs) -> DataFrame:
     """Counts of each pair of values; rows of col1, a column for each value of col2, 0 where there are none."""
     df = only(inputs)
     known(df, [p["col1"], p["col2"]], "crosstab")
     c2 = F.col(identifier(p["col2"]))
-    columns = [F.count_if(c2 == F.lit(v)).alias(value_name(v)) for v in values_of(df, p["col2"])]
+    columns = [F.count_if(c2 == F.lit(v)).alias(value_name(v)) for v in values_of(df, p["col2"], p.get("max_values"))]
     grouped = df.groupBy(identifier(p["col1"]))
     return grouped.agg(*columns) if columns else df.select(identifier(p["col1"])).distinct()
 
