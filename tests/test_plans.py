@@ -22,48 +22,42 @@ from tributary.quality import run_suites
 from tributary.sources import inspect, read_input, write_output
 from tributary.streaming import deduplicated, plan_stream, read_stream, windowed, write_stream
 
-EMPLOYEES = """id,name,department,salary
-1,Alice,Engineering,120000
-2,Bob,Engineering,110000
-3,Carol,Sales,95000
-4,Dave,Sales,90000
-5,Eve,Marketing,105000
-6,Frank,Engineering,130000
-7,Grace,Marketing,98000
-8,Heidi,Sales,92000
-9,Ivan,Engineering,115000
-10,Judy,Marketing,100000
-"""
-DEPARTMENTS = "id,dept_name,location\nEngineering,Eng,Berlin\nSales,Sal,Paris\nMarketing,Mar,Rome\n"
+#: A harbour master's list: name, harbour and length of each boat.
+FLEET = [("Petrel", "north", 31), ("Osprey", "south", 18), ("Gannet", "north", 44), ("Dunlin", "quay", 12), ("Curlew", "south", 27), ("Avocet", "north", 9), ("Plover", "quay", 53),
+         ("Fulmar", "south", 22), ("Merlin", "east", 36), ("Kittiwake", "north", 15), ("Shearwater", "quay", 48), ("Tern", "south", 7), ("Skua", "quay", 29)]
+HARBOURS = {"north": "Wick", "south": "Looe", "quay": "Cobh"}
+BOATS = "id,name,harbour,length\n" + "".join(f"{k},{n},{h},{m}\n" for k, (n, h, m) in enumerate(FLEET, 101))
+PLACES = "id,town\n" + "".join(f"{h},{t}\n" for h, t in HARBOURS.items())
+LENGTHS = sorted((m for *_, m in FLEET), reverse=True)
 
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     d = tmp_path_factory.mktemp("data")
-    (d / "employees.csv").write_text(EMPLOYEES)
-    (d / "departments.csv").write_text(DEPARTMENTS)
+    (d / "boats.csv").write_text(BOATS)
+    (d / "places.csv").write_text(PLACES)
     return d
 
 
 DOCUMENT = """
 version: "2.0"
 input:
-  - {name: employees, format: csv, path: "${DIR}/employees.csv", options: {header: true}}
-  - {name: departments, format: csv, path: "${DIR}/departments.csv", options: {header: "true"}}
+  - {name: boats, format: csv, path: "${DIR}/boats.csv", options: {header: true}}
+  - {name: places, format: csv, path: "${DIR}/places.csv", options: {header: "true"}}
 transformation:
   - name: joined
     join:
-      left: employees
+      left: boats
       right:
-        - name: departments
+        - name: places
           type: inner
-          on: ["employees.department = departments.id"]
+          on: ["boats.harbour = places.id"]
   - name: by_place
-    group: {from: joined, by: [location], agg: ["avg(salary) AS mean", "count(*) AS n"]}
+    group: {from: joined, by: [town], agg: ["avg(length) AS mean", "count(*) AS n"]}
   - name: top
-    addColumns: {from: employees, columns: [{name: bonus, expression: "salary * 0.1"}]}
+    addColumns: {from: boats, columns: [{name: fee, expression: "length * 2.5"}]}
   - name: sorted
-    orderBy: {from: top, columns: [{column: salary, direction: desc}]}
+    orderBy: {from: top, columns: [{column: length, direction: desc}]}
   - name: first
     limit: {from: sorted, count: 5}
 output:
@@ -75,22 +69,23 @@ output:
 def test_document_runs(spark, folder):
     run = etl(spark, DOCUMENT, {"DIR": str(folder)})
     assert run.written == ["output:0:by_place", "output:1:first"]
-    assert {(r.location, r.n) for r in spark.read.parquet(f"{folder}/out/by_place").collect()} == {("Berlin", 4), ("Paris", 3), ("Rome", 3)}
+    assert {(r.town, r.n) for r in spark.read.parquet(f"{folder}/out/by_place").collect()} == {(t, sum(x == h for _, x, _ in FLEET)) for h, t in HARBOURS.items()}
     first = spark.read.json(f"{folder}/out/first")
-    assert first.count() == 5 and first.agg({"bonus": "max"}).first()[0] == 13000.0
+    assert first.count() == 5 and sorted(r.fee for r in first.collect()) == sorted(2.5 * m for m in LENGTHS[:5])
 
 
 def test_form_b_and_filter(spark, folder):
     text = f"""
 pipeline: {{name: small}}
 assets:
-  - {{asset_ref: e, source: {{input: {{format: csv, path: "{folder}/employees.csv", options: {{header: true}}}}}}}}
-  - {{asset_ref: rich, source: {{where: {{from: e, filter: "salary > 100000"}}}}}}
+  - {{asset_ref: e, source: {{input: {{format: csv, path: "{folder}/boats.csv", options: {{header: true}}}}}}}}
+  - {{asset_ref: rich, source: {{where: {{from: e, filter: "length > 28"}}}}}}
   - {{asset_ref: w, source: {{output: {{from: rich, format: csv, path: "{folder}/b", mode: overwrite}}}}}}
 """
     run = etl(spark, text)
-    assert run.frames["rich"].count() == 5
-    assert read_input(spark, "csv", f"{folder}/b", {"header": True}).count() == 5
+    n = sum(m > 28 for m in LENGTHS)
+    assert run.frames["rich"].count() == n
+    assert read_input(spark, "csv", f"{folder}/b", {"header": True}).count() == n
 
 
 def test_validation(folder):
@@ -122,7 +117,7 @@ def test_waves():
 
 def test_explain():
     text = explain(parse(DOCUMENT.replace("${DIR}", "x")))
-    for part in ("--- Inputs ---", "--- Transformations ---", "--- Outputs ---", "joined = JOIN <- employees, departments (2 inputs)", "Execution waves: 5", "Total: 9 assets"):
+    for part in ("--- Inputs ---", "--- Transformations ---", "--- Outputs ---", "joined = JOIN <- boats, places (2 inputs)", "Execution waves: 5", "Total: 9 assets"):
         assert part in text, text
 
 
@@ -154,17 +149,17 @@ def test_hooks(spark, folder, tmp_path):
 
 
 def test_files(spark, folder, tmp_path):
-    df = read_input(spark, "csv", f"{folder}/employees.csv", {"header": True})
-    assert df.columns == ["id", "name", "department", "salary"] and dict(df.dtypes)["salary"] == "int"
-    assert read_input(spark, "csv", f"{folder}/employees.csv").count() == 11
+    df = read_input(spark, "csv", f"{folder}/boats.csv", {"header": True})
+    assert df.columns == ["id", "name", "harbour", "length"] and dict(df.dtypes)["length"] == "int"
+    assert read_input(spark, "csv", f"{folder}/boats.csv").count() == len(FLEET) + 1
     for kind in ("parquet", "json", "ndjson", "orc", "csv"):
         write_output(df, kind, f"{tmp_path}/{kind}")
-        assert read_input(spark, kind, f"{tmp_path}/{kind}", {"header": True} if kind == "csv" else None).count() == 10
+        assert read_input(spark, kind, f"{tmp_path}/{kind}", {"header": True} if kind == "csv" else None).count() == len(FLEET)
     with pytest.raises(PipelineError, match="E-IO-002"):
         write_output(df, "parquet", f"{tmp_path}/parquet")
     write_output(df, "parquet", f"{tmp_path}/parquet", "ignore")
     write_output(df, "parquet", f"{tmp_path}/parquet", "append")
-    assert spark.read.parquet(f"{tmp_path}/parquet").count() == 20
+    assert spark.read.parquet(f"{tmp_path}/parquet").count() == 2 * len(FLEET)
     for bad in (lambda: read_input(spark, "xls", "p"), lambda: write_output(df, "xls", "p")):
         with pytest.raises(PipelineError, match="E-FMT-001"):
             bad()
@@ -172,12 +167,52 @@ def test_files(spark, folder, tmp_path):
         write_output(df.join(df, "id"), "parquet", f"{tmp_path}/twice")
     with pytest.raises(PipelineError, match="E-IO-002"):
         read_input(spark, "parquet", f"{tmp_path}/nothing")
-    found = inspect(spark, "csv", f"{folder}/employees.csv", {"header": "true"})
-    assert found["rows"] == 10 and found["fields"][0] == {"name": "id", "type": "int", "nullable": True}
+    found = inspect(spark, "csv", f"{folder}/boats.csv", {"header": "true"})
+    assert found["rows"] == len(FLEET) and found["fields"][0] == {"name": "id", "type": "int", "nullable": True}
+
+
+def test_other_origins_and_hooks_from_outside_are_refused(spark, folder):
+    store = JobStore(spark, workers=1)
+    for options, origin, code in ((({}), "http://evil.test", 403), ({"origin": "http://own.test"}, "http://own.test", 202), ({"hooks": False}, None, 400), ({}, None, 202)):
+        server = serve(store, **options)
+        Thread(target=server.serve_forever, daemon=True).start()
+        body = json.dumps({"yaml": DOCUMENT + 'hooks: {pre: ["true"]}\n', "variables": {"DIR": str(folder), "OUT": "origins"}}).encode()
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}/api/jobs", body, {"Origin": origin} if origin else {}, method="POST")
+        try:
+            with urllib.request.urlopen(request) as a:
+                assert (a.status, a.headers["Access-Control-Allow-Origin"]) == (code, options.get("origin"))
+                store.wait(json.loads(a.read())["id"])
+        except urllib.error.HTTPError as e:
+            assert e.code == code
+        server.shutdown()
+    with pytest.raises(PipelineError, match="E-HOOK-001"):
+        store.submit('hooks: {pre: ["true"]}\n' + DOCUMENT, {"DIR": "x"}, hooks=False)
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from tributary.__main__ import arguments, main
+
+    file = tmp_path / "doc.yaml"
+    file.write_text(DOCUMENT)
+    assert main(["validate", str(file), f"DIR={folder}"]) == 0 and main(["validate", str(file)]) == 1
+    assert main(["explain", str(file), f"DIR={folder}"]) == 0 and "joined = JOIN" in capsys.readouterr().out
+    assert main(["run", str(file), f"DIR={folder}", "OUT=cli"]) == 0 and spark.read.json(f"{folder}/cli/first").count() == 5
+    assert main(["run", str(file), "DIR=/nowhere"]) == 1
+    a = arguments(["serve", "--port", "0", "--workers", "3"])
+    assert (a.host, a.port, a.workers, a.hooks) == ("127.0.0.1", 0, 3, False)
+
+
+def test_freshness_compares_points_in_time(spark):
+    df = spark.sql("SELECT timestamp '2024-01-01 12:00:00+05:00' AS at, timestamp_ntz '2024-01-01 07:00:00' AS plain, date '2024-01-01' AS day, '2024-01-01 07:00:00' AS text")
+    checks = lambda age: [{"type": "freshness", "column": c, "max_age": age} for c in ("at", "plain", "text")]
+    for now in (datetime(2024, 1, 1, 8), datetime.fromisoformat("2024-01-01T13:00:00+05:00")):
+        for age, good in (("1h", True), ("59m", False)):
+            found = run_suites([{"suite": "s", "target": "t", "checks": checks(age)}], {"t": df}, now).results
+            assert [r.passed for r in found] == [good] * 3 and found[0].metric == 3600.0
 
 
 def test_overwriting_an_input_is_refused(spark, folder):
-    text = f"input: [{{name: t, format: csv, path: {folder}/employees.csv}}]\noutput: [{{name: t, format: csv, path: {folder}/employees.csv, mode: overwrite}}]"
+    text = f"input: [{{name: t, format: csv, path: {folder}/boats.csv}}]\noutput: [{{name: t, format: csv, path: {folder}/boats.csv, mode: overwrite}}]"
     with pytest.raises(PipelineError, match="overwritten while it is read"):
         etl(spark, text)
 
@@ -200,10 +235,10 @@ def test_jobs_over_http(spark, folder):
     assert call("POST", "/api/validate", body) == (200, {"valid": True})
     assert "JOIN" in call("POST", "/api/explain", body)[1]["plan"]
     assert call("POST", "/api/explain", {"yaml": "x"})[0] == 400
-    assert call("POST", "/api/inspect", {"format": "csv", "path": f"{folder}/employees.csv", "options": {"header": "true"}})[1]["rows"] == 10
+    assert call("POST", "/api/inspect", {"format": "csv", "path": f"{folder}/boats.csv", "options": {"header": "true"}})[1]["rows"] == len(FLEET)
     code, job = call("POST", "/api/jobs", body)
     assert code == 202 and call("GET", f"/api/jobs/{job['id']}/wait?timeout=60")[1]["status"] == COMPLETED
-    failing = {"yaml": DOCUMENT.replace("employees.csv", "none.csv"), "variables": body["variables"]}
+    failing = {"yaml": DOCUMENT.replace("boats.csv", "none.csv"), "variables": body["variables"]}
     failed = call("GET", f"/api/jobs/{call('POST', '/api/jobs', failing)[1]['id']}/wait")[1]
     assert failed["status"] == FAILED and "E-IO-002" in failed["error"]
     assert call("POST", "/api/jobs", {"yaml": "x"})[0] == 400 and call("GET", "/api/jobs/nope")[0] == 404

@@ -15,7 +15,7 @@ from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import SparkSession
 
-from ..errors import PipelineError
+from ..errors import HOOK, PipelineError
 from ..sources import inspect
 from .executor import etl, validate
 from .explain import explain
@@ -29,6 +29,7 @@ ENDED = (COMPLETED, FAILED, CANCELLED)
 class Job:
     text: str
     variables: dict[str, str]
+    hooks: bool = True
     id: str = field(default_factory=lambda: str(uuid.uuid4()))
     status: str = QUEUED
     error: str | None = None
@@ -48,10 +49,12 @@ class JobStore:
         self.spark, self.jobs, self.change = spark, {}, threading.Condition()
         self.pool = ThreadPoolExecutor(max_workers=workers or os.cpu_count())
 
-    def submit(self, text: str, variables: dict[str, str] | None = None) -> Job:
-        """Checks the document first; one that isn't valid raises and makes no job."""
-        parse(text, variables)
-        job = Job(text, variables or {})
+    def submit(self, text: str, variables: dict[str, str] | None = None, hooks: bool = True) -> Job:
+        """Checks the document first; one that isn't valid raises and makes no job, nor does one with hooks if ``hooks`` is
+        false: these are shell commands."""
+        if parse(text, variables).hooks and not hooks:
+            raise PipelineError(HOOK, "documents with hooks are not taken here")
+        job = Job(text, variables or {}, hooks)
         with self.change:
             self.jobs[job.id] = job
         self.pool.submit(self.run, job)
@@ -95,15 +98,22 @@ class JobStore:
         self.pool.shutdown(wait=True, cancel_futures=True)
 
 
-def serve(store: JobStore, host: str = "127.0.0.1", port: int = 0, version: str = "1") -> ThreadingHTTPServer:
-    """An HTTP server (call serve_forever): /api/health, validate, explain, inspect, jobs, jobs/{id}, jobs/{id}/wait."""
+def serve(store: JobStore, host: str = "127.0.0.1", port: int = 0, version: str = "1", hooks: bool | None = None, origin: str | None = None) -> ThreadingHTTPServer:
+    """An HTTP server (call serve_forever): /api/health, validate, explain, inspect, jobs, jobs/{id}, jobs/{id}/wait.
+
+    hooks: take documents that hold shell commands; unless told, only where the port can be reached from this machine alone. origin: the one web origin whose pages may
+    read answers; requests that name another are refused, so that a page a browser happens to show can't start jobs.
+    """
+
+    hooks = host in ("127.0.0.1", "::1", "localhost") if hooks is None else hooks
 
     class Handler(BaseHTTPRequestHandler):
         def answer(self, code: int, body) -> None:
             raw = json.dumps(body).encode()
             self.send_response(code)
             self.send_header("Content-Type", "application/json")
-            self.send_header("Access-Control-Allow-Origin", "*")
+            if origin:
+                self.send_header("Access-Control-Allow-Origin", origin)
             self.send_header("Content-Length", str(len(raw)))
             self.end_headers()
             self.wfile.write(raw)
@@ -111,6 +121,9 @@ def serve(store: JobStore, host: str = "127.0.0.1", port: int = 0, version: str
         def handle_one(self, method: str) -> None:
             url = urlsplit(self.path)
             size = int(self.headers.get("Content-Length") or 0)
+            if self.headers.get("Origin") not in (None, origin):
+                self.rfile.read(size)
+                return self.answer(403, {"error": "other origin"})
             try:
                 body = json.loads(self.rfile.read(size)) if size else {}
                 self.answer(*self.routed(method, url.path.rstrip("/"), parse_qs(url.query), body))
@@ -130,7 +143,7 @@ def serve(store: JobStore, host: str = "127.0.0.1", port: int = 0, version: str
             if (method, path) == ("POST", "/api/inspect"):
                 return 200, inspect(store.spark, body.get("format", ""), body.get("path", ""), body.get("options"))
             if (method, path) == ("POST", "/api/jobs"):
-                return 202, store.submit(text, variables).view()
+                return 202, store.submit(text, variables, hooks).view()
             if (method, path) == ("GET", "/api/jobs"):
                 return 200, [j.view() for j in store.jobs.values()]
             if m := re.fullmatch(r"/api/jobs/([^/]+)(/wait)?", path):

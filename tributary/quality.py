@@ -91,7 +91,7 @@ def metrics(check: dict) -> list[Column]:
     if kind == "statistical":
         return [STATISTICS[s](F.col(identifier(check["column"]))).cast("double") for s in STATISTICS if s in check]
     if kind == "freshness":
-        return [F.max(F.col(identifier(check["column"])))]
+        return [F.unix_micros(F.max(F.col(identifier(check["column"]))).cast("timestamp"))]  # a point in time, whatever the zones
     if kind in ("cross_column", "crossColumn", "custom"):
         return [ratio(expr(check.get("condition") or check["expression"]))]
     return []
@@ -123,8 +123,8 @@ def judged(suite: str, check: dict, values: list, frames: dict[str, DataFrame],
         if last is None:
             passed, message = False, "no value"
         else:
-            last = last if isinstance(last, datetime) else datetime.combine(last, datetime.min.time()) if hasattr(last, "year") else datetime.fromisoformat(str(last))
-            old = now.replace(tzinfo=None) - last.replace(tzinfo=None)
+            last = datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=last)
+            old = (now if now.tzinfo else now.replace(tzinfo=timezone.utc)) - last
             metric = old.total_seconds()
             passed, message = check.get("max_age") is None or old <= age(check["max_age"]), f"last value {last}"
     elif kind in ("completeness", "uniqueness", "validity", "cross_column", "crossColumn", "custom"):
@@ -136,7 +136,8 @@ def judged(suite: str, check: dict, values: list, frames: dict[str, DataFrame],
 
 
 def run_suites(suites: list[dict], frames: dict[str, DataFrame], now: datetime | None = None) -> QualityReport:
-    """Results in the order of suites and checks; a check that can't be run is a failed one.
+    """Results in the order of suites and checks; a check that can't be run is a failed one. ``now`` without a zone is UTC;
+    dates and times without one are read in the session's.
 
     A suite: {suite, target, filter?, checks[], escalate?}. ``escalate: n`` turns warnings into errors if n checks fail.
     """
