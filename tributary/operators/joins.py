@@ -81,27 +81,31 @@ def distance(a: Column, b: Column, kind: T.DataType) -> Column:
 STRETCHES = 200
 
 
-def stretch_of(both: DataFrame, kind: T.DataType) -> Column:
-    """The number of the quantiles at or below ``__at``: equal values share a stretch, and stretches ascend with values."""
+def stretch_of(both: DataFrame, kind: T.DataType) -> tuple[Column, int]:
+    """The number of the quantiles at or below ``__at``, and of the quantiles: equal values share a stretch, and stretches
+    ascend with values."""
     if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         raise PipelineError(BAD_PARAMETER, f"asOfJoin: without on, values must be numbers, dates or timestamps, not {kind.simpleString()}")
     shares = F.array(*[F.lit((k + 1) / STRETCHES) for k in range(STRETCHES - 1)])
     bounds = sorted(set(both.agg(F.percentile_approx("__at", shares, 10 * STRETCHES)).first()[0] or []))
-    return F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col("__at"))) if bounds else F.lit(0)
+    return (F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col("__at"))) if bounds else F.lit(0)), len(bounds)
 
 
-def carried(df: DataFrame, both: DataFrame, wanted: list[str]) -> DataFrame:
+def carried(df: DataFrame, both: DataFrame, wanted: list[str], stretches: int) -> DataFrame:
     """df with the nearest right row of the stretches before (__back) or behind (__ahead) where its own has none."""
     part = F.col("__part")
     at = both.where("__side = 1").groupBy("__part", "__at").agg(F.max_by("__r", "__r.t").alias("r"))
     edges = at.groupBy("__part").agg(F.max_by("r", "__at")["row"].alias("last"), F.min_by("r", "__at")["row"].alias("next"))
-    edges = F.broadcast(edges.agg(F.array_sort(F.collect_list(F.struct("__part", "last", "next")), lambda a, b: a["__part"] - b["__part"]).alias("__edges")))
-    df = df.join(edges, F.lit(True), "left")
+    edges = edges.agg(F.array_sort(F.collect_list(F.struct("__part", "last", "next")), lambda a, b: a["__part"] - b["__part"]).alias("__edges"))
+    edges = edges.select("__edges", F.explode(F.sequence(F.lit(-1), F.lit(stretches))).alias("__part"))  # -1: a null value's
     for name in wanted:
         beyond = F.filter("__edges", lambda e: (e["__part"] < part) if name == "__back" else (e["__part"] > part))
         near = F.element_at(beyond, -1)["last"] if name == "__back" else F.get(beyond, F.lit(0))["next"]
-        df = df.withColumn(name, F.coalesce(F.col(name), F.when(F.size(beyond) > 0, near)))
-    return df.drop("__edges")
+        edges = edges.withColumn(f"{name}_edge", F.when(F.size(beyond) > 0, near))
+    df = df.join(F.broadcast(edges.drop("__edges")), "__part", "left")
+    for name in wanted:
+        df = df.withColumn(name, F.coalesce(F.col(name), F.col(f"{name}_edge")))
+    return df
 
 
 @operator("asOfJoin", "left right left_as_of right_as_of", "on direction how tie_break tolerance", sources=lambda p: [p["left"], p["right"]])
@@ -147,7 +151,8 @@ def as_of_join(ctx, p, inputs) -> DataFrame:
         # rows whose key is null have no partner: each is a partition of its own, all of them together would be one task
         alone = F.when(F.greatest(F.lit(False), F.lit(False), *no_key), F.monotonically_increasing_id()).otherwise(F.lit(-1))
         by = [F.col(f"__k{n}") for n in range(len(keys))]
-        both = both.withColumn("__part", alone if keys else stretch_of(both, kind))
+        stretch, stretches = (alone, 0) if keys else stretch_of(both, kind)
+        both = both.withColumn("__part", stretch)
         by.append(F.col("__part"))
         upto = (Window.unboundedPreceding, Window.currentRow)
         back = Window.partitionBy(*by).orderBy(F.col("__at").asc(), F.col("__side").desc(), F.col("__r.t").asc()).rowsBetween(*upto)
@@ -162,7 +167,7 @@ def as_of_join(ctx, p, inputs) -> DataFrame:
             found = found.withColumn(name, column)
         df = found.where("__side = 0")
         if not keys:
-            df = carried(df, both, list(seen))
+            df = carried(df, both, list(seen), stretches)
         if direction == "nearest":
             a, b = distance(value("back"), F.col("__at"), kind), distance(value("ahead"), F.col("__at"), kind)
             best = F.when(F.col("__ahead").isNull() | (a <= b), F.col("__back")).otherwise(F.col("__ahead"))
@@ -207,7 +212,11 @@ def lateral_join(ctx, p, inputs) -> DataFrame:
         if unknown := [c for c in names if c not in right.columns]:
             raise PipelineError(BAD_PARAMETER, f"lateralJoin: an order by {', '.join(unknown)} needs a condition")
         best = right.orderBy(*ordering(p.get("order_by") or []), *ties).limit(int(p["limit"]))
-        return left.alias(p["left"]).join(best.alias(p["right"]), F.lit(True), kind)
+        row = F.struct(*[F.col(identifier(c)) for c in right.columns])
+        attached = left.select(F.struct(*[F.col(identifier(c)) for c in left.columns]).alias("__l"), best.agg(F.collect_list(row)).scalar().alias("__r"))
+        attached = attached.select("__l", (F.explode if kind == "inner" else F.explode_outer)("__r").alias("__r"))
+        sides = [F.col(f"{side}.{identifier(c)}").alias(c) for side, df in (("__l", left), ("__r", right)) for c in df.columns]
+        return attached.select(*sides)
     if equal and names and all(c in right.columns for c in names):
         by = Window.partitionBy(*[F.col(identifier(k)) for _, k in equal]).orderBy(*ordering(p["order_by"]), *ties)
         best = right.withColumn("__nth", F.row_number().over(by)).where(F.col("__nth") <= int(p["limit"])).drop("__nth")

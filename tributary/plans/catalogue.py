@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import threading
+import uuid
 from collections.abc import Callable
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import register_function
+from ..errors import IO, PipelineError
+from ..functions import register_function, register_table_function
 from ..operators import Context, plan, register_component
 from ..quality import run_suites
-from ..sources import read_input
+from ..sources import inspect, read_input, write_output
+from ..streaming import deduplicated, plan_stream, read_stream, windowed, write_stream
 from .executor import planned
 from .parser import parse
 
@@ -182,6 +188,18 @@ as_of("nearest", "true", "abs(epoch_us(click_ts) - epoch_us(b.ts)) ASC NULLS LAS
 simple("lateral_top", "lateralJoin", {"left": "customer", "right": "orders", "join_type": "left", "on": ["customer.c_custkey = orders.o_custkey"], "order_by": [{"column": "o_totalprice", "direction": "desc"}, "o_orderkey"], "limit": 2}, "SELECT c.*, o.* FROM customer c LEFT JOIN orders o ON c_custkey = o_custkey QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) <= 2")
 simple("lateral_plain", "lateralJoin", {"left": "region", "right": "nation", "join_type": "inner", "on": ["region.r_regionkey = nation.n_regionkey"]}, "SELECT * FROM region JOIN nation ON r_regionkey = n_regionkey")
 
+simple("lateral_left_without_condition", "lateralJoin", {"left": "region", "right": "nation", "join_type": "left", "columns": ["n_name", "n_nationkey"], "order_by": ["n_name"], "limit": 3}, "SELECT * FROM region, (SELECT n_name, n_nationkey FROM nation ORDER BY n_name LIMIT 3)")
+
+
+@query(
+    "asof_without_keys",
+    f"SELECT b.*, c.* FROM {BUYS} b ASOF LEFT JOIN (SELECT * FROM {CLICKS} QUALIFY row_number() OVER (PARTITION BY click_ts ORDER BY click_id DESC) = 1) c ON b.ts >= c.click_ts",
+)
+def asof_without_keys(t: Tables) -> DataFrame:
+    buys, clicks = visits(t)
+    return t.run("asOfJoin", {"left": "buys", "right": "clicks", "left_as_of": "ts", "right_as_of": "click_ts", "tie_break": "click_id"}, buys=buys, clicks=clicks)
+
+
 # Windows
 
 simple("window_rank", "window", {"from": "orders", "partition_by": ["o_custkey"], "order_by": [{"column": "o_totalprice", "direction": "desc"}, "o_orderkey"], "frame": {"frame_type": "range", "start": "UNBOUNDED PRECEDING", "end": "CURRENT ROW"}, "functions": [{"expression": "row_number()", "alias": "rn"}, {"expression": "dense_rank()", "alias": "dr"}, {"expression": "ntile(3)", "alias": "third"}]}, "SELECT *, CAST(row_number() OVER w AS INT) AS rn, CAST(dense_rank() OVER w AS INT) AS dr, CAST(ntile(3) OVER w AS INT) AS third FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey)")
@@ -310,6 +328,34 @@ def merge_all(t: Tables) -> DataFrame:
     }, t=t["customer"].select("c_custkey", "c_name", "c_acctbal"), s=shifted(t))
 
 
+@query(
+    "merge_mostly_inserts",
+    """SELECT c_custkey, c_name, CASE WHEN c_custkey IN (SELECT o_orderkey FROM orders) THEN -1.0 ELSE c_acctbal END AS c_acctbal FROM customer
+       UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)""",
+)
+def merge_mostly_inserts(t: Tables) -> DataFrame:
+    """Ten times as many rows in the source as in the target: nearly all are inserted."""
+    source = t.run("select", {"from": "orders", "columns": ["o_orderkey AS c_custkey", "o_orderstatus AS c_name", "o_totalprice AS c_acctbal"]})
+    return t.run("merge", {
+        "target": "t", "source": "s", "on": ["t.c_custkey = s.c_custkey"],
+        "when_matched": [{"action": "update", "set": {"c_acctbal": "-1.0"}}], "when_not_matched": [{"action": "insert", "star": True}],
+    }, t=t["customer"].select("c_custkey", "c_name", "c_acctbal"), s=source)
+
+
+@query(
+    "scd2_null_keys",
+    """SELECT k, v, start_date, end_date, is_current FROM (
+         SELECT NULL::INT AS k, 'none' AS v, TIMESTAMP '2020-01-01' AS start_date, TIMESTAMP '2024-01-01' AS end_date, false AS is_current
+         UNION ALL SELECT NULL, 'some', TIMESTAMP '2024-01-01', NULL, true
+         UNION ALL SELECT n_nationkey, n_name, TIMESTAMP '2020-01-01', NULL, true FROM nation)""",
+)
+def scd2_null_keys(t: Tables) -> DataFrame:
+    cur = t.spark.createDataFrame([(None, "none")], "k int, v string").unionByName(t["nation"].selectExpr("n_nationkey AS k", "n_name AS v"))
+    inc = t.spark.createDataFrame([(None, "some")], "k int, v string").unionByName(t["nation"].selectExpr("n_nationkey AS k", "n_name AS v"))
+    cur = cur.selectExpr("k", "v", "timestamp_ntz '2020-01-01' AS start_date", "CAST(NULL AS TIMESTAMP_NTZ) AS end_date", "true AS is_current")
+    return t.run("scd2", {"current": "cur", "incoming": "inc", "key_columns": ["k"], "track_columns": ["v"]}, cur=cur, inc=inc)
+
+
 # Checks
 
 simple("assertion_drop", "assertion", {"from": "lineitem", "on_failure": "drop", "checks": [{"rule": "l_quantity < 40"}, {"column": "l_orderkey", "rule": "not_null"}, {"rule": "nullif(l_returnflag, 'N') = 'A'"}]}, "SELECT * FROM lineitem WHERE l_quantity < 40 AND coalesce(nullif(l_returnflag, 'N') = 'A', true)")
@@ -331,8 +377,196 @@ def quality_report(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(r.check_type, r.passed, r.metric) for r in report.results], kind)
 
 
+CHECKS = [
+    {"type": "schema", "required": ["o_orderkey", "o_custkey"]},
+    {"type": "schema", "required": ["o_orderkey", "o_nothing"]},
+    {"type": "statistical", "column": "o_orderkey", "max": {"min": 1}, "min": {"max": 5}},
+    {"type": "freshness", "column": "o_orderdate", "max_age": "36500d"},
+    {"type": "freshness", "column": "o_orderdate", "max_age": "1h"},
+    {"type": "crossColumn", "condition": "o_totalprice >= 0 OR o_custkey > 0"},
+    {"type": "custom", "expression": "o_orderkey % 4 = 0", "threshold": 0.9},
+]
+AGE_SQL = "epoch(TIMESTAMP '2024-01-01') - epoch(max(o_orderdate))"
+
+
+@query(
+    "quality_report_more",
+    f"""SELECT 0 AS n, 'schema' AS check_type, true AS passed, NULL::DOUBLE AS metric UNION ALL SELECT 1, 'schema', false, NULL
+       UNION ALL SELECT 2, 'statistical', max(o_orderkey) >= 1 AND min(o_orderkey) <= 5, min(o_orderkey)::DOUBLE FROM orders
+       UNION ALL SELECT 3, 'freshness', true, {AGE_SQL} FROM orders UNION ALL SELECT 4, 'freshness', {AGE_SQL} <= 3600, {AGE_SQL} FROM orders
+       UNION ALL SELECT 5, 'crossColumn', true, 1.0 UNION ALL SELECT 6, 'custom', false, count(*) FILTER (WHERE o_orderkey % 4 = 0) / count(*) FROM orders""",
+)
+def quality_report_more(t: Tables) -> DataFrame:
+    report = run_suites([{"suite": "orders", "target": "orders", "checks": CHECKS}], {"orders": t["orders"]}, NOW)
+    return t.spark.createDataFrame([(n, r.check_type, r.passed, r.metric) for n, r in enumerate(report.results)], "n int, check_type string, passed boolean, metric double")
+
+
+# Files: what is written is read back
+
+ROUND_TRIP_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all machines see, beside the checkpoints; of the machine's own only where one machine is all."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: files can't be written where all machines see them")
+    return f"{shared or tempfile.gettempdir()}/round-trip-{uuid.uuid4()}"
+
+
+def round_trip(format: str, writing: dict | None = None, reading: dict | None = None) -> None:
+    def f(t: Tables) -> DataFrame:
+        df, path = t.run("select", {"from": "orders", "columns": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]}), scratch(t.spark)
+        write_output(df, format, path, "error", writing)
+        return read_input(t.spark, format, path, {**(reading or {}), "schema": ", ".join(f"{n} {k}" for n, k in df.dtypes)})
+
+    query(f"round_trip_{format}", ROUND_TRIP_SQL)(f)
+
+
+round_trip("csv", {"header": True}, {"header": True})
+round_trip("json")
+round_trip("ndjson")
+round_trip("orc")
+round_trip("parquet", {"compression": "zstd"})
+round_trip("xml", {"rowTag": "order"}, {"rowTag": "order"})
+
+
+@query("round_trip_text", "SELECT n_name AS value FROM nation")
+def round_trip_text(t: Tables) -> DataFrame:
+    path = scratch(t.spark)
+    write_output(t.run("select", {"from": "nation", "columns": ["n_name"]}), "text", path)
+    return read_input(t.spark, "text", path)
+
+
+def written(name: str, modes: list[str], sql: str) -> None:
+    """Suppliers written once, then customers' keys by each mode; a refused write is a row less."""
+
+    def f(t: Tables) -> DataFrame:
+        path = scratch(t.spark)
+        write_output(t.run("select", {"from": "supplier", "columns": ["s_suppkey AS k", "'s' AS side"]}), "parquet", path)
+        for mode in modes:
+            try:
+                write_output(t.run("select", {"from": "customer", "columns": ["c_custkey AS k", "'c' AS side"]}), "parquet", path, mode)
+            except PipelineError as e:
+                if e.code != IO:
+                    raise
+        return read_input(t.spark, "parquet", path)
+
+    query(f"write_{name}", sql)(f)
+
+
+OF_S, OF_C = "SELECT s_suppkey AS k, 's' AS side FROM supplier", "SELECT c_custkey AS k, 'c' AS side FROM customer"
+written("error", ["error"], OF_S)
+written("ignore", ["ignore"], OF_S)
+written("append", ["append"], f"{OF_S} UNION ALL {OF_C}")
+written("overwrite", ["overwrite"], OF_C)
+written("modes_in_turn", ["append", "ignore", "overwrite", "append"], f"{OF_C} UNION ALL {OF_C}")
+
+
+@query("inspect", "SELECT 'n_nationkey' AS name, 'int' AS type, count(*) AS n FROM nation UNION ALL SELECT 'n_name', 'string', count(*) FROM nation UNION ALL SELECT 'n_regionkey', 'int', count(*) FROM nation")
+def inspected(t: Tables) -> DataFrame:
+    found = inspect(t.spark, "parquet", f"{t.sf_dir}/nation.parquet")
+    return t.spark.createDataFrame([(x["name"], x["type"], found["rows"]) for x in found["fields"]], "name string, type string, n long")
+
+
+simple("sample_whole", "sample", {"from": "lineitem", "fraction": 1.0, "seed": 7}, "SELECT * FROM lineitem")
+
+
+@query("sample_share", "SELECT true AS near, 0::BIGINT AS strangers, true AS repeatable")
+def sample_share(t: Tables) -> DataFrame:
+    """A tenth within five standard deviations, only rows of the table, the same rows again for the same seed."""
+    a, b = (t.run("sample", {"from": "lineitem", "fraction": 0.1, "seed": 42}) for _ in range(2))
+    parts = [a, b, t["lineitem"], t.run("except", {"left": "a", "right": "lineitem"}, a=a)]
+    digests = [df.select(F.lit(k).alias("k"), F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h")) for k, df in enumerate(parts)]
+    one = t.run("union", {"sources": [f"p{k}" for k in range(4)]}, **{f"p{k}": d for k, d in enumerate(digests)})
+    one = one.agg(*[F.count_if(F.col("k") == k).alias(f"n{k}") for k in range(4)], *[F.sum(F.when(F.col("k") == k, F.col("h"))).alias(f"h{k}") for k in range(2)])
+    return one.selectExpr("abs(n0 - 0.1 * n2) <= 5 * sqrt(0.09 * n2) AS near", "n3 AS strangers", "n0 = n1 AND h0 <=> h1 AS repeatable")
+
+
 # SQL and extensions
 
+simple("math_functions", "select", {"from": "lineitem", "columns": ["l_orderkey", "l_linenumber", "abs(l_discount - 0.05) AS a", "ceil(l_quantity / 7) AS c", "floor(l_quantity / 7) AS f", "round(sqrt(l_extendedprice), 6) AS s", "pmod(l_orderkey, 13) AS m", "CAST(sign(l_tax - 0.04) AS INT) AS g", "round(ln(l_quantity), 6) AS l", "round(power(l_tax + 1, 3), 6) AS p", "greatest(l_discount, l_tax) AS top", "least(l_discount, l_tax) AS low"]}, "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS a, CAST(ceil(l_quantity / 7) AS BIGINT) AS c, CAST(floor(l_quantity / 7) AS BIGINT) AS f, round(sqrt(l_extendedprice), 6) AS s, l_orderkey % 13 AS m, CAST(sign(l_tax - 0.04) AS INT) AS g, round(ln(l_quantity), 6) AS l, round(power(l_tax + 1, 3), 6) AS p, greatest(l_discount, l_tax) AS top, least(l_discount, l_tax) AS low FROM lineitem")
+simple("approximate_aggregates", "group", {"from": "lineitem", "by": ["l_returnflag"], "agg": ["abs(approx_count_distinct(l_partkey) - count(distinct l_partkey)) <= 0.2 * count(distinct l_partkey) AS near", "abs(percentile_approx(l_quantity, 0.5, 10000) - percentile(l_quantity, 0.5)) <= 1 AS middle"]}, "SELECT DISTINCT l_returnflag, true AS near, true AS middle FROM lineitem")
+
+
+@query("table_function", "SELECT n_nationkey, n_name, i, n_nationkey * i AS product FROM nation, (VALUES (1), (2), (3)) AS v(i)")
+def table_function(t: Tables) -> DataFrame:
+    class Multiples:
+        def eval(self, n: int, most: int):
+            for i in range(1, most + 1):
+                yield i, n * i
+
+    register_table_function(t.spark, "multiples", Multiples, "i int, product int")
+    return t.run("sql", {"views": ["nation"], "query": "SELECT n_nationkey, n_name, i, product FROM nation, LATERAL multiples(n_nationkey, 3)"})
+
+
+@query("enrich", "SELECT n_nationkey, n_name, n_regionkey, CASE WHEN n_nationkey % 5 <> 0 THEN '<' || upper(n_name) || '>' END AS body FROM nation")
+def enriched(t: Tables) -> DataFrame:
+    """Bodies from a small server of this process, written while it runs; keys it doesn't know give null."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    known = {r.n_name for r in t["nation"].where("n_nationkey % 5 != 0").collect()}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            key = unquote(self.path.rsplit("/", 1)[1])
+            self.send_response(200 if key in known else 404)
+            self.end_headers()
+            self.wfile.write(f"<{key.upper()}>".encode())
+
+        def log_message(self, *args) -> None:
+            pass
+
+    host = t.spark.conf.get("spark.driver.host", "127.0.0.1")
+    server = ThreadingHTTPServer((host, 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    path = scratch(t.spark)
+    try:
+        p = {"from": "nation", "url": f"http://{host}:{server.server_port}/n/${{keyColumn}}", "key_column": "n_name", "response_column": "body"}
+        write_output(t.run("enrich", {**p, "on_error": "null", "max_retries": 1}), "parquet", path)
+    finally:
+        server.shutdown()
+    return read_input(t.spark, "parquet", path)
+
+
+def streamed(name: str, sql: str, mode: str = "append"):
+    """A query over the table that a stream has written when it has read all there is."""
+
+    def wrap(f: Callable[[DataFrame], DataFrame]):
+        def run(t: Tables) -> DataFrame:
+            path = scratch(t.spark)
+            static = t["events"].select("event_id", "user_id", "event_type", "ts")
+            write_output(static.withColumn("ts", F.col("ts").cast("timestamp")).repartition(3), "parquet", f"{path}/in")
+            source = read_stream(t.spark, "parquet", "event_id long, user_id long, event_type string, ts timestamp", f"{path}/in")
+            if mode == "append":
+                write_stream(f(source), "parquet", f"{path}/log", f"{path}/out").awaitTermination()
+                return read_input(t.spark, "parquet", f"{path}/out")
+            table = f"stream_{uuid.uuid4().hex}"
+            write_stream(f(source), "memory", f"{path}/log", mode=mode, options={"queryName": table}).awaitTermination()
+            return t.spark.table(table)
+
+        query(name, sql)(run)
+        return f
+
+    return wrap
+
+
+@streamed("stream_stateless", "SELECT event_id, user_id, event_type = 'purchase' AS bought FROM events WHERE event_type <> 'click'")
+def stream_stateless(df: DataFrame) -> DataFrame:
+    return plan_stream([("where", {"from": "stream", "filter": "event_type != 'click'"}), ("addColumns", {"from": "stream", "columns": [{"name": "bought", "expression": "event_type = 'purchase'"}]}), ("select", {"from": "stream", "columns": ["event_id", "user_id", "bought"]})], df)
+
+
+@streamed("stream_windowed", "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, count(*) AS n FROM events GROUP BY ALL", "complete")
+def stream_windowed(df: DataFrame) -> DataFrame:
+    out = windowed(df, "ts", ["count(*) AS n"], "1 day", by=["event_type"], late="3650 days")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@streamed("stream_deduplicated", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_deduplicated(df: DataFrame) -> DataFrame:
+    return deduplicated(df, ["user_id", "event_type"], "ts", "36500 days").select("user_id", "event_type")
+
+
 simple("sql_op", "sql", {"views": ["orders", "customer"], "query": 'SELECT "c_mktsegment", count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1'}, "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 
 
