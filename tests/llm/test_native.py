@@ -183,11 +183,28 @@ def test_decontamination_against_brute_force(spark):
             assert x.item_ids == sorted(want) and x.contaminated == bool(want), (x, want)
 
 
+def test_a_large_benchmark_is_one_pass(spark):
+    """Beyond the broadcast size the documents are scanned once, and a seed of many documents is no cross product."""
+    items = spark.createDataFrame([(k, " ".join(words(30, 5000 + k, 9000))) for k in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(words(25, 7000 + k, 9000) + words(30, 5000 + k % 310, 9000))) for k in range(620)], "doc_id long, text string")
+    small, large = (decontaminate.contaminated(docs, items, block_tokens=n, short_items=True) for n in (50_000, 100))
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    assert large.where("contaminated").count() == 600
+    seeds = decontaminate.seeds(items.select("item_id", decontaminate.tokens(items.text).alias("t")).selectExpr("item_id", "transform(t, x -> xxhash64(x)) AS ih"), "ih", "q", ["ih"])
+    rows_of = {r["row"]: r.words for r in decontaminate.bitmap(seeds, 1 << 17).collect()}
+    found = {r.seed % (1 << 17) for r in seeds.select("seed").collect()}
+    held = {row * decontaminate.ROW_BITS + 64 * w + b for row, words_ in rows_of.items() for w, m in enumerate(words_) for b in range(64) if m >> b & 1}
+    assert held == found and all(len(w) == decontaminate.ROW_BITS // 64 for w in rows_of.values())
+
+
 def test_decontamination_awkward_rows(spark):
     bench = spark.createDataFrame([(1, " ".join(words(20, 1)))], "item_id long, text string")
     got = decontaminate.contaminated(frame(spark), bench).collect()
     assert len(got) == len(rows())
     assert {x.doc_id for x in got if x.contaminated} == {15, 18, 21, 24}
+    long = spark.createDataFrame([(1, " ".join(words(200_000, 8)) + " " + " ".join(words(20, 1)), "mine"), (2, None, None)], "doc_id long, text string, item_ids string")
+    for block in (50_000, 1):
+        assert [(x.doc_id, x.item_ids) for x in decontaminate.contaminated(long, bench, block_tokens=block).orderBy("doc_id").collect()] == [(1, [1]), (2, [])]
     assert decontaminate.contaminated(frame(spark), bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0
 

@@ -9,11 +9,14 @@ allowed, and items of five or six tokens must occur unchanged. Items under five
 ``short_items`` 0.8 holds for every length: items that three masks can't serve have lighter ones of their own (``LIGHT``),
 made only if the benchmark holds such items.
 
-The benchmark side is broadcast in blocks of at most ``block_tokens`` tokens, a fixed size, whatever the benchmark's; the
-documents stream past each block once, and only verified meetings are shuffled.
+The documents are read once for each set of masks, whatever the benchmark's size. One of at most ``block_tokens`` tokens is
+broadcast with the tokens around each seed, and only verified meetings are shuffled. Of a larger one a bitmap of its seeds'
+hashes is broadcast, 16 bits a seed and ``MOST_BITS`` at most; the few document seeds that the bitmap doesn't rule out are
+shuffled with the tokens around them and joined with the benchmark's.
 
 Defined cases: null text has no tokens; rows equal in doc_id and text are one document; null doc_id is an id of its own;
-equal items are all reported; an empty benchmark finds nothing.
+equal items are all reported; an empty benchmark finds nothing; a very long text is one row of tokens, of which only slices
+travel; input columns named ``item_ids`` or ``contaminated`` are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 5, 6))
 #: does; of five, one leaves the first or the second mask; shorter items must occur unchanged.
 LIGHT = (((1,), ((0,),)), ((2,), ((0, 1),)), ((3, 4, 5, 6, 10), ((0, 1, 2), (0, 1, 3))))
 KEY = ["__dc_d", "__dc_t"]
+#: Bits of a bitmap of seeds at most: 128 MB. Bits of one of its rows.
+MOST_BITS, ROW_BITS = 1 << 30, 1 << 15
 
 
 def tokens(text: Column) -> Column:
@@ -52,17 +57,33 @@ def seeds(df: DataFrame, hashes: str, place: str, carried: list[str], offsets=MA
     return df.select(*carried, place, F.explode(F.array(*masks)).alias("seed")).where("seed IS NOT NULL")
 
 
-def found_in(docs: DataFrame, items: DataFrame, offsets=MASKS, bad: str | None = None) -> DataFrame:
+def bitmap(bench: DataFrame, bits: int) -> DataFrame:
+    """(row, words): the seeds' hashes as bits, in rows of 64-bit words; rows without any are left out."""
+    at = bench.select(F.expr(f"pmod(seed, {bits})").alias("x"))
+    words = at.groupBy(F.expr(f"x DIV {ROW_BITS}").alias("row"), F.expr(f"CAST((x % {ROW_BITS}) DIV 64 AS INT)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(x % 64 AS INT))")).alias("m"))
+    rows = words.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("of"))
+    return rows.select("row", F.expr(f"transform(sequence(0, {ROW_BITS // 64 - 1}), i -> coalesce(of[i], 0L))").alias("words"))
+
+
+def found_in(docs: DataFrame, items: DataFrame, offsets=MASKS, bad: str | None = None, bits: int | None = None) -> DataFrame:
     """Verified (document, item): docs with the key and ``dh``, token hashes; items with ``item_id`` and ``ih``."""
-    # of an item only the tokens near the seed travel, so that a long item's rows stay small
-    near = f"slice(ih, greatest(q - {WINDOW - 1}, 0) + 1, {2 * WINDOW - 1}) AS ctx"
-    bench = seeds(items, "ih", "q", ["item_id", "ih"], offsets).selectExpr("seed", "item_id", "q", "size(ih) AS m", near)
-    hits = seeds(docs, "dh", "p", [*KEY, "dh"], offsets).join(F.broadcast(bench), "seed")
+    # only the tokens near a seed travel, so that a long item's rows, or a long text's, stay small
+    near = "slice({0}, greatest({1} - %d, 0) + 1, %d)" % (WINDOW - 1, 2 * WINDOW - 1)
+    bench = seeds(items, "ih", "q", ["item_id", "ih"], offsets).selectExpr("seed", "item_id", "q", "size(ih) AS m", f"{near.format('ih', 'q')} AS ctx")
+    hits = seeds(docs, "dh", "p", [*KEY, "dh"], offsets)
+    if bits is None:
+        hits = hits.join(F.broadcast(bench), "seed").withColumn("n", F.size("dh"))
+        mine = "slice(dh, p - a + 1, a + b)"
+    else:
+        hits = hits.withColumns({"x": F.expr(f"pmod(seed, {bits})"), "row": F.expr(f"pmod(seed, {bits}) DIV {ROW_BITS}")})
+        hits = hits.join(F.broadcast(bitmap(bench, bits)), "row").where(f"(shiftright(get(words, CAST((x % {ROW_BITS}) DIV 64 AS INT)), CAST(x % 64 AS INT)) & 1L) = 1")
+        hits = hits.select(*KEY, "seed", "p", F.size("dh").alias("n"), F.inline(F.array(F.struct(F.expr(near.format("dh", "p")).alias("dctx"))))).join(bench, "seed")
+        mine = f"slice(dctx, least(p, {WINDOW - 1}) - a + 1, a + b)"
     # the tokens from `a` before the meeting to `b` after it, in both
-    hits = hits.withColumns({"a": F.expr(f"least(p, q, {WINDOW - 1})"), "b": F.expr(f"least(size(dh) - p, m - q, {WINDOW})"), "w": F.expr(f"least({WINDOW}, m)")})
+    hits = hits.withColumns({"a": F.expr(f"least(p, q, {WINDOW - 1})"), "b": F.expr(f"least(n - p, m - q, {WINDOW})"), "w": F.expr(f"least({WINDOW}, m)")})
     # A generator hands on the slices alone: a projection would be merged with the comparison after it, which is not
     # compiled, so that every meeting of a long document would be copied with all its tokens.
-    slices = F.struct(F.expr("slice(dh, p - a + 1, a + b)").alias("x"), F.expr(f"slice(ctx, least(q, {WINDOW - 1}) - a + 1, a + b)").alias("y"))
+    slices = F.struct(F.expr(mine).alias("x"), F.expr(f"slice(ctx, least(q, {WINDOW - 1}) - a + 1, a + b)").alias("y"))
     hits = hits.select(*KEY, "item_id", "w", F.inline(F.array(slices))).where("size(x) >= w")
     unlike = "zip_with(x, y, (s, t) -> CASE WHEN s = t THEN 0 ELSE 1 END)"
     best = f"exists(array({unlike}), e -> exists(sequence(1, size(e) - w + 1), k -> aggregate(slice(e, k, w), 0, (s, t) -> s + t) <= {bad or allowed('w')}))"
@@ -81,9 +102,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     hashed = rows.select(*KEY, F.transform(tokens(F.col(f"`{text}`")), lambda x: F.xxhash64(x)).alias("dh"))
     parts = []
     for k, n in sorted((total or {-1: 0}).items()):
-        of, blocks = items.where(kind == k), -(-n // block_tokens) or 1
         offsets, bad = (LIGHT[k][1], "(w DIV 5)") if k >= 0 else (MASKS, None)
-        parts += [found_in(hashed, of if blocks == 1 else of.where(F.pmod(F.xxhash64("ih"), F.lit(blocks)) == b), offsets, bad) for b in range(blocks)]
+        bits = None if n <= block_tokens else min(MOST_BITS, max(ROW_BITS, 1 << (16 * n * len(offsets)).bit_length()))
+        parts.append(found_in(hashed, items.where(kind == k), offsets, bad, bits))
     found = reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     out = rows.join(found, KEY, "left")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("item_ids", F.expr("CAST(array() AS ARRAY<LONG>)")).alias("item_ids"), F.col("item_ids").isNotNull().alias("contaminated"))
