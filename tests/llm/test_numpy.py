@@ -187,14 +187,20 @@ def test_substring_dedup(spark, monkeypatch, group, batch):
     assert sorted(map(tuple, got), key=repr) == kept_words(docs, 13)
 
 
-def test_batches_follow_the_running_total(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "BATCH_CHARS", 100)
-    rows = spark.createDataFrame([(k, "x" * (k % 37)) for k in range(300)] + [(7, "y" * 500)], "__sd_id long, __sd_text string")
-    bounds = substring_dedup.batch_bounds(rows).tolist()
-    sizes = [0] * (len(bounds) + 1)
-    for i, t in rows.collect():
-        sizes[sum(b <= i for b in bounds)] += len(t)
-    assert all(s < 100 + 37 or k == sum(b <= 7 for b in bounds) for k, s in enumerate(sizes)) and len(bounds) > 40
+def test_rows_of_one_id_are_dealt_apart(spark, monkeypatch):
+    """Batches follow id and text, and what a batch's keys say holds whichever batch the smallest document lies in."""
+    monkeypatch.setattr(substring_dedup, "BATCH_CHARS", 500)
+    shared = words(40, 5)
+    docs = [(None if k % 2 else 7 + k % 3, " ".join(words(30, 100 + k) + shared[k % 10 :])) for k in range(60)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == kept_words(docs, 13)
+
+
+def test_substring_dedup_of_long_texts_and_clashing_columns(spark):
+    text = " ".join(words(150_000, 8, 50_000))
+    docs = [(2, text, 1, "x", None), (1, text + " one more", 2, "y", None), (3, "  ", 3, "z", None)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string, b int, kept string, n_words int")).collect()
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept) for x in got) == [(1, 150_002, 0, text + " one more"), (2, 150_000, 150_000, ""), (3, 0, 0, "")]
 
 
 def test_substring_dedup_without_rows_or_words(spark):

@@ -6,15 +6,19 @@ is extended to the full depth, so that its suffixes spread over as many groups a
 of its group's suffix keys, cut at the depth of the rule: equal neighbours are an internal node at least ``window`` words
 deep, that is, a repeat. Maximal repeats are the unions of such windows in a document.
 
-What travels is small and pre-aggregated. Documents are dealt into batches of consecutive doc_ids; a batch sends each
-of its distinct keys (8 bytes, besides the group's number) once, however often it holds it, so a passage found in a third
-of all documents arrives once a batch. As batches ascend in doc_id, a node's first batch holds its smallest document, and
-the answer to a batch is one bit a key: found in an earlier batch. With these bits and its own documents a batch marks
-the words to remove. The texts are shuffled once (both uses of the dealt documents share an exchange).
-
-Rule: a word is removed if a window that covers it also begins in a document with a smaller doc_id. Null text has no words;
-a null doc_id sorts before all others; rows that share a doc_id don't remove each other's words; windows are judged on
+What travels is small and pre-aggregated. Documents are dealt into batches by a hash; a batch sends each of its distinct
+keys (8 bytes, besides the group's number) once, under the smallest document that holds it, however often it holds it, so
+a passage found in a third of all documents arrives once a batch. A node's smallest document is the least of those sent, and
+the answer to a batch is one bit a key: a smaller document has it. With these bits and its own documents a batch marks
+the words to remove. The texts are shuffled once (both uses of the dealt documents share an exchange); texts too short for a
+window aren't shuffled at all. The driver holds the prefixes' counts and the number of batches, nothing that grows.
+
+Rule: a word is removed if a window that covers it also begins in a document with a smaller doc_id. Windows are judged on
 the input. Keys hold 64 bits and the group's, so that two different windows of a group of 2,000,000 meet with a chance of 1e-7.
+
+Defined cases: null text has no words; a null doc_id sorts before all others; rows that share a doc_id don't remove each
+other's words, and lie in different batches unless their texts are equal too; a very long text is a batch or more than its
+share of one; columns besides the id and the text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +26,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_arrays as W
-from .common import cut
+from .common import words_of
 
 SLOTS = 4096
 GROUP = 2_000_000
@@ -77,104 +80,81 @@ def plan(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, splits
 
 
-def prefix_counts(docs: DataFrame, window: int) -> np.ndarray:
-    """Suffixes by the hash of their first two words: a fixed number of counts."""
+def prefix_counts(docs: DataFrame, window: int) -> tuple[np.ndarray, int]:
+    """Suffixes by the hash of their first two words, a fixed number of counts; and the bytes of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(SLOTS + 1, np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                total += np.bincount(Suffixes(batch.column(0).slice(a, 1000), window).slot, minlength=SLOTS)
+            for a, b in W.blocks(batch.column(0), BATCH_CHARS):
+                s = Suffixes(batch.column(0).slice(a, b - a), window)
+                total[:-1] += np.bincount(s.slot, minlength=SLOTS)
+                total[-1] += len(s.data)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["slot", "n"])
 
-    out = np.zeros(SLOTS, np.int64)
+    out = np.zeros(SLOTS + 1, np.int64)
     for slot, n in docs.select("__sd_text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect():
         out[slot] = n
-    return out
-
-
-def batch_bounds(rows: DataFrame) -> np.ndarray:
-    """The ids at which new batches begin, so that a batch holds about ``BATCH_CHARS`` characters, or one id.
-
-    Ids and lengths are sorted by range; sums by partition give each partition its place in the running total, and each
-    then names its own bounds. The driver holds one number a partition and one a batch.
-    """
-    ids = rows.select("__sd_id", F.length("__sd_text").cast("long").alias("n"))
-    ids = cut(ids.repartitionByRange("__sd_id").sortWithinPartitions("__sd_id").withColumn("p", F.spark_partition_id()))
-    sums = sorted(map(tuple, ids.groupBy("p").agg(F.sum("n")).collect()))
-    before = dict(zip([p for p, _ in sums], np.cumsum([0, *[n for _, n in sums]]).tolist(), strict=False))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = last = None
-        for batch in batches:
-            i, n, p = (c.to_numpy() for c in batch.columns)
-            if not len(i):
-                continue
-            if total is None:  # a partition begins a batch, as its predecessor's last turn isn't known here
-                total, last = before[int(p[0])], -1 if before[int(p[0])] else 0
-            upto = total + np.concatenate([[0], np.cumsum(n)])
-            turn = upto[:-1] // BATCH_CHARS
-            earlier = np.concatenate([[last], turn[:-1]])
-            total, last = int(upto[-1]), int(turn[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(i[turn > earlier])], ["bound"])
-
-    return np.array(sorted({b for (b,) in ids.mapInArrow(run, "bound long").collect()}), np.int64)
+    return out[:-1], int(out[-1])
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The ids with ``n_words``, ``n_removed`` and ``kept``, the words left, joined by one space."""
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)).alias("__sd_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__sd_text"))
-    counts = prefix_counts(rows, window)
+    # a window of n words has n letters and n - 1 gaps at least
+    long = F.length("__sd_text") >= 2 * window - 1
+    counts, size = prefix_counts(rows.where(long), window)
     first, splits = plan(counts)
-    bounds = batch_bounds(rows)
-
-    @F.pandas_udf("int")
-    def batch_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32))
-
-    dealt = rows.withColumn("b", batch_of("__sd_id")) if len(bounds) else rows.withColumn("b", F.lit(0))
+    batches = size // BATCH_CHARS + 1
+    dealt = rows.where(long).withColumn("b", F.pmod(F.xxhash64("__sd_id", "__sd_text"), F.lit(batches)))
+    words = words_of(F.col("__sd_text"))
+    short = rows.where(~long).select(F.col("__sd_id").alias("id"), F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(words, " ").alias("kept"))
 
     def send(table: pa.Table) -> pa.Table:
+        """The distinct keys of each group under their smallest documents: ids ascending, how many keys each has, the keys."""
         s = Suffixes(pa.concat_arrays(table.column("__sd_text").chunks), window)
-        _, _, key, group = grouped(s, first, splits)
-        by = np.argsort(group, kind="stable")
-        key, group = key[by], group[by]
-        at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-        blobs = [x.tobytes() for x in np.split(key, at[1:])] if len(at) else []
+        order, at, key, group = grouped(s, first, splits)
+        least = np.minimum.reduceat(table.column("__sd_id").to_numpy()[s.doc[order]], at) if len(at) else np.zeros(0, np.int64)
+        by = np.lexsort((key, least, group))
+        key, group, least = key[by], group[by], least[by]
+        changed = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
+        at = np.flatnonzero(changed)
+        runs = np.flatnonzero(changed | np.concatenate([[True], least[1:] != least[:-1]])) if len(group) else at
+        sizes = np.diff(np.append(runs, len(key))).astype(np.int32)
+        held = np.searchsorted(runs, at)
+        cut = lambda x, where: [v.tobytes() for v in np.split(x, where[1:])] if len(at) else []
         b = table.column("b")[0].as_py()
-        return pa.table({"g": pa.array(group[at], pa.int64()), "b": pa.array([b] * len(at), pa.int32()), "keys": pa.array(blobs, pa.binary())})
+        return pa.table({"g": pa.array(group[at], pa.int64()), "b": pa.array([b] * len(at), pa.int64()), "docs": pa.array(cut(least[runs], held), pa.binary()), "sizes": pa.array(cut(sizes, held), pa.binary()), "keys": pa.array(cut(key, at), pa.binary())})
 
     def subtree(table: pa.Table) -> pa.Table:
-        """Keys of one prefix group, by batch: which of them an earlier batch has too."""
-        batch = table.column("b").to_numpy()
-        blobs = table.column("keys").to_pylist()
-        turn = np.argsort(batch)
-        keys = [np.frombuffer(blobs[k], np.uint64) for k in turn]
-        size = np.array([len(k) for k in keys], np.int64)
-        every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")  # ties stay in the order of batches
-        every = every[order]
-        seen = np.zeros(len(every), bool)
-        seen[order[1:]] = every[1:] == every[:-1]
-        ends = np.cumsum(size)
-        bits = [np.packbits(seen[e - n : e]).tobytes() for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
-        return pa.table({"b": pa.array(batch[turn], pa.int32()), "g": table.column("g").combine_chunks(), "seen": pa.array(bits, pa.binary())})
+        """Keys of one prefix group, by batch: which of them a smaller document has too."""
+        blobs = {c: table.column(c).to_pylist() for c in ("docs", "sizes", "keys")}
+        every = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs["keys"]])
+        doc = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in blobs["docs"]]), np.concatenate([np.frombuffer(x, np.int32) for x in blobs["sizes"]]))
+        order = np.argsort(every, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
+        least = np.minimum.reduceat(doc[order], at)
+        seen = np.empty(len(every), bool)
+        seen[order] = doc[order] > np.repeat(least, np.diff(np.append(at, len(order))))
+        ends = np.cumsum([len(x) // 8 for x in blobs["keys"]]).tolist()
+        bits = [np.packbits(seen[a:e]).tobytes() for a, e in zip([0, *ends], ends, strict=False)]
+        return pa.table({"b": table.column("b").combine_chunks(), "g": table.column("g").combine_chunks(), "seen": pa.array(bits, pa.binary())})
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = pa.concat_arrays(left.column("__sd_text").chunks) if left.num_rows else pa.array([], pa.string())
         ids = left.column("__sd_id").to_numpy()
         s = Suffixes(texts, window)
-        order, at, _, group = grouped(s, first, splits)
-        by = np.argsort(group, kind="stable")
+        order, at, key, group = grouped(s, first, splits)
+        own = ids[s.doc[order]]
+        least = np.minimum.reduceat(own, at) if len(at) else own
+        by = np.lexsort((key, least, group))  # as they were sent
         earlier = np.zeros(len(group), bool)
         answers = dict(zip(right.column("g").to_pylist(), right.column("seen").to_pylist(), strict=True))
         held, begins = np.unique(group[by], return_index=True)
         for g, a, b in zip(held.tolist(), begins.tolist(), [*begins[1:].tolist(), len(by)], strict=False):
             earlier[by[a:b]] = np.unpackbits(np.frombuffer(answers[g], np.uint8), count=b - a).astype(bool)
-        own = ids[s.doc[order]]
         sizes = np.diff(np.append(at, len(order)))
-        least = np.minimum.reduceat(own, at) if len(at) else own
         gone = np.empty(len(order), bool)
         gone[order] = np.repeat(earlier, sizes) | (own > np.repeat(least, sizes))
         change = np.zeros(len(s.begin) + 1, np.int32)
@@ -195,10 +175,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
             out.append(b" ".join(tokens))
         return pa.table({"id": pa.array(ids, pa.int64()), "n_words": pa.array(np.diff(s.upto), pa.int64()), "n_removed": pa.array(removed), "kept": pa.array(out, pa.binary()).cast(pa.string())})
 
-    sent = dealt.groupBy("b").applyInArrow(send, "g long, b int, keys binary")
-    answers = sent.groupBy("g").applyInArrow(subtree, "b int, g long, seen binary")
+    sent = dealt.groupBy("b").applyInArrow(send, "g long, b long, docs binary, sizes binary, keys binary")
+    answers = sent.groupBy("g").applyInArrow(subtree, "b long, g long, seen binary")
     out = dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(mark, "id long, n_words long, n_removed long, kept string")
-    return out.select(F.when(F.col("id") != LOWEST, F.col("id")).alias(doc_id), "n_words", "n_removed", "kept")
+    return out.unionByName(short).select(F.when(F.col("id") != LOWEST, F.col("id")).alias(doc_id), "n_words", "n_removed", "kept")
 
 
 #: The query in DuckDB's SQL.
