@@ -36,6 +36,7 @@ from .common import words_of
 SLOTS = 4096
 GROUP = 2_000_000
 BATCH_CHARS = 4_000_000
+MOST_PARTITIONS = 20_000
 LOWEST = -(2**63)
 
 
@@ -107,7 +108,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     counts, size = prefix_counts(rows.where(long), window)
     first, splits = plan(counts)
     batches = size // BATCH_CHARS + 1
-    dealt = rows.where(long).withColumn("b", F.pmod(F.xxhash64("__sd_id", "__sd_text"), F.lit(batches)))
+    # as many partitions as batches and groups, so that a task stays as large when the input grows
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = lambda n: max(least, min(n, MOST_PARTITIONS))
+    groups = int((first + splits).max())
+    dealt = rows.where(long).withColumn("b", F.pmod(F.xxhash64("__sd_id", "__sd_text"), F.lit(batches))).repartition(partitions(batches), "b")
     words = words_of(F.col("__sd_text"))
     short = rows.where(~long).select(F.col("__sd_id").alias("id"), F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(words, " ").alias("kept"))
 
@@ -176,7 +181,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
         return pa.table({"id": pa.array(ids, pa.int64()), "n_words": pa.array(np.diff(s.upto), pa.int64()), "n_removed": pa.array(removed), "kept": pa.array(out, pa.binary()).cast(pa.string())})
 
     sent = dealt.groupBy("b").applyInArrow(send, "g long, b long, docs binary, sizes binary, keys binary")
-    answers = sent.groupBy("g").applyInArrow(subtree, "b long, g long, seen binary")
+    answers = sent.repartition(partitions(groups), "g").groupBy("g").applyInArrow(subtree, "b long, g long, seen binary")
     out = dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(mark, "id long, n_words long, n_removed long, kept string")
     return out.unionByName(short).select(F.when(F.col("id") != LOWEST, F.col("id")).alias(doc_id), "n_words", "n_removed", "kept")
 
