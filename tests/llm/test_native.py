@@ -238,3 +238,70 @@ def test_url_templates(spark):
     verdict = {r.url: (r.template, r.verdict) for r in got}
     assert verdict["http://bad.test/spam/300"] == ("/spam/{n}", "block") and verdict["http://bad.test/good/7"] == ("/good/{n}", "allow")
     assert all(v == "allow" for u, (_, v) in verdict.items() if "ok.test" in u)
+
+
+def judged(spark, urls, rules, **options):
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return {r.page_id: r for r in url_filters.url_filters(df, rules, inherit=True, **options).collect()}
+
+
+def test_unlabelled_branches_are_judged_as_what_surrounds_them(spark):
+    """No rule names /shop/ or /new/; their hosts' labels decide. A host without labels keeps the prior."""
+    rules = (("block", "bad.test", "/spam/"), ("allow", "good.test", "/news/"))
+    urls = [f"http://{h}/{s}/{n}" for h, s in (("bad.test", "spam"), ("bad.test", "shop"), ("good.test", "news"), ("good.test", "new"), ("other.test", "spam")) for n in range(20)]
+    got = judged(spark, urls, rules)
+    assert {urls[k].rsplit("/", 1)[0]: r.verdict for k, r in got.items()} == {
+        "http://bad.test/spam": "block", "http://bad.test/shop": "block", "http://good.test/news": "allow", "http://good.test/new": "allow", "http://other.test/spam": "allow",
+    }
+    plain = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {r.verdict for r in url_filters.url_filters(plain, rules).where("rule IS NULL").collect()} == {"allow"}
+
+
+def test_inherited_shares_against_plain_python(spark):
+    """Shares of the whole tree, paths of any depth, without merging; a node with all labels of the one above adds nothing."""
+    r = random.Random(5)
+    rules = (("block", "a.test", "/x/y/"), ("allow", "a.test", "/x/"), ("block", "b.test", "/y/z/x/"), ("allow", "b.test", "/z/"), ("block", "b.test", "/x/y/z/x/y/"))
+    urls = [f"http://{r.choice('ab')}.test/" + "/".join(r.choice("xyz") for _ in range(r.randrange(9))) for _ in range(400)]
+    urls += [None, "http://a.test", "http://a.test//x//y/", *["http://a.test/x/y/z"] * 30]
+    urls += ["http://a.test/" + "/".join(f"s{chr(97 + k % 26)}" for k in range(n)) for n in (90, 90, 4)]
+    # two paths that part late: rounds reach there
+    urls += ["http://c.test/" + "k/" * 7 + e for e in ("p", "q", "q/r")]
+    verdict = {h + p: v for v, h, p in rules}
+
+    def fits(url):
+        host, path = re.match(r"http://([^/]*)(.*)", url).groups()
+        found = [h + p for _, h, p in rules if host == h and path.startswith(p)]
+        return verdict[max(found, key=len)] if found else None
+
+    label = [fits(u) if u else None for u in urls]
+    ways = [[u.split("/")[2], *[s for s in u.split("/")[3:] if s]] if u else [""] for u in urls]
+    total = Counter()
+    for way, v in zip(ways, label, strict=True):
+        for k in range(1, len(way) + 1):
+            total[tuple(way[:k]), "l"] += v is not None
+            total[tuple(way[:k]), "b"] += v == "block"
+    got = judged(spark, urls, rules, depth=None, many=10**6)
+    for k, way in enumerate(ways):
+        share, above = 0.2, -1
+        for j in range(1, len(way) + 1):
+            labels, blocked = total[tuple(way[:j]), "l"], total[tuple(way[:j]), "b"]
+            if labels != above:
+                share = (blocked + 4.0 * share) / (labels + 4.0)
+            above = labels
+        assert got[k].template == "".join(f"/{s}" for s in way[1:]), way
+        assert got[k].blocked_share == pytest.approx(share), way
+        assert got[k].verdict == (label[k] or ("block" if way[0] and share > 0.5 else "allow")), way
+
+
+@pytest.mark.parametrize("options", [{}, {"depth": None, "many": 2, "inherit": True}])
+def test_url_templates_awkward_rows(spark, options):
+    long = "http://a.test/" + "y" * 100_000 + "/b?" + "z" * 100_000
+    urls = ["http://a.test/x/1", "http://a.test/x/1", "http://a.test/x/1", None, None, "", long, "http://a.test/" + "d/" * 30 + "e", "http://a.test/?", "http://a.test"]
+    df = spark.createDataFrame([(k % 4, u) for k, u in enumerate(urls)], "page_id long, url string").selectExpr("*", "1 AS template", "2 AS lone", "3 AS seg", "4 AS l")
+    got = url_filters.url_filters(df, (("block", "a.test", "/x/"),), **options)
+    assert got.columns == ["page_id", "url", "lone", "seg", "l", "host", "path", "rule", "template", "blocked_share", "verdict"]
+    rows = got.collect()
+    assert Counter(x.url for x in rows) == Counter(urls)
+    assert all(x.verdict == "block" for x in rows if x.rule) and {x.verdict for x in rows if x.host == ""} == {"allow"}
+    assert {x.template for x in rows if x.url == long} == {"/{n}/b"}
+    assert url_filters.url_filters(df.where("false"), **options).count() == 0

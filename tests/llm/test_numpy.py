@@ -10,11 +10,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 
-from tests.compare import duck_rows, spark_rows
+from tests.compare import duck_rows, shaped, spark_rows
 from tributary.llm import byte_bpe, chat_format, private_data, quality_classifier, queries, simhash, substring_dedup, word_arrays
 
 from .data import frame, rows, words
@@ -110,6 +111,17 @@ def test_base_spans_against_plain_scan():
         assert got == base_spans(text), text
 
 
+def test_base_kinds_in_sql_against_plain_scan():
+    r = random.Random(4)
+    parts = [*"00192.. --+@()ab_%", "4539578763621486", "4539-5787 6362-1486", "@a.b", "x@y.z-w.q", " +1 (555) 555-1234", "10.0.0.1", "1.2.3.256", "0" * 30 + "1.2.3.4", "9" * 30 + ".2.3.4", "é", "\U0001d7d8"]
+    texts = [None, "", *["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(5_000)]]
+    ids = [k // 2 for k in range(len(texts))]
+    spans = [base_spans(t or "") for t in texts]
+    want = [(i, *[sum(k == z for k, _, _ in s) for z in PATTERNS], sha(",".join(f"{k}:{a}:{b}" for k, a, b in s))) for i, s in zip(ids, spans, strict=True)]
+    names, got = duck_rows(private_data.base_oracle(), documents=pa.table({"doc_id": ids, "text": texts}))
+    assert (names, got) == shaped(["doc_id", *[f"n_{k}" for k in PATTERNS], "base_sha256"], want)
+
+
 def test_long_runs_take_linear_time():
     for text in ("1" * 300_000, "1." * 150_000, "a@" * 100_000, "+1 " * 100_000, "a" * 300_000 + "@", "1 " * 150_000):
         private_data.spans_of(text)

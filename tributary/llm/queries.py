@@ -69,6 +69,17 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_private_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the base kinds alone, which SQL can express."""
+    return op3_private_data(spark, sf_dir).drop("spans")
+
+
+def op8_url_filters_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths as deep as they are, siblings merged at any fan-out, unlabelled branches judged as what surrounds them."""
+    df = url_filters.url_filters(table(spark, sf_dir, "pages").select("page_id", "url"), depth=None, many=2, inherit=True)
+    return df.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -84,8 +95,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def variants() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Further queries of operators that ``queries`` has, with other parameters."""
-    return {f.__name__: f for f in (op10_line_dedup_every_line,)}
+    """Further queries of operators that ``queries`` has, with other parameters or columns."""
+    return {f.__name__: f for f in (op3_private_data_base, op8_url_filters_inherited, op10_line_dedup_every_line)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -100,4 +111,9 @@ def oracle_sql() -> dict[str, str]:
 
 
 def variant_sql() -> dict[str, str]:
-    return {"op10_line_dedup_every_line": line_dedup.ORACLE_EVERY_LINE}
+    return {
+        "op3_private_data_base": private_data.base_oracle(),
+        # as many levels as suffice for the given pages
+        "op8_url_filters_inherited": url_filters.oracle(depth=6, many=2, inherit=True),
+        "op10_line_dedup_every_line": line_dedup.ORACLE_EVERY_LINE,
+    }
