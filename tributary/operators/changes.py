@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..checkpoints import numbered
 from ..errors import BAD_PARAMETER, PipelineError
 from ..functions.expressions import expr, identifier
 from .registry import known, operator
@@ -87,20 +88,22 @@ def merge(ctx, p, inputs) -> DataFrame:
         if cl["action"] not in ok:
             raise PipelineError(BAD_PARAMETER, f"merge: {cl['action']} is out of place")
         known(target, list(cl.get("set") or {}), "merge")
-    left = target.withColumns({"__t": F.lit(1), "__tid": F.monotonically_increasing_id()}).alias(t)
-    right = source.withColumns({"__s": F.lit(1), "__sid": -1 - F.monotonically_increasing_id()}).alias(s)
+    checked = p.get("check_duplicates", True) and matched
+    if checked:
+        target, source = numbered(target, "__tid"), numbered(source, "__sid")
+    left, right = target.withColumn("__t", F.lit(1)).alias(t), source.withColumn("__s", F.lit(1)).alias(s)
     df = left.join(right, expr(" AND ".join(f"({c})" for c in p["on"])), "full")
     both, only_s = F.col("__t").isNotNull() & F.col("__s").isNotNull(), F.col("__t").isNull()
     df = df.withColumn("__m", F.when(both, action_of(matched, -1)).otherwise(-1)).withColumn("__a", F.when(only_s, action_of(added, -1)).otherwise(-1))
-    if p.get("check_duplicates", True) and matched:
+    if checked:
         # a row of the source alone is a partition of its own: all of them together would be one task
-        hits = F.count(F.when(F.col("__m") >= 0, 1)).over(Window.partitionBy(F.coalesce("__tid", "__sid")))
+        hits = F.count(F.when(F.col("__m") >= 0, 1)).over(Window.partitionBy(F.coalesce(F.col("__tid"), -1 - F.col("__sid"))))
         df = df.withColumn("__hits", F.when(F.col("__t").isNotNull(), hits).otherwise(0))
         df = df.withColumn("__m", F.when(F.col("__hits") > 1, F.raise_error(F.lit("merge: several source rows match one target row")).cast("int")).otherwise(F.col("__m")))
     gone = [n for n, cl in enumerate(matched) if cl["action"] == "delete"]
     df = df.where(~F.col("__m").isin(gone) & ~(only_s & (F.col("__a") < 0)) if gone else ~(only_s & (F.col("__a") < 0)))
     out = []
-    for c in target.columns:
+    for c in inputs[t].columns:
         kind, own = target.schema[c].dataType, F.col(f"{identifier(t)}.{identifier(c)}")
         case = F
         for mark, clauses in (("__m", matched), ("__a", added)):

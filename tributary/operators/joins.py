@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..checkpoints import numbered
 from ..errors import BAD_PARAMETER, PipelineError
 from ..functions.expressions import expr, identifier, normalised, ordering
 from .registry import known, operator
@@ -133,7 +137,7 @@ def as_of_join(ctx, p, inputs) -> DataFrame:
     ties = known(r, [p["tie_break"]] if isinstance(p.get("tie_break"), str) else p.get("tie_break") or [c for c, t in r.dtypes if not t.startswith("map")], "asOfJoin")
     row_l, row_r = F.struct(*[F.col(identifier(c)) for c in l.columns]), F.struct(*[F.col(identifier(c)) for c in r.columns])
     if keys is None:
-        l2, r2 = l.withColumn("__id", F.monotonically_increasing_id()).alias(p["left"]), r.alias(p["right"])
+        l2, r2 = numbered(l, "__id").alias(p["left"]), r.alias(p["right"])
         order = {"backward": f"{identifier(p['right'])}.{identifier(ra)} <= {identifier(p['left'])}.{identifier(la)}", "forward": f"{identifier(p['right'])}.{identifier(ra)} >= {identifier(p['left'])}.{identifier(la)}", "nearest": "true"}[direction]
         pairs = l2.join(r2, all_of([*map(normalised, p["on"]), order]), "left")
         rcol = lambda c: F.col(f"{identifier(p['right'])}.{identifier(c)}")
@@ -146,12 +150,11 @@ def as_of_join(ctx, p, inputs) -> DataFrame:
         tie = F.struct(*[F.col(identifier(c)) for c in ties])
         stack = lambda df, side, row, at: df.select(*[F.col(identifier(k[side])).alias(f"__k{n}") for n, k in enumerate(keys)], F.lit(side).alias("__side"), F.col(identifier(at)).alias("__at"), (row if side == 0 else F.lit(None)).alias("__l"), (F.struct(tie.alias("t"), row.alias("row")) if side else F.lit(None)).alias("__r"))
         usable = r.where(F.col(identifier(ra)).isNotNull())
-        both = stack(l, 0, row_l, la).unionByName(stack(usable, 1, row_r, ra))
-        no_key = [F.col(f"__k{n}").isNull() for n in range(len(keys))]
-        # rows whose key is null have no partner: each is a partition of its own, all of them together would be one task
-        alone = F.when(F.greatest(F.lit(False), F.lit(False), *no_key), F.monotonically_increasing_id()).otherwise(F.lit(-1))
         by = [F.col(f"__k{n}") for n in range(len(keys))]
-        stretch, stretches = (alone, 0) if keys else stretch_of(both, kind)
+        has_key = reduce(and_, [k.isNotNull() for k in by], F.lit(True))
+        lefts = stack(l, 0, row_l, la)
+        both = lefts.where(has_key).unionByName(stack(usable, 1, row_r, ra).where(has_key))
+        stretch, stretches = (F.lit(-1), 0) if keys else stretch_of(both, kind)
         both = both.withColumn("__part", stretch)
         by.append(F.col("__part"))
         upto = (Window.unboundedPreceding, Window.currentRow)
@@ -173,8 +176,10 @@ def as_of_join(ctx, p, inputs) -> DataFrame:
             best = F.when(F.col("__ahead").isNull() | (a <= b), F.col("__back")).otherwise(F.col("__ahead"))
         else:
             best = F.col("__back" if direction == "backward" else "__ahead")
-        best = F.when(~F.greatest(F.lit(False), F.col("__at").isNull(), *no_key), best)
-        df = df.select("__l", best.alias("__best"))
+        df = df.select("__l", F.when(F.col("__at").isNotNull(), best).alias("__best"))
+        if keys:
+            # rows whose key is null have no partner; they skip the window, where all of them would be one task
+            df = df.unionByName(lefts.where(~has_key).select("__l", F.lit(None).cast(df.schema["__best"].dataType).alias("__best")))
     if p.get("tolerance") is not None:
         df = df.withColumn("__best", F.when(distance(value("best"), F.col(f"__l.{identifier(la)}"), kind) <= p["tolerance"], F.col("__best")))
     if how == "inner":
@@ -221,7 +226,7 @@ def lateral_join(ctx, p, inputs) -> DataFrame:
         by = Window.partitionBy(*[F.col(identifier(k)) for _, k in equal]).orderBy(*ordering(p["order_by"]), *ties)
         best = right.withColumn("__nth", F.row_number().over(by)).where(F.col("__nth") <= int(p["limit"])).drop("__nth")
         return left.alias(p["left"]).join(best.alias(p["right"]), all_of(on), kind)
-    a = left.withColumn("__lateral", F.monotonically_increasing_id()).alias(p["left"])
+    a = numbered(left, "__lateral").alias(p["left"])
     df = a.join(right.withColumn("__hit", F.lit(1)).alias(p["right"]), all_of(on), kind)
     keys = [*ordering(p.get("order_by") or []), *[F.col(f"{identifier(p['right'])}.{identifier(c)}") for c, t in right.dtypes if "map<" not in t and "variant" not in t]]
     rank = F.row_number().over(Window.partitionBy("__lateral").orderBy(*keys))

@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..checkpoints import from_place
+from ..errors import BAD_PARAMETER, PipelineError
 from ..functions.expressions import identifier, ordering
 from .registry import known, only, operator
 
 
+def whole(n, what: str) -> int:
+    if int(n) < 0:
+        raise PipelineError(BAD_PARAMETER, f"{what}: {n} rows")
+    return int(n)
+
+
 @operator("orderBy", "from columns")
 def order_by(ctx, p, inputs) -> DataFrame:
     return only(inputs).orderBy(*ordering(p["columns"]))
@@ -21,14 +30,19 @@ def limit(ctx, p, inputs) -> DataFrame:
 
 @operator("offset", "from count")
 def offset(ctx, p, inputs) -> DataFrame:
-    return only(inputs).offset(int(p["count"]))
+    """The rows behind the first ``count``. A limited frame is one top-k with an offset; any other is checkpointed when it is
+    planned and keeps its partitions."""
+    df, n = only(inputs), whole(p["count"], "offset")
+    if df._jdf.queryExecution().optimizedPlan().nodeName() == "GlobalLimit":
+        return df.offset(n)
+    return from_place(df, n) if n else df
 
 
 @operator("tail", "from count")
 def tail(ctx, p, inputs) -> DataFrame:
-    """The last rows in the present order. Counts the rows when it is planned."""
-    df = only(inputs)
-    return df.offset(max(df.count() - int(p["count"]), 0))
+    """The last rows in the present order. The frame is checkpointed when it is planned and keeps its partitions."""
+    df, n = only(inputs), whole(p["count"], "tail")
+    return from_place(df, -n) if n else df.where(F.lit(False))
 
 
 @operator("sample", "from fraction", "with_replacement seed")
