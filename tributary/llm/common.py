@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpoint_dir, cut
+
+__all__ = ["WORD_GAP", "checkpoint_dir", "cut", "table", "words_of"]
+
 #: Separators of words everywhere in this subpackage: space and the five ASCII controls 0x09 to 0x0D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -19,22 +20,3 @@ def words_of(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints, as the cluster names it. Only a session of one machine may do without: it gets a
-    temporary one; on a cluster a folder of one machine's would break the run, so that it is an error not to name one."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isEmpty():
-        return sc._jsc.sc().getCheckpointDir().get()
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.fullmatch(r"local(\[.*\])?", sc.master):
-        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all machines share")
-    sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df read back from a reliable checkpoint: its lineage ends there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
