@@ -9,7 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Logical nodes that give the rows of their input in its order, partition by partition, whenever they are run.
-STEADY = {"Project", "Filter", "Sample", "Generate", "Expand", "Union", "SubqueryAlias", "LocalRelation", "LogicalRelation", "Range", "OneRowRelation", "DataSourceV2ScanRelation"}
+STEADY = {
+    "Project",
+    "Filter",
+    "Sample",
+    "Generate",
+    "Expand",
+    "Union",
+    "SubqueryAlias",
+    "LocalRelation",
+    "LogicalRelation",
+    "Range",
+    "OneRowRelation",
+    "DataSourceV2ScanRelation",
+}
 #: Bits of a row's place within its partition in a number of ``monotonically_increasing_id``.
 PLACE_BITS = 33
 

@@ -42,5 +42,9 @@ def ordering(columns: list) -> list[Column]:
         down = str(c.get("direction", "asc")).lower() == "desc"
         first = str(c.get("nulls", "last")).lower() == "first"
         key = expr(c["column"])
-        keys.append((key.desc_nulls_first() if first else key.desc_nulls_last()) if down else (key.asc_nulls_first() if first else key.asc_nulls_last()))
+        keys.append(
+            (
+                key.desc_nulls_first() if first else key.desc_nulls_last()
+            ) if down else (key.asc_nulls_first() if first else key.asc_nulls_last())
+        )
     return keys

@@ -4,4 +4,21 @@ from . import aggregates, changes, checks, columns, extend, joins, nulls, partit
 from .extend import register_component
 from .registry import OPERATORS, Context, checked, plan
 
-__all__ = ["OPERATORS", "Context", "aggregates", "changes", "checked", "checks", "columns", "extend", "joins", "nulls", "partitions", "plan", "register_component", "reshape", "sets", "windows"]
+__all__ = [
+    "OPERATORS",
+    "Context",
+    "aggregates",
+    "changes",
+    "checked",
+    "checks",
+    "columns",
+    "extend",
+    "joins",
+    "nulls",
+    "partitions",
+    "plan",
+    "register_component",
+    "reshape",
+    "sets",
+    "windows",
+]

@@ -15,7 +15,9 @@ def aggregates(p) -> list:
 @operator("group", "from agg", "by", title="GROUP BY")
 def group(ctx, p, inputs) -> DataFrame:
     df, by = only(inputs), p.get("by") or []
-    return df.groupBy(*[expr(b) if b not in df.columns else identifier(b) for b in by]).agg(*aggregates(p)) if by else df.agg(*aggregates(p))
+    return df.groupBy(
+        *[expr(b) if b not in df.columns else identifier(b) for b in by]
+    ).agg(*aggregates(p)) if by else df.agg(*aggregates(p))
 
 
 @operator("rollup", "from by agg")

@@ -16,7 +16,12 @@ from ..functions.expressions import expr, identifier
 from .registry import known, operator
 
 
-@operator("scd2", "current incoming key_columns track_columns", "start_date_column end_date_column current_flag_column effective_ts", sources=lambda p: [p["current"], p["incoming"]])
+@operator(
+    "scd2",
+    "current incoming key_columns track_columns",
+    "start_date_column end_date_column current_flag_column effective_ts",
+    sources=lambda p: [p["current"], p["incoming"]],
+)
 def scd2(ctx, p, inputs) -> DataFrame:
     """The versioned table after taking in ``incoming``.
 
@@ -41,7 +46,9 @@ def scd2(ctx, p, inputs) -> DataFrame:
     history = cur.where(~live)
     pack = lambda df, name: df.select(F.struct(*[F.col(identifier(c)) for c in df.columns]).alias(name))
     # one row a key, by a partial aggregation: a key that comes twice is an error, not two versions
-    once = pack(inc, "i").groupBy(*[F.col(f"i.{identifier(k)}").alias(f"__k{n}") for n, k in enumerate(keys)]).agg(F.first("i").alias("i"), F.count("*").alias("n"))
+    once = pack(inc, "i").groupBy(
+        *[F.col(f"i.{identifier(k)}").alias(f"__k{n}") for n, k in enumerate(keys)]
+    ).agg(F.first("i").alias("i"), F.count("*").alias("n"))
     twice = F.raise_error(F.lit(f"scd2: several incoming rows for one key ({', '.join(keys)})"))
     a, b = pack(cur.where(live), "c"), once.select(F.when(F.col("n") > 1, twice.cast(inc_type(inc))).otherwise(F.col("i")).alias("i"))
     c, i = (lambda n: F.col(f"c.{identifier(n)}")), (lambda n: F.col(f"i.{identifier(n)}"))
@@ -52,7 +59,10 @@ def scd2(ctx, p, inputs) -> DataFrame:
     def version(of: str) -> Column:
         def value(n: str) -> Column:
             if of == "i":
-                return {start: now, end: F.lit(None).cast(cur.schema[end].dataType), flag: F.lit(True)}.get(n, i(n).cast(cur.schema[n].dataType) if n in inc.columns else F.lit(None).cast(cur.schema[n].dataType))
+                return {start: now, end: F.lit(None).cast(cur.schema[end].dataType), flag: F.lit(True)}.get(
+                    n,
+                    i(n).cast(cur.schema[n].dataType) if n in inc.columns else F.lit(None).cast(cur.schema[n].dataType),
+                )
             shut = {end: now.cast(cur.schema[end].dataType), flag: F.lit(False)}.get(n)
             return c(n) if shut is None else F.when(new & changed, shut).otherwise(c(n))
 
@@ -94,12 +104,21 @@ def merge(ctx, p, inputs) -> DataFrame:
     left, right = target.withColumn("__t", F.lit(1)).alias(t), source.withColumn("__s", F.lit(1)).alias(s)
     df = left.join(right, expr(" AND ".join(f"({c})" for c in p["on"])), "full")
     both, only_s = F.col("__t").isNotNull() & F.col("__s").isNotNull(), F.col("__t").isNull()
-    df = df.withColumn("__m", F.when(both, action_of(matched, -1)).otherwise(-1)).withColumn("__a", F.when(only_s, action_of(added, -1)).otherwise(-1))
+    df = df.withColumn(
+        "__m",
+        F.when(both, action_of(matched, -1)).otherwise(-1),
+    ).withColumn("__a", F.when(only_s, action_of(added, -1)).otherwise(-1))
     if checked:
         # a row of the source alone is a partition of its own: all of them together would be one task
         hits = F.count(F.when(F.col("__m") >= 0, 1)).over(Window.partitionBy(F.coalesce(F.col("__tid"), -1 - F.col("__sid"))))
         df = df.withColumn("__hits", F.when(F.col("__t").isNotNull(), hits).otherwise(0))
-        df = df.withColumn("__m", F.when(F.col("__hits") > 1, F.raise_error(F.lit("merge: several source rows match one target row")).cast("int")).otherwise(F.col("__m")))
+        df = df.withColumn(
+            "__m",
+            F.when(
+                F.col("__hits") > 1,
+                F.raise_error(F.lit("merge: several source rows match one target row")).cast("int"),
+            ).otherwise(F.col("__m")),
+        )
     gone = [n for n, cl in enumerate(matched) if cl["action"] == "delete"]
     df = df.where(~F.col("__m").isin(gone) & ~(only_s & (F.col("__a") < 0)) if gone else ~(only_s & (F.col("__a") < 0)))
     out = []

@@ -43,7 +43,10 @@ def assertion(ctx, p, inputs) -> DataFrame:
             df = df.where(~failing(c, df))
         for c in unique:
             order = [F.col(identifier(n)) for n, t in df.dtypes if not t.startswith("map")]
-            df = df.withColumn("__nth", F.row_number().over(Window.partitionBy(identifier(c["column"])).orderBy(*order))).where(f"__nth = 1 OR {identifier(c['column'])} IS NULL").drop("__nth")
+            df = df.withColumn(
+                "__nth",
+                F.row_number().over(Window.partitionBy(identifier(c["column"])).orderBy(*order)),
+            ).where(f"__nth = 1 OR {identifier(c['column'])} IS NULL").drop("__nth")
         return df
     counts = [F.count_if(failing(c, df)) for c in plain]
     counts += [F.count(identifier(c["column"])) - F.count_distinct(F.col(identifier(c["column"]))) for c in unique]

@@ -55,7 +55,15 @@ def cast_columns(ctx, p, inputs) -> DataFrame:
     df = only(inputs)
     to = {c["name"]: c["target_type"] for c in p["columns"]}
     known(df, list(to), "castColumns")
-    return df.select(*[converted(F.col(identifier(c)), to[c], p.get("on_error")).alias(c) if c in to else F.col(identifier(c)) for c in df.columns])
+    return df.select(
+        *[
+            converted(
+                F.col(identifier(c)),
+                to[c],
+                p.get("on_error"),
+            ).alias(c) if c in to else F.col(identifier(c)) for c in df.columns
+        ]
+    )
 
 
 @operator("schemaEnforce", "from columns", "on_error")

@@ -91,7 +91,10 @@ def enrich(ctx, p, inputs) -> DataFrame:
         for frame in frames:
             bodies, failed = [], []
             for k in frame["__key"]:
-                place = url.replace("${keyColumn}", urllib.parse.quote(k, safe="")).replace("${" + name + "}", urllib.parse.quote(k, safe=""))
+                place = url.replace("${keyColumn}", urllib.parse.quote(k, safe="")).replace(
+                    "${" + name + "}",
+                    urllib.parse.quote(k, safe=""),
+                )
                 try:
                     bodies.append(fetched(place, method, headers, timeout, retries))
                     failed.append(False)
@@ -102,7 +105,9 @@ def enrich(ctx, p, inputs) -> DataFrame:
                     failed.append(True)
             yield pd.DataFrame({"__key": frame["__key"], "__body": pd.Series(bodies, dtype=object), "__failed": failed})
 
-    keys = df.select(F.col(key).cast("string").alias("__key")).where("__key IS NOT NULL").distinct().repartition(int(p.get("parallel") or 8), "__key")
+    keys = df.select(
+        F.col(key).cast("string").alias("__key")
+    ).where("__key IS NOT NULL").distinct().repartition(int(p.get("parallel") or 8), "__key")
     found = keys.mapInPandas(ask, "__key string, __body string, __failed boolean")
     out = df.join(found, F.col(key).cast("string") == F.col("__key"), "left")
     if mode == "skip":

@@ -92,7 +92,9 @@ def stretch_of(both: DataFrame, kind: T.DataType) -> tuple[Column, int]:
         raise PipelineError(BAD_PARAMETER, f"asOfJoin: without on, values must be numbers, dates or timestamps, not {kind.simpleString()}")
     shares = F.array(*[F.lit((k + 1) / STRETCHES) for k in range(STRETCHES - 1)])
     bounds = sorted(set(both.agg(F.percentile_approx("__at", shares, 10 * STRETCHES)).first()[0] or []))
-    return (F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col("__at"))) if bounds else F.lit(0)), len(bounds)
+    return (
+        F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col("__at"))) if bounds else F.lit(0)
+    ), len(bounds)
 
 
 def carried(df: DataFrame, both: DataFrame, wanted: list[str], stretches: int) -> DataFrame:
@@ -100,7 +102,12 @@ def carried(df: DataFrame, both: DataFrame, wanted: list[str], stretches: int) -
     part = F.col("__part")
     at = both.where("__side = 1").groupBy("__part", "__at").agg(F.max_by("__r", "__r.t").alias("r"))
     edges = at.groupBy("__part").agg(F.max_by("r", "__at")["row"].alias("last"), F.min_by("r", "__at")["row"].alias("next"))
-    edges = edges.agg(F.array_sort(F.collect_list(F.struct("__part", "last", "next")), lambda a, b: a["__part"] - b["__part"]).alias("__edges"))
+    edges = edges.agg(
+        F.array_sort(
+            F.collect_list(F.struct("__part", "last", "next")),
+            lambda a, b: a["__part"] - b["__part"],
+        ).alias("__edges")
+    )
     edges = edges.select("__edges", F.explode(F.sequence(F.lit(-1), F.lit(stretches))).alias("__part"))  # -1: a null value's
     for name in wanted:
         beyond = F.filter("__edges", lambda e: (e["__part"] < part) if name == "__back" else (e["__part"] > part))
@@ -112,7 +119,12 @@ def carried(df: DataFrame, both: DataFrame, wanted: list[str], stretches: int) -
     return df
 
 
-@operator("asOfJoin", "left right left_as_of right_as_of", "on direction how tie_break tolerance", sources=lambda p: [p["left"], p["right"]])
+@operator(
+    "asOfJoin",
+    "left right left_as_of right_as_of",
+    "on direction how tie_break tolerance",
+    sources=lambda p: [p["left"], p["right"]],
+)
 def as_of_join(ctx, p, inputs) -> DataFrame:
     """Every left row with the nearest right row at or before it (backward), at or after it (forward), or either way.
 
@@ -138,17 +150,30 @@ def as_of_join(ctx, p, inputs) -> DataFrame:
     row_l, row_r = F.struct(*[F.col(identifier(c)) for c in l.columns]), F.struct(*[F.col(identifier(c)) for c in r.columns])
     if keys is None:
         l2, r2 = numbered(l, "__id").alias(p["left"]), r.alias(p["right"])
-        order = {"backward": f"{identifier(p['right'])}.{identifier(ra)} <= {identifier(p['left'])}.{identifier(la)}", "forward": f"{identifier(p['right'])}.{identifier(ra)} >= {identifier(p['left'])}.{identifier(la)}", "nearest": "true"}[direction]
+        order = {
+            "backward": f"{identifier(p['right'])}.{identifier(ra)} <= {identifier(p['left'])}.{identifier(la)}",
+            "forward": f"{identifier(p['right'])}.{identifier(ra)} >= {identifier(p['left'])}.{identifier(la)}",
+            "nearest": "true",
+        }[direction]
         pairs = l2.join(r2, all_of([*map(normalised, p["on"]), order]), "left")
         rcol = lambda c: F.col(f"{identifier(p['right'])}.{identifier(c)}")
         lcol = lambda c: F.col(f"{identifier(p['left'])}.{identifier(c)}")
         near = distance(rcol(ra), lcol(la), kind)
         first = Window.partitionBy("__id").orderBy(near.asc_nulls_last(), rcol(ra).asc(), *[rcol(c).desc() for c in ties])
         pairs = pairs.withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
-        df = pairs.select(F.struct(*[lcol(c) for c in l.columns]).alias("__l"), F.when(rcol(ra).isNotNull(), F.struct(*[rcol(c) for c in r.columns])).alias("__best"))
+        df = pairs.select(
+            F.struct(*[lcol(c) for c in l.columns]).alias("__l"),
+            F.when(rcol(ra).isNotNull(), F.struct(*[rcol(c) for c in r.columns])).alias("__best"),
+        )
     else:
         tie = F.struct(*[F.col(identifier(c)) for c in ties])
-        stack = lambda df, side, row, at: df.select(*[F.col(identifier(k[side])).alias(f"__k{n}") for n, k in enumerate(keys)], F.lit(side).alias("__side"), F.col(identifier(at)).alias("__at"), (row if side == 0 else F.lit(None)).alias("__l"), (F.struct(tie.alias("t"), row.alias("row")) if side else F.lit(None)).alias("__r"))
+        stack = lambda df, side, row, at: df.select(
+            *[F.col(identifier(k[side])).alias(f"__k{n}") for n, k in enumerate(keys)],
+            F.lit(side).alias("__side"),
+            F.col(identifier(at)).alias("__at"),
+            (row if side == 0 else F.lit(None)).alias("__l"),
+            (F.struct(tie.alias("t"), row.alias("row")) if side else F.lit(None)).alias("__r"),
+        )
         usable = r.where(F.col(identifier(ra)).isNotNull())
         by = [F.col(f"__k{n}") for n in range(len(keys))]
         has_key = reduce(and_, [k.isNotNull() for k in by], F.lit(True))
@@ -181,11 +206,17 @@ def as_of_join(ctx, p, inputs) -> DataFrame:
             # rows whose key is null have no partner; they skip the window, where all of them would be one task
             df = df.unionByName(lefts.where(~has_key).select("__l", F.lit(None).cast(df.schema["__best"].dataType).alias("__best")))
     if p.get("tolerance") is not None:
-        df = df.withColumn("__best", F.when(distance(value("best"), F.col(f"__l.{identifier(la)}"), kind) <= p["tolerance"], F.col("__best")))
+        df = df.withColumn(
+            "__best",
+            F.when(distance(value("best"), F.col(f"__l.{identifier(la)}"), kind) <= p["tolerance"], F.col("__best")),
+        )
     if how == "inner":
         df = df.where("__best IS NOT NULL")
     own = [F.col(f"__l.{identifier(c)}").alias(c) for c in l.columns]
-    return df.select(*own, *[F.col(f"__best.{identifier(c)}").alias(c) for c in r.columns if not any(c == b and a == b for a, b in keys or [])])
+    return df.select(
+        *own,
+        *[F.col(f"__best.{identifier(c)}").alias(c) for c in r.columns if not any(c == b and a == b for a, b in keys or [])],
+    )
 
 
 @operator("lateralJoin", "left right", "join_type on filter order_by limit columns", sources=lambda p: [p["left"], p["right"]])
@@ -218,7 +249,10 @@ def lateral_join(ctx, p, inputs) -> DataFrame:
             raise PipelineError(BAD_PARAMETER, f"lateralJoin: an order by {', '.join(unknown)} needs a condition")
         best = right.orderBy(*ordering(p.get("order_by") or []), *ties).limit(int(p["limit"]))
         row = F.struct(*[F.col(identifier(c)) for c in right.columns])
-        attached = left.select(F.struct(*[F.col(identifier(c)) for c in left.columns]).alias("__l"), best.agg(F.collect_list(row)).scalar().alias("__r"))
+        attached = left.select(
+            F.struct(*[F.col(identifier(c)) for c in left.columns]).alias("__l"),
+            best.agg(F.collect_list(row)).scalar().alias("__r"),
+        )
         attached = attached.select("__l", (F.explode if kind == "inner" else F.explode_outer)("__r").alias("__r"))
         sides = [F.col(f"{side}.{identifier(c)}").alias(c) for side, df in (("__l", left), ("__r", right)) for c in df.columns]
         return attached.select(*sides)

@@ -34,7 +34,13 @@ class Operator:
 OPERATORS: dict[str, Operator] = {}
 
 
-def operator(name: str, required: str = "", optional: str = "", sources: Callable[[dict], list[str]] = lambda p: [p["from"]], title: str = ""):
+def operator(
+    name: str,
+    required: str = "",
+    optional: str = "",
+    sources: Callable[[dict], list[str]] = lambda p: [p["from"]],
+    title: str = "",
+):
     """Registers ``plan(context, parameters, inputs)``; inputs: a mapping of asset names to frames, in source order."""
 
     def wrap(plan: Callable[..., DataFrame]) -> Callable[..., DataFrame]:

@@ -90,7 +90,11 @@ def describe(ctx, p, inputs) -> DataFrame:
     Means of columns that hold no numbers are null; an unknown statistic is an error.
     """
     df = only(inputs)
-    columns = known(df, p.get("columns") or [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType))], "describe")
+    columns = known(
+        df,
+        p.get("columns") or [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType))],
+        "describe",
+    )
     names = [str(s).lower() for s in p.get("statistics") or ["count", "mean", "stddev", "min", "max"]]
     if unknown := [s for s in names if s not in STATISTICS]:
         raise PipelineError(BAD_PARAMETER, f"describe: unknown statistic {', '.join(unknown)}")

@@ -39,7 +39,9 @@ def window(ctx, p, inputs) -> DataFrame:
         parts.append("ORDER BY " + order_text(p["order_by"]))
     frame = ""
     if f := p.get("frame"):
-        kind, start, end = str(f.get("frame_type", f.get("type", "rows"))).upper(), f.get("start", "UNBOUNDED PRECEDING"), f.get("end", "CURRENT ROW")
+        kind, start, end = str(
+            f.get("frame_type", f.get("type", "rows"))
+        ).upper(), f.get("start", "UNBOUNDED PRECEDING"), f.get("end", "CURRENT ROW")
         if kind not in ("ROWS", "RANGE") or not all(BOUND.fullmatch(str(b).strip()) for b in (start, end)):
             raise PipelineError(BAD_PARAMETER, f"window: frame {kind} {start} .. {end}")
         frame = f"{kind} BETWEEN {start} AND {end}"

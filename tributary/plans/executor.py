@@ -78,7 +78,15 @@ def overwritten_inputs(pipeline: Pipeline) -> None:
             raise PipelineError(IO, f"{a.parameters['path']} would be overwritten while it is read")
 
 
-def execute(spark: SparkSession, pipeline: Pipeline, file: str = "", now: datetime | None = None, tag: str | None = None, writers: int = 4, log: Callable[[str], None] = LOG.warning) -> Run:
+def execute(
+    spark: SparkSession,
+    pipeline: Pipeline,
+    file: str = "",
+    now: datetime | None = None,
+    tag: str | None = None,
+    writers: int = 4,
+    log: Callable[[str], None] = LOG.warning,
+) -> Run:
     """Runs hooks, outputs and quality suites. ``tag``: spark.interruptTag(tag) cancels the run's jobs."""
     overwritten_inputs(pipeline)
     hooks.before(pipeline.hooks, file)

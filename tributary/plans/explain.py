@@ -26,12 +26,19 @@ def line(a: Asset) -> str:
 
 def explain(pipeline: Pipeline) -> str:
     assets = [pipeline.assets[n] for n in order(pipeline)]
-    groups = {"Inputs": [a for a in assets if a.kind == "input"], "Transformations": [a for a in assets if a.kind not in ("input", "output")], "Outputs": [a for a in assets if a.kind == "output"]}
+    groups = {
+        "Inputs": [a for a in assets if a.kind == "input"],
+        "Transformations": [a for a in assets if a.kind not in ("input", "output")],
+        "Outputs": [a for a in assets if a.kind == "output"],
+    }
     out = ["=== Pipeline plan ===", ""]
     for name, members in groups.items():
         if members or name == "Inputs":
             out += [f"--- {name} ---", *map(line, members), ""]
     steps = waves(pipeline)
     counts = [len(g) for g in groups.values()]
-    out += [f"Total: {len(assets)} assets ({counts[0]} inputs, {counts[1]} transformations, {counts[2]} outputs)", f"Execution waves: {len(steps)}"]
+    out += [
+        f"Total: {len(assets)} assets ({counts[0]} inputs, {counts[1]} transformations, {counts[2]} outputs)",
+        f"Execution waves: {len(steps)}",
+    ]
     return "\n".join([*out, *[f"  Wave {k}: {', '.join(w)}" for k, w in enumerate(steps, 1)]]) + "\n"

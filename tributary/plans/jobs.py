@@ -98,7 +98,14 @@ class JobStore:
         self.pool.shutdown(wait=True, cancel_futures=True)
 
 
-def serve(store: JobStore, host: str = "127.0.0.1", port: int = 0, version: str = "1", hooks: bool | None = None, origin: str | None = None) -> ThreadingHTTPServer:
+def serve(
+    store: JobStore,
+    host: str = "127.0.0.1",
+    port: int = 0,
+    version: str = "1",
+    hooks: bool | None = None,
+    origin: str | None = None,
+) -> ThreadingHTTPServer:
     """An HTTP server (call serve_forever): /api/health, validate, explain, inspect, jobs, jobs/{id}, jobs/{id}/wait.
 
     hooks: take documents that hold shell commands; unless told, only where the port can be reached from this machine alone. origin: the one web origin whose pages may

@@ -20,7 +20,15 @@ VARIABLE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::([^}]*))?\}")
 #: Written inside documents for other ends: the key of an enrichment's url.
 RESERVED = ("keyColumn",)
 #: Other spellings of operators.
-SYNONYMS = {"groupBy": "group", "group_by": "group", "filter": "where", "order": "orderBy", "asofJoin": "asOfJoin", "dropNulls": "dropNa", "sort": "orderBy"}
+SYNONYMS = {
+    "groupBy": "group",
+    "group_by": "group",
+    "filter": "where",
+    "order": "orderBy",
+    "asofJoin": "asOfJoin",
+    "dropNulls": "dropNa",
+    "sort": "orderBy",
+}
 #: Mappings whose keys are data, not parameter names.
 VERBATIM = ("options", "mappings", "values", "headers", "set", "metadata")
 
@@ -77,7 +85,13 @@ def entries(document: dict) -> list[tuple[str, str, dict]]:
             raise PipelineError(BAD_PARAMETER, f"transformation {x.get('name')}: one operator is expected, not {len(kinds)}")
         out.append((x.get("name"), kinds[0], normal(x[kinds[0]]) or {}))
     for x in listed(document, "output", "outputs"):
-        out.append((None, "output", {"from": x.get("from", x.get("name")), **{k: v for k, v in normal(x).items() if k not in ("name", "from")}}))
+        out.append(
+            (
+                None,
+                "output",
+                {"from": x.get("from", x.get("name")), **{k: v for k, v in normal(x).items() if k not in ("name", "from")}},
+            )
+        )
     for x in listed(document, "assets"):
         source = x.get("source") or {}
         if len(source) != 1:
@@ -128,7 +142,13 @@ def parse(text: str, variables: dict[str, str] | None = None) -> Pipeline:
                 raise PipelineError(UNKNOWN_ASSET, f'asset "{a.name}" references unknown asset "{d}"')
     about = document.get("pipeline") or {}
     hooks = {snake(k): [h if isinstance(h, str) else h.get("command") or h.get("run") for h in v] for k, v in (document.get("hooks") or {}).items()}
-    pipeline = Pipeline(assets, hooks, normal(listed(document, "quality")), str(about.get("name") or ""), str(document.get("version") or ""))
+    pipeline = Pipeline(
+        assets,
+        hooks,
+        normal(listed(document, "quality")),
+        str(about.get("name") or ""),
+        str(document.get("version") or ""),
+    )
     from .dag import waves
 
     waves(pipeline)

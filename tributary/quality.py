@@ -41,7 +41,13 @@ def within(value: float | None, bound: Any) -> bool:
         return False
     bound = bound if isinstance(bound, dict) else {"min": bound}
     low, high = bound.get("between") or (None, None)
-    return all([bound.get("min") is None or value >= bound["min"], bound.get("max") is None or value <= bound["max"], low is None or low <= value <= high])
+    return all(
+        [
+            bound.get("min") is None or value >= bound["min"],
+            bound.get("max") is None or value <= bound["max"],
+            low is None or low <= value <= high,
+        ]
+    )
 
 
 def age(text: str | float) -> timedelta:
@@ -83,7 +89,11 @@ def metrics(check: dict) -> list[Column]:
         return [ratio(F.col(identifier(check["column"])).isNotNull())]
     if kind == "uniqueness":
         columns = check.get("columns") or [check["column"]]
-        return [F.when(F.count("*") == 0, F.lit(1.0)).otherwise(F.count_distinct(F.struct(*[identifier(c) for c in columns])) / F.count("*"))]
+        return [
+            F.when(F.count("*") == 0, F.lit(1.0)).otherwise(
+                F.count_distinct(F.struct(*[identifier(c) for c in columns])) / F.count("*")
+            )
+        ]
     if kind == "volume":
         return [F.count("*")]
     if kind == "validity":

@@ -10,7 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from ..errors import BAD_PARAMETER, FORMAT, IO, PipelineError
 
 #: Format names of documents, and Spark's.
-READERS = {"csv": "csv", "parquet": "parquet", "json": "json", "ndjson": "json", "jsonl": "json", "orc": "orc", "text": "text", "xml": "xml", "binaryfile": "binaryFile", "jdbc": "jdbc", "avro": "avro", "delta": "delta", "iceberg": "iceberg"}
+READERS = {
+    "csv": "csv",
+    "parquet": "parquet",
+    "json": "json",
+    "ndjson": "json",
+    "jsonl": "json",
+    "orc": "orc",
+    "text": "text",
+    "xml": "xml",
+    "binaryfile": "binaryFile",
+    "jdbc": "jdbc",
+    "avro": "avro",
+    "delta": "delta",
+    "iceberg": "iceberg",
+}
 WRITERS = {k: v for k, v in READERS.items() if k != "binaryfile"}
 MODES = {"error": "errorifexists", "errorifexists": "errorifexists", "overwrite": "overwrite", "append": "append", "ignore": "ignore"}
 
@@ -88,4 +102,7 @@ def coerced(value: str) -> Any:
 def inspect(spark: SparkSession, format: str, path: str, options: dict[str, str] | None = None) -> dict[str, Any]:
     """Fields (name, type, nullable) and the number of rows."""
     df = read_input(spark, format, path, {k: coerced(v) if isinstance(v, str) and k != "schema" else v for k, v in (options or {}).items()})
-    return {"fields": [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable} for f in df.schema.fields], "rows": df.count()}
+    return {
+        "fields": [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable} for f in df.schema.fields],
+        "rows": df.count(),
+    }

@@ -13,7 +13,27 @@ from ..functions.expressions import expr, identifier
 from ..operators import Context, plan
 
 #: Operators that look at one row at a time, or join a stream with a table.
-STATELESS = ("select", "where", "addColumns", "dropColumns", "renameColumns", "castColumns", "schemaEnforce", "conditional", "flatten", "parse", "fillNa", "dropNa", "replace", "union", "unpivot", "custom", "join", "hint", "sql")
+STATELESS = (
+    "select",
+    "where",
+    "addColumns",
+    "dropColumns",
+    "renameColumns",
+    "castColumns",
+    "schemaEnforce",
+    "conditional",
+    "flatten",
+    "parse",
+    "fillNa",
+    "dropNa",
+    "replace",
+    "union",
+    "unpivot",
+    "custom",
+    "join",
+    "hint",
+    "sql",
+)
 
 
 def read_stream(spark: SparkSession, format: str, schema: str, path: str | None = None, options: dict[str, Any] | None = None) -> DataFrame:
@@ -31,11 +51,24 @@ def plan_stream(steps: list[tuple[str, dict]], df: DataFrame, name: str = "strea
     return df
 
 
-def windowed(df: DataFrame, time: str, agg: list[str], size: str, slide: str | None = None, by: list[str] = (), late: str = "0 seconds", session: bool = False) -> DataFrame:
+def windowed(
+    df: DataFrame,
+    time: str,
+    agg: list[str],
+    size: str,
+    slide: str | None = None,
+    by: list[str] = (),
+    late: str = "0 seconds",
+    session: bool = False,
+) -> DataFrame:
     """Aggregates over tumbling, sliding or session windows; rows later than ``late`` are left out."""
     window = F.session_window(time, size) if session else F.window(time, size, slide)
     out = df.withWatermark(time, late).groupBy(window.alias("window"), *[identifier(c) for c in by]).agg(*[expr(a) for a in agg])
-    return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *[identifier(c) for c in out.columns if c != "window"])
+    return out.select(
+        F.col("window.start").alias("window_start"),
+        F.col("window.end").alias("window_end"),
+        *[identifier(c) for c in out.columns if c != "window"],
+    )
 
 
 def deduplicated(df: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
@@ -43,7 +76,15 @@ def deduplicated(df: DataFrame, keys: list[str], time: str, late: str) -> DataFr
     return df.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def write_stream(df: DataFrame, format: str, checkpoint: str, path: str | None = None, mode: str = "append", once: bool = True, options: dict[str, Any] | None = None) -> StreamingQuery:
+def write_stream(
+    df: DataFrame,
+    format: str,
+    checkpoint: str,
+    path: str | None = None,
+    mode: str = "append",
+    once: bool = True,
+    options: dict[str, Any] | None = None,
+) -> StreamingQuery:
     """Starts the query; ``once`` takes what there is and ends."""
     writer = df.writeStream.format(format).outputMode(mode).option("checkpointLocation", checkpoint).options(**(options or {}))
     writer = writer.trigger(availableNow=True) if once else writer
