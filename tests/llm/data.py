@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-COLUMNS = "doc_id long, text string, lang string, kept boolean, n_words string, n_lines int, fingerprint string, contaminated int, ids string, pii string, score string, item_ids string, __row int"
+COLUMNS = (
+    "doc_id long, text string, lang string, kept boolean, n_words string, n_lines int, fingerprint string, contaminated "
+    "int, ids string, pii string, score string, item_ids string, __row int"
+)
 
 
 def words(n: int, seed: int, vocabulary: int = 400) -> list[str]:

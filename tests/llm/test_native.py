@@ -52,7 +52,13 @@ def test_quality_rules(spark):
 @pytest.mark.parametrize("place_bits", [56, 60])
 def test_repeats_are_of_words_not_of_hashes(spark, place_bits):
     """With a hash of a few bits nearly all windows meet; counts stay right."""
-    df = quality_rules.measure(frame(spark, rows() + [(900, " ".join(f"v{k}" for k in range(5000)), "en", True, "m", 1, "f", 0, "i", "p", "s", "q", 9)]), place_bits=place_bits)
+    df = quality_rules.measure(
+        frame(
+            spark,
+            rows() + [(900, " ".join(f"v{k}" for k in range(5000)), "en", True, "m", 1, "f", 0, "i", "p", "s", "q", 9)],
+        ),
+        place_bits=place_bits,
+    )
     for r in df.collect():
         assert r.n_repeat_words == base_of(r.text)[4], r.text
 
@@ -98,7 +104,14 @@ def test_repeated_runs_of_any_length(spark):
     line = lambda k: f"line number {k}"
     run = {n: [line(1000 * n + k) for k in range(n)] for n in (2, 5, 40)}
     own = lambda d, n: [f"own {d} {k}" for k in range(n)]
-    docs = {1: own(1, 3) + run[2] + own(11, 1) + run[5], 2: run[40] + own(2, 2), 3: own(3, 1) + run[5] + own(31, 2) + run[40], 4: run[2], 5: own(5, 4) + run[40][10:30] + ["", " "] + run[40][30:35] + run[5][1:4], 6: own(6, 70)}
+    docs = {
+        1: own(1, 3) + run[2] + own(11, 1) + run[5],
+        2: run[40] + own(2, 2),
+        3: own(3, 1) + run[5] + own(31, 2) + run[40],
+        4: run[2],
+        5: own(5, 4) + run[40][10:30] + ["", " "] + run[40][30:35] + run[5][1:4],
+        6: own(6, 70),
+    }
     df = spark.createDataFrame([(k, "\n".join(v)) for k, v in docs.items()], "doc_id long, text string")
     got = sorted(map(tuple, line_dedup.repeated_runs(df).collect()))
     assert got == [(3, 1, 5, 1, 6), (3, 8, 40, 2, 0), (4, 0, 2, 1, 3), (5, 4, 25, 2, 10), (5, 29, 3, 1, 7)]
@@ -111,7 +124,10 @@ def test_repeated_runs_of_any_length(spark):
 
 def test_ranks_are_the_order_of_runs(spark):
     r = random.Random(5)
-    df = spark.createDataFrame([(k, "\n".join(f"l{r.randrange(4)}" for _ in range(r.randrange(30)))) for k in range(20)], "doc_id long, text string")
+    df = spark.createDataFrame(
+        [(k, "\n".join(f"l{r.randrange(4)}" for _ in range(r.randrange(30)))) for k in range(20)],
+        "doc_id long, text string",
+    )
     lines = line_dedup.line_ids(line_dedup.keyed(df))
     at = {}
     for x in lines.orderBy("__ld_d", "seq").collect():
@@ -128,9 +144,19 @@ def test_ranks_are_the_order_of_runs(spark):
 
 def test_long_texts_and_clashing_columns_in_lines(spark):
     long = "\n".join(f"line {k} of a very long text that has words" for k in range(30_000))
-    df = spark.createDataFrame([(1, long, 5, 6, "r"), (2, long + "\nlast", 7, 8, "r"), (3, None, 1, 1, None)], "doc_id long, text string, n_lines int, seq int, `rank` string")
+    df = spark.createDataFrame(
+        [(1, long, 5, 6, "r"), (2, long + "\nlast", 7, 8, "r"), (3, None, 1, 1, None)],
+        "doc_id long, text string, n_lines int, seq int, `rank` string",
+    )
     got = {x.doc_id: x for x in line_dedup.line_dedup(df).collect()}
-    assert (got[1].n_removed, got[2].n_removed, got[2].text, got[2].n_lines, got[2].seq, got[3].text) == (0, 30_000, "last", 30_001, 8, None)
+    assert (
+        got[1].n_removed,
+        got[2].n_removed,
+        got[2].text,
+        got[2].n_lines,
+        got[2].seq,
+        got[3].text,
+    ) == (0, 30_000, "last", 30_001, 8, None)
 
 
 def test_line_dedup_awkward_rows(spark):
@@ -186,11 +212,22 @@ def test_decontamination_against_brute_force(spark):
 def test_a_large_benchmark_is_one_pass(spark):
     """Beyond the broadcast size the documents are scanned once, and a seed of many documents is no cross product."""
     items = spark.createDataFrame([(k, " ".join(words(30, 5000 + k, 9000))) for k in range(300)], "item_id long, text string")
-    docs = spark.createDataFrame([(k, " ".join(words(25, 7000 + k, 9000) + words(30, 5000 + k % 310, 9000))) for k in range(620)], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(k, " ".join(words(25, 7000 + k, 9000) + words(30, 5000 + k % 310, 9000))) for k in range(620)],
+        "doc_id long, text string",
+    )
     small, large = (decontaminate.contaminated(docs, items, block_tokens=n, short_items=True) for n in (50_000, 100))
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
     assert large.where("contaminated").count() == 600
-    seeds = decontaminate.seeds(items.select("item_id", decontaminate.tokens(items.text).alias("t")).selectExpr("item_id", "transform(t, x -> xxhash64(x)) AS ih"), "ih", "q", ["ih"])
+    seeds = decontaminate.seeds(
+        items.select(
+            "item_id",
+            decontaminate.tokens(items.text).alias("t"),
+        ).selectExpr("item_id", "transform(t, x -> xxhash64(x)) AS ih"),
+        "ih",
+        "q",
+        ["ih"],
+    )
     rows_of = {r["row"]: r.words for r in decontaminate.bitmap(seeds, 1 << 17).collect()}
     found = {r.seed % (1 << 17) for r in seeds.select("seed").collect()}
     held = {row * decontaminate.ROW_BITS + 64 * w + b for row, words_ in rows_of.items() for w, m in enumerate(words_) for b in range(64) if m >> b & 1}
@@ -202,9 +239,18 @@ def test_decontamination_awkward_rows(spark):
     got = decontaminate.contaminated(frame(spark), bench).collect()
     assert len(got) == len(rows())
     assert {x.doc_id for x in got if x.contaminated} == {15, 18, 21, 24}
-    long = spark.createDataFrame([(1, " ".join(words(200_000, 8)) + " " + " ".join(words(20, 1)), "mine"), (2, None, None)], "doc_id long, text string, item_ids string")
+    long = spark.createDataFrame(
+        [(1, " ".join(words(200_000, 8)) + " " + " ".join(words(20, 1)), "mine"), (2, None, None)],
+        "doc_id long, text string, item_ids string",
+    )
     for block in (50_000, 1):
-        assert [(x.doc_id, x.item_ids) for x in decontaminate.contaminated(long, bench, block_tokens=block).orderBy("doc_id").collect()] == [(1, [1]), (2, [])]
+        assert [
+            (x.doc_id, x.item_ids) for x in decontaminate.contaminated(
+                long,
+                bench,
+                block_tokens=block,
+            ).orderBy("doc_id").collect()
+        ] == [(1, [1]), (2, [])]
     assert decontaminate.contaminated(frame(spark), bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0
 
@@ -220,7 +266,28 @@ def rule_of(url):
 
 
 def test_url_rules(spark):
-    urls = [None, "", "x", "http://", "HTTP://Example.NET/en/1", "http://example.net/EN/", "http://a.example.net/en/", "ftp://example.net/en", "http://net/", "http://net", "http://fnet/", "http://é.ORG/fr/x?y#z", "http://org/fr/", "http://a.example.com/de/?q=http://b.net/", "http://a.example.com?/de/", "//a.net/", "a://b://c.net/", "http://a.net/x\ny#z", "http://b.net#/en/", "http://.net/"]
+    urls = [
+        None,
+        "",
+        "x",
+        "http://",
+        "HTTP://Example.NET/en/1",
+        "http://example.net/EN/",
+        "http://a.example.net/en/",
+        "ftp://example.net/en",
+        "http://net/",
+        "http://net",
+        "http://fnet/",
+        "http://é.ORG/fr/x?y#z",
+        "http://org/fr/",
+        "http://a.example.com/de/?q=http://b.net/",
+        "http://a.example.com?/de/",
+        "//a.net/",
+        "a://b://c.net/",
+        "http://a.net/x\ny#z",
+        "http://b.net#/en/",
+        "http://.net/",
+    ]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: r for r in url_filters.url_filters(df.selectExpr("*", "'mine' AS host", "1 AS verdict", "2 AS extra")).collect()}
     verdict = {h + p: v for v, h, p in url_filters.RULES}
@@ -233,7 +300,9 @@ def test_url_rules(spark):
 def test_url_templates(spark):
     """A host's unlabelled branch is judged with the siblings it can't be told from; other hosts are left alone."""
     rules = (("block", "bad.test", "/spam/1"), ("allow", "bad.test", "/good/"))
-    pages = [f"http://bad.test/spam/{n}" for n in range(100, 400)] + [f"http://bad.test/good/{n}" for n in range(200)] + [f"http://ok.test/{a}/{n}" for a in "abc" for n in range(40)]
+    pages = [f"http://bad.test/spam/{n}" for n in range(100, 400)] + [f"http://bad.test/good/{n}" for n in range(200)] + [
+        f"http://ok.test/{a}/{n}" for a in "abc" for n in range(40)
+    ]
     got = url_filters.url_filters(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), rules).collect()
     verdict = {r.url: (r.template, r.verdict) for r in got}
     assert verdict["http://bad.test/spam/300"] == ("/spam/{n}", "block") and verdict["http://bad.test/good/7"] == ("/good/{n}", "allow")
@@ -260,7 +329,13 @@ def test_unlabelled_branches_are_judged_as_what_surrounds_them(spark):
 def test_inherited_shares_against_plain_python(spark):
     """Shares of the whole tree, paths of any depth, without merging; a node with all labels of the one above adds nothing."""
     r = random.Random(5)
-    rules = (("block", "a.test", "/x/y/"), ("allow", "a.test", "/x/"), ("block", "b.test", "/y/z/x/"), ("allow", "b.test", "/z/"), ("block", "b.test", "/x/y/z/x/y/"))
+    rules = (
+        ("block", "a.test", "/x/y/"),
+        ("allow", "a.test", "/x/"),
+        ("block", "b.test", "/y/z/x/"),
+        ("allow", "b.test", "/z/"),
+        ("block", "b.test", "/x/y/z/x/y/"),
+    )
     urls = [f"http://{r.choice('ab')}.test/" + "/".join(r.choice("xyz") for _ in range(r.randrange(9))) for _ in range(400)]
     urls += [None, "http://a.test", "http://a.test//x//y/", *["http://a.test/x/y/z"] * 30]
     urls += ["http://a.test/" + "/".join(f"s{chr(97 + k % 26)}" for k in range(n)) for n in (90, 90, 4)]
@@ -296,8 +371,22 @@ def test_inherited_shares_against_plain_python(spark):
 @pytest.mark.parametrize("options", [{}, {"depth": None, "many": 2, "inherit": True}])
 def test_url_templates_awkward_rows(spark, options):
     long = "http://a.test/" + "y" * 100_000 + "/b?" + "z" * 100_000
-    urls = ["http://a.test/x/1", "http://a.test/x/1", "http://a.test/x/1", None, None, "", long, "http://a.test/" + "d/" * 30 + "e", "http://a.test/?", "http://a.test"]
-    df = spark.createDataFrame([(k % 4, u) for k, u in enumerate(urls)], "page_id long, url string").selectExpr("*", "1 AS template", "2 AS lone", "3 AS seg", "4 AS l")
+    urls = [
+        "http://a.test/x/1",
+        "http://a.test/x/1",
+        "http://a.test/x/1",
+        None,
+        None,
+        "",
+        long,
+        "http://a.test/" + "d/" * 30 + "e",
+        "http://a.test/?",
+        "http://a.test",
+    ]
+    df = spark.createDataFrame(
+        [(k % 4, u) for k, u in enumerate(urls)],
+        "page_id long, url string",
+    ).selectExpr("*", "1 AS template", "2 AS lone", "3 AS seg", "4 AS l")
     got = url_filters.url_filters(df, (("block", "a.test", "/x/"),), **options)
     assert got.columns == ["page_id", "url", "lone", "seg", "l", "host", "path", "rule", "template", "blocked_share", "verdict"]
     rows = got.collect()

@@ -45,7 +45,14 @@ CONTROL_PARTS = ["<", "s", ">", "/", "\\", "[INST]", "<s>", "</s>", "<<SYS>>", "
 def test_chats_read_back(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice(CONTROL_PARTS) for _ in range(r.randrange(9)))
-    turns = [(r.choice([None, *range(40)]), r.randrange(4), r.choice(["user", "assistant", "system", None, word()]), r.choice([None, word(), word() * 40])) for _ in range(600)]
+    turns = [
+        (
+            r.choice([None, *range(40)]),
+            r.randrange(4),
+            r.choice(["user", "assistant", "system", None, word()]),
+            r.choice([None, word(), word() * 40]),
+        ) for _ in range(600)
+    ]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     for size in (4096, 7):
         chats = chat_format.format_chats(df.selectExpr("*", "1 AS formatted"), size)
@@ -60,10 +67,26 @@ def test_chats_read_back(spark):
 def test_long_chats_and_clashing_columns(spark):
     """Texts above a block and above the copied slices; other columns don't matter."""
     long = "</s>é" * 400_000
-    turns = [(1, 0, "user", long), (1, 1, "assistant", "x" * 600), (2, 0, "assistant", long[1:]), (3, 0, "user", "short"), (3, 1, "assistant", "y" * 512)]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS loss_start", "'x' AS formatted", "2 AS n_turns")
+    turns = [
+        (1, 0, "user", long),
+        (1, 1, "assistant", "x" * 600),
+        (2, 0, "assistant", long[1:]),
+        (3, 0, "user", "short"),
+        (3, 1, "assistant", "y" * 512),
+    ]
+    df = spark.createDataFrame(
+        turns,
+        "conv_id long, turn long, role string, text string",
+    ).selectExpr("*", "1 AS loss_start", "'x' AS formatted", "2 AS n_turns")
     for size in (4_000_000, 1000):
-        got = {x.conv_id: (x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) for x in chat_format.digests(chat_format.format_chats(df, block_bytes=size)).collect()}
+        got = {
+            x.conv_id: (
+                x.n_turns,
+                x.turns_sha256,
+                x.loss_chars,
+                x.loss_sha256,
+            ) for x in chat_format.digests(chat_format.format_chats(df, block_bytes=size)).collect()
+        }
         assert got == chat_digests(turns)
 
 
@@ -85,7 +108,12 @@ def test_chat_query(spark, sf_dir):
 
 # Personal data
 
-PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
 
 
 def holds(kind, s):
@@ -104,7 +132,17 @@ def base_spans(text):
 
 def test_base_spans_against_plain_scan():
     r = random.Random(3)
-    parts = [*"00192.. --+@()ab_%", "4539578763621486", "4539-5787 6362-1486", "@a.b", "x@y.z-w.q", " +1 (555) 555-1234", "10.0.0.1", "1.2.3.256", "é"]
+    parts = [
+        *"00192.. --+@()ab_%",
+        "4539578763621486",
+        "4539-5787 6362-1486",
+        "@a.b",
+        "x@y.z-w.q",
+        " +1 (555) 555-1234",
+        "10.0.0.1",
+        "1.2.3.256",
+        "é",
+    ]
     for _ in range(20_000):
         text = "".join(r.choice(parts) for _ in range(r.randrange(25)))
         got = sorted(private_data.base_spans(text), key=lambda x: (x[1], list(PATTERNS).index(x[0])))
@@ -113,7 +151,20 @@ def test_base_spans_against_plain_scan():
 
 def test_base_kinds_in_sql_against_plain_scan():
     r = random.Random(4)
-    parts = [*"00192.. --+@()ab_%", "4539578763621486", "4539-5787 6362-1486", "@a.b", "x@y.z-w.q", " +1 (555) 555-1234", "10.0.0.1", "1.2.3.256", "0" * 30 + "1.2.3.4", "9" * 30 + ".2.3.4", "é", "\U0001d7d8"]
+    parts = [
+        *"00192.. --+@()ab_%",
+        "4539578763621486",
+        "4539-5787 6362-1486",
+        "@a.b",
+        "x@y.z-w.q",
+        " +1 (555) 555-1234",
+        "10.0.0.1",
+        "1.2.3.256",
+        "0" * 30 + "1.2.3.4",
+        "9" * 30 + ".2.3.4",
+        "é",
+        "\U0001d7d8",
+    ]
     texts = [None, "", *["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(5_000)]]
     ids = [k // 2 for k in range(len(texts))]
     spans = [base_spans(t or "") for t in texts]
@@ -137,7 +188,9 @@ def test_added_kinds_need_checksum_and_context():
 
 def test_context_is_whole_words():
     kinds = lambda t: [k for k, *_ in private_data.spans_of(t)]
-    assert kinds("my ssn is 123-45-6789 of the sales department") == ["ssn"] and kinds("part 123-45-6789 ssn") == [] and kinds("monkey: 24be64439e3e49cf46b2d7c90f3602a3") == []
+    assert kinds(
+        "my ssn is 123-45-6789 of the sales department"
+    ) == ["ssn"] and kinds("part 123-45-6789 ssn") == [] and kinds("monkey: 24be64439e3e49cf46b2d7c90f3602a3") == []
     for name in ("accessKey", "API_KEY", "token2", "my-secret", "PASSWORD"):
         assert kinds(f"{name} = 24be64439e3e49cf46b2d7c90f3602a3") == ["credential"], name
     assert kinds("commitKey = 24be64439e3e49cf46b2d7c90f3602a3") == []
@@ -145,7 +198,9 @@ def test_context_is_whole_words():
 
 def test_ibans_end_where_their_country_s_do():
     found = lambda t: [t[a:b] for k, a, b, _ in private_data.spans_of(t) if k == "iban"]
-    assert found("IBAN BE71 0961 2345 6769 PAID") == ["BE71 0961 2345 6769"] and found("BE71096123456769 PAID IN FULL") == ["BE71096123456769"]
+    assert found(
+        "IBAN BE71 0961 2345 6769 PAID"
+    ) == ["BE71 0961 2345 6769"] and found("BE71096123456769 PAID IN FULL") == ["BE71096123456769"]
     assert found("DE89 3704 0044 0532 0130 00 2024") == ["DE89 3704 0044 0532 0130 00"] and found("DE89370400440532013000X") == []
     assert found("NO93 8601 1117 947, NO9386011117947") == ["NO93 8601 1117 947", "NO9386011117947"]
     assert found("BE7 1096 1234 56769") == [] and found("xBE71 0961 2345 6769") == [] and found("BE71 0961 2345 6768") == []
@@ -154,8 +209,16 @@ def test_ibans_end_where_their_country_s_do():
 
 def test_private_data_awkward_rows(spark):
     some = [(1, "a@b.co 10.0.0.1"), (2, None), (3, ""), (1, "a@b.co 10.0.0.1")]
-    got = private_data.find_private_data(spark.createDataFrame(some, "doc_id long, text string").selectExpr("*", "1 AS pii"), redact=True).collect()
-    assert sorted((x.doc_id, len(x.pii), x.redacted) for x in got) == [(1, 2, "<email> <ip>"), (1, 2, "<email> <ip>"), (2, 0, ""), (3, 0, "")]
+    got = private_data.find_private_data(
+        spark.createDataFrame(some, "doc_id long, text string").selectExpr("*", "1 AS pii"),
+        redact=True,
+    ).collect()
+    assert sorted((x.doc_id, len(x.pii), x.redacted) for x in got) == [
+        (1, 2, "<email> <ip>"),
+        (1, 2, "<email> <ip>"),
+        (2, 0, ""),
+        (3, 0, ""),
+    ]
     assert private_data.find_private_data(frame(spark)).count() == len(rows())
     assert private_data.find_private_data(frame(spark, [])).count() == 0
 
@@ -193,7 +256,12 @@ def test_substring_dedup(spark, monkeypatch, group, batch):
     monkeypatch.setattr(substring_dedup, "BATCH_CHARS", batch)
     r = random.Random(6)
     shared = [words(r.randrange(10, 30), 70 + k) for k in range(6)]
-    docs = [(k, " ".join(sum((r.choice([*shared, words(r.randrange(20), 1000 + 50 * k + j, 3000)]) for j in range(4)), []))) for k in range(80)]
+    docs = [
+        (
+            k,
+            " ".join(sum((r.choice([*shared, words(r.randrange(20), 1000 + 50 * k + j, 3000)]) for j in range(4)), [])),
+        ) for k in range(80)
+    ]
     docs += [(i, t) for i, t, *_ in rows()]
     got = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=repr) == kept_words(docs, 13)
@@ -212,12 +280,20 @@ def test_substring_dedup_of_long_texts_and_clashing_columns(spark):
     text = " ".join(words(150_000, 8, 50_000))
     docs = [(2, text, 1, "x", None), (1, text + " one more", 2, "y", None), (3, "  ", 3, "z", None)]
     got = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string, b int, kept string, n_words int")).collect()
-    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept) for x in got) == [(1, 150_002, 0, text + " one more"), (2, 150_000, 150_000, ""), (3, 0, 0, "")]
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept) for x in got) == [
+        (1, 150_002, 0, text + " one more"),
+        (2, 150_000, 150_000, ""),
+        (3, 0, 0, ""),
+    ]
 
 
 def test_substring_dedup_without_rows_or_words(spark):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
-    assert [tuple(x) for x in substring_dedup.remove_repeats(spark.createDataFrame([(1, None), (1, " ")], "doc_id long, text string")).collect()] == [(1, 0, 0, "")] * 2
+    assert [
+        tuple(x) for x in substring_dedup.remove_repeats(
+            spark.createDataFrame([(1, None), (1, " ")], "doc_id long, text string")
+        ).collect()
+    ] == [(1, 0, 0, "")] * 2
 
 
 def test_word_arrays():
@@ -285,7 +361,10 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
     class Empty:
         getCheckpointDir = lambda self: SimpleNamespace(isEmpty=lambda: True)
 
-    session = SimpleNamespace(sparkContext=SimpleNamespace(_jsc=SimpleNamespace(sc=Empty), master="spark://host:7077"), conf=SimpleNamespace(get=lambda k, d: d))
+    session = SimpleNamespace(
+        sparkContext=SimpleNamespace(_jsc=SimpleNamespace(sc=Empty), master="spark://host:7077"),
+        conf=SimpleNamespace(get=lambda k, d: d),
+    )
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         common.checkpoint_dir(session)
 
@@ -380,7 +459,11 @@ def test_scan_composes_the_automaton_s_functions():
 
 def test_pieces_merged_together_as_one_by_one():
     v, r = byte_bpe.Vocabulary(VOCABULARY), random.Random(3)
-    pieces = list({"".join(r.choice("abcdefé 漢\x00lingtheouer") for _ in range(r.randrange(1, 60))).encode() for _ in range(3000)} | {b"aaaa", b"aaaaaaa", b"\xff\xfe"})
+    pieces = list(
+        {
+            "".join(r.choice("abcdefé 漢\x00lingtheouer") for _ in range(r.randrange(1, 60))).encode() for _ in range(3000)
+        } | {b"aaaa", b"aaaaaaa", b"\xff\xfe"}
+    )
     assert [np.frombuffer(x, np.int32).tolist() for x in v.merged_together(pieces)] == [v.merged(p) for p in pieces]
 
 
@@ -438,7 +521,10 @@ def test_held_out_labels_are_predicted(spark):
 
 def test_classifier_awkward_rows(spark):
     docs = frame(spark)
-    labels = spark.createDataFrame([(12, 1, 0), (15, 1, 0), (15, 1, 0), (18, 0, 0), (None, 0, 0), (27, None, 0), (45, 0, 1), (9999, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame(
+        [(12, 1, 0), (15, 1, 0), (15, 1, 0), (18, 0, 0), (None, 0, 0), (27, None, 0), (45, 0, 1), (9999, 1, 0)],
+        "doc_id long, quality int, toxic int",
+    )
     got = quality_classifier.classify(docs, labels).collect()
     assert len(got) == len(rows()) and all(0 <= x.score <= 1 for x in got)
     scores = [tuple(x) for x in got]
@@ -461,7 +547,13 @@ def plain_passages(text):
         for b in data[mine[0][0] : to]:
             kinds[quality_classifier.CLASS[b]] += 1
         w, n = [data[a:b].decode() for a, b in mine], len(mine)
-        tail = [np.log1p(sum(len(x.encode()) for x in w) / n), sum(len(x.encode()) == 1 for x in w) / n, sum(x in set(quality_classifier.STOP_WORDS) for x in w) / n, (n - len(set(w))) / n, n / quality_classifier.PASSAGE]
+        tail = [
+            np.log1p(sum(len(x.encode()) for x in w) / n),
+            sum(len(x.encode()) == 1 for x in w) / n,
+            sum(x in set(quality_classifier.STOP_WORDS) for x in w) / n,
+            (n - len(set(w))) / n,
+            n / quality_classifier.PASSAGE,
+        ]
         out.append([x / max(sum(kinds), 1) for x in kinds] + [np.log1p(x / n) for x in kinds] + tail)
     return out
 
@@ -486,7 +578,11 @@ def test_training_takes_one_row_of_an_id(spark):
 def test_labels_of_held_out_rows_are_not_read(spark):
     d = "/root/testdata/sf0.001"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
-    turned = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 THEN 1 - quality ELSE quality END AS quality", "toxic")
+    turned = labels.selectExpr(
+        "doc_id",
+        "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 THEN 1 - quality ELSE quality END AS quality",
+        "toxic",
+    )
     a, b = (sorted(map(tuple, quality_classifier.classify(docs, x).collect())) for x in (labels, turned))
     assert a == b
 

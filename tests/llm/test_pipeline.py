@@ -42,7 +42,9 @@ def corpus(spark, tmp_path_factory):
         if r.random() < 0.2:
             parts.append(" ".join(prose(5, k) + [r.choice(items)[1]] + prose(5, k + 1)))
         docs.append("\n".join(parts))
-    docs += docs[:6] + [t.replace(" the ", " a ", 1) for t in docs[6:12]] + [" ".join(f"{w}$$$" for w in prose(60, k)) for k in range(4)] + ["short", None, ""]
+    docs += docs[:6] + [t.replace(" the ", " a ", 1) for t in docs[6:12]] + [
+        " ".join(f"{w}$$$" for w in prose(60, k)) for k in range(4)
+    ] + ["short", None, ""]
     table = [(k, t, "en", "s", len(t or ""), 1, "i", "f") for k, t in enumerate(docs)] + [(i, t, "en", "s", 3, 1, "i", "f") for i, t, *_ in rows() if i is None]
     spark.createDataFrame(table, COLUMNS).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
@@ -85,7 +87,13 @@ def test_pipeline_against_plain_python(spark, corpus):
     d, docs, items = corpus
     frame, want = spark.read.parquet(f"{d}/documents.parquet"), [(i, t) for i, t in docs if kept_by_rules(t or "")]
     columns = frame.columns
-    assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "byte_bpe"]
+    assert [k for k, _ in corpus_pipeline.STAGES] == [
+        "quality_rules",
+        "line_dedup",
+        "simhash_near_dedup",
+        "benchmark_decontamination",
+        "byte_bpe",
+    ]
     stages = dict(corpus_pipeline.STAGES)
 
     def step(name, frame):

@@ -41,7 +41,10 @@ def test_decontamination_of_items_of_every_length(spark):
 def test_training_reads_all_passages(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(quality_classifier, "fit", lambda x, first, y: seen.append((len(x), list(first))))
-    docs = spark.createDataFrame([(k, " ".join(words(n, k))) for k, n in enumerate([20_000, 64, 65, 64, 64, 64])], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(k, " ".join(words(n, k))) for k, n in enumerate([20_000, 64, 65, 64, 64, 64])],
+        "doc_id long, text string",
+    )
     labels = docs.where(~quality_classifier.held_out(docs.doc_id)).selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
     assert {0, 1} <= {r.doc_id for r in labels.collect()}
     quality_classifier.train(docs, labels)

@@ -70,14 +70,29 @@ SYMBOLS = 8
 #: joins, a contraction with one or two letters to come.
 NOTHING, LETTERS, NUMBERS, OTHERS, BLANKS, JOINING, ONE_MORE, TWO_MORE = STATES = range(8)
 #: From a state in which the next code point starts a token.
-OPENS = {IN_LETTER: LETTERS, IN_NUMBER: NUMBERS, IN_OTHER: OTHERS, IN_RUN: BLANKS, LAST_SPACE: JOINING, LAST_WHITE: NOTHING, SHORT: ONE_MORE, LONG: TWO_MORE}
+OPENS = {
+    IN_LETTER: LETTERS,
+    IN_NUMBER: NUMBERS,
+    IN_OTHER: OTHERS,
+    IN_RUN: BLANKS,
+    LAST_SPACE: JOINING,
+    LAST_WHITE: NOTHING,
+    SHORT: ONE_MORE,
+    LONG: TWO_MORE,
+}
 
 
 def step(state: int, symbol: int) -> tuple[int, bool]:
     """The next state, and whether a token starts at the code point."""
     if state in (ONE_MORE, TWO_MORE):
         return (NOTHING if state == ONE_MORE else ONE_MORE), False
-    goes_on = {LETTERS: (IN_LETTER,), NUMBERS: (IN_NUMBER,), OTHERS: (IN_OTHER, SHORT, LONG), BLANKS: (IN_RUN,), JOINING: (IN_LETTER, IN_NUMBER, IN_OTHER, SHORT, LONG)}
+    goes_on = {
+        LETTERS: (IN_LETTER,),
+        NUMBERS: (IN_NUMBER,),
+        OTHERS: (IN_OTHER, SHORT, LONG),
+        BLANKS: (IN_RUN,),
+        JOINING: (IN_LETTER, IN_NUMBER, IN_OTHER, SHORT, LONG),
+    }
     if symbol in goes_on.get(state, ()):
         return (OTHERS if symbol in (SHORT, LONG) else OPENS[symbol]), False
     return OPENS[symbol], True
@@ -359,7 +374,11 @@ def vocabulary(path: str) -> Vocabulary:
 def encode_decode(docs: DataFrame, vocabulary_path: str, text: str = "text", with_ids: bool = True) -> DataFrame:
     """docs with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if with_ids, ``ids``; ``text`` is replaced by what
     the ids decode to."""
-    own = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} | ({"ids": T.ArrayType(T.IntegerType())} if with_ids else {})
+    own = {
+        "n_tokens": T.LongType(),
+        "ids_sha256": T.StringType(),
+        "decoded_sha256": T.StringType(),
+    } | ({"ids": T.ArrayType(T.IntegerType())} if with_ids else {})
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in own])
     schema = T.StructType([*docs.schema.fields, *[T.StructField(k, v) for k, v in own.items()]])
     place = docs.columns.index(text)
@@ -372,7 +391,11 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, text: str = "text", wit
                 ids, offsets, said = words.encode(columns[place])
                 back = words.decode(ids, offsets)
                 columns[place] = pa.array([x.decode() for x in back], pa.string())
-                columns += [pa.array(np.diff(offsets), pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
+                columns += [
+                    pa.array(np.diff(offsets), pa.int64()),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
+                ]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)

@@ -113,13 +113,23 @@ def formatted_block(ids: list, first: np.ndarray, roles: list[str], texts: list[
     base = np.repeat(np.concatenate([[0], after[last[:-1]]]), np.diff(np.append(first, len(roles)))) - len(BEGIN)
     masked = np.array([r == "assistant" for r in roles], bool)
     where = np.searchsorted(np.flatnonzero(masked), np.append(first, len(roles)))
-    spans = [pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(v[masked], pa.int32())) for v in (begin - base, begin - base + chars)]
+    spans = [
+        pa.ListArray.from_arrays(
+            pa.array(where, pa.int32()),
+            pa.array(v[masked], pa.int32()),
+        ) for v in (begin - base, begin - base + chars)
+    ]
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), column, *spans], ["conv_id", "formatted", "loss_start", "loss_end"])
 
 
 def format_chats(turns: DataFrame, block_turns: int = 4096, block_bytes: int = 4_000_000) -> DataFrame:
     """(conv_id, formatted, loss_start, loss_end) from rows (conv_id, turn, role, text); loss spans in code points."""
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        "turn",
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +166,22 @@ def digests(chats: DataFrame) -> DataFrame:
                 turns = read_back(s)
                 learned = "".join(unescape(s[x:y]) for x, y in zip(a, b, strict=True))
                 said = "".join(f"{r}\n{t}\n" for r, t in turns)
-                out.append((i, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(s)))
+                out.append(
+                    (
+                        i,
+                        len(turns),
+                        hashlib.sha256(said.encode()).hexdigest(),
+                        len(learned),
+                        hashlib.sha256(learned.encode()).hexdigest(),
+                        len(s),
+                    )
+                )
             columns = list(zip(*out, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+            )
 
     kind = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return chats.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, kind)
@@ -167,7 +189,9 @@ def digests(chats: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """The query in DuckDB's SQL: what reading back must give, and the formatted length from counts of control strings."""
-    escaped = lambda c: f"length({c}) + length({c}) - length(replace({c}, chr(92), ''))" + "".join(f" + (length({c}) - length(replace({c}, '{s}', ''))) // {len(s)}" for s in CONTROL)
+    escaped = lambda c: f"length({c}) + length({c}) - length(replace({c}, chr(92), ''))" + "".join(
+        f" + (length({c}) - length(replace({c}, '{s}', ''))) // {len(s)}" for s in CONTROL
+    )
     marks = len(TURN) + 1 + len(END)
     return f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -60,7 +60,10 @@ def seeds(df: DataFrame, hashes: str, place: str, carried: list[str], offsets=MA
 def bitmap(bench: DataFrame, bits: int) -> DataFrame:
     """(row, words): the seeds' hashes as bits, in rows of 64-bit words; rows without any are left out."""
     at = bench.select(F.expr(f"pmod(seed, {bits})").alias("x"))
-    words = at.groupBy(F.expr(f"x DIV {ROW_BITS}").alias("row"), F.expr(f"CAST((x % {ROW_BITS}) DIV 64 AS INT)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(x % 64 AS INT))")).alias("m"))
+    words = at.groupBy(
+        F.expr(f"x DIV {ROW_BITS}").alias("row"),
+        F.expr(f"CAST((x % {ROW_BITS}) DIV 64 AS INT)").alias("w"),
+    ).agg(F.bit_or(F.expr("shiftleft(1L, CAST(x % 64 AS INT))")).alias("m"))
     rows = words.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("of"))
     return rows.select("row", F.expr(f"transform(sequence(0, {ROW_BITS // 64 - 1}), i -> coalesce(of[i], 0L))").alias("words"))
 
@@ -69,32 +72,72 @@ def found_in(docs: DataFrame, items: DataFrame, offsets=MASKS, bad: str | None =
     """Verified (document, item): docs with the key and ``dh``, token hashes; items with ``item_id`` and ``ih``."""
     # only the tokens near a seed travel, so that a long item's rows, or a long text's, stay small
     near = "slice({0}, greatest({1} - %d, 0) + 1, %d)" % (WINDOW - 1, 2 * WINDOW - 1)
-    bench = seeds(items, "ih", "q", ["item_id", "ih"], offsets).selectExpr("seed", "item_id", "q", "size(ih) AS m", f"{near.format('ih', 'q')} AS ctx")
+    bench = seeds(items, "ih", "q", ["item_id", "ih"], offsets).selectExpr(
+        "seed",
+        "item_id",
+        "q",
+        "size(ih) AS m",
+        f"{near.format('ih', 'q')} AS ctx",
+    )
     hits = seeds(docs, "dh", "p", [*KEY, "dh"], offsets)
     if bits is None:
         hits = hits.join(F.broadcast(bench), "seed").withColumn("n", F.size("dh"))
         mine = "slice(dh, p - a + 1, a + b)"
     else:
         hits = hits.withColumns({"x": F.expr(f"pmod(seed, {bits})"), "row": F.expr(f"pmod(seed, {bits}) DIV {ROW_BITS}")})
-        hits = hits.join(F.broadcast(bitmap(bench, bits)), "row").where(f"(shiftright(get(words, CAST((x % {ROW_BITS}) DIV 64 AS INT)), CAST(x % 64 AS INT)) & 1L) = 1")
-        hits = hits.select(*KEY, "seed", "p", F.size("dh").alias("n"), F.inline(F.array(F.struct(F.expr(near.format("dh", "p")).alias("dctx"))))).join(bench, "seed")
+        hits = hits.join(F.broadcast(bitmap(bench, bits)), "row").where(
+            f"(shiftright(get(words, CAST((x % {ROW_BITS}) DIV 64 AS INT)), CAST(x % 64 AS INT)) & 1L) = 1"
+        )
+        hits = hits.select(
+            *KEY,
+            "seed",
+            "p",
+            F.size("dh").alias("n"),
+            F.inline(F.array(F.struct(F.expr(near.format("dh", "p")).alias("dctx")))),
+        ).join(bench, "seed")
         mine = f"slice(dctx, least(p, {WINDOW - 1}) - a + 1, a + b)"
     # the tokens from `a` before the meeting to `b` after it, in both
-    hits = hits.withColumns({"a": F.expr(f"least(p, q, {WINDOW - 1})"), "b": F.expr(f"least(n - p, m - q, {WINDOW})"), "w": F.expr(f"least({WINDOW}, m)")})
+    hits = hits.withColumns(
+        {
+            "a": F.expr(f"least(p, q, {WINDOW - 1})"),
+            "b": F.expr(f"least(n - p, m - q, {WINDOW})"),
+            "w": F.expr(f"least({WINDOW}, m)"),
+        }
+    )
     # A generator hands on the slices alone: a projection would be merged with the comparison after it, which is not
     # compiled, so that every meeting of a long document would be copied with all its tokens.
     slices = F.struct(F.expr(mine).alias("x"), F.expr(f"slice(ctx, least(q, {WINDOW - 1}) - a + 1, a + b)").alias("y"))
     hits = hits.select(*KEY, "item_id", "w", F.inline(F.array(slices))).where("size(x) >= w")
     unlike = "zip_with(x, y, (s, t) -> CASE WHEN s = t THEN 0 ELSE 1 END)"
-    best = f"exists(array({unlike}), e -> exists(sequence(1, size(e) - w + 1), k -> aggregate(slice(e, k, w), 0, (s, t) -> s + t) <= {bad or allowed('w')}))"
+    best = (
+        f"exists(array({unlike}), e -> exists(sequence(1, size(e) - w + 1), k -> aggregate(slice(e, k, w), 0, (s, t) -> s + "
+        f"t) <= {bad or allowed('w')}))"
+    )
     return hits.where(best).select(*KEY, "item_id").distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_tokens: int = 50_000, short_items: bool = False) -> DataFrame:
+def contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    block_tokens: int = 50_000,
+    short_items: bool = False,
+) -> DataFrame:
     """docs with ``item_ids``, the sorted ids of the items found in each, and ``contaminated``."""
     docs = docs.drop("item_ids", "contaminated")
-    rows = docs.withColumns({"__dc_d": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)), "__dc_t": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.transform(tokens(F.col(f"`{item_text}`")), lambda x: F.xxhash64(x)).alias("ih")).where(F.size("ih") >= (1 if short_items else 5))
+    rows = docs.withColumns(
+        {
+            "__dc_d": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)),
+            "__dc_t": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))),
+        }
+    )
+    items = benchmark.select(
+        F.col(f"`{item_id}`").cast("long").alias("item_id"),
+        F.transform(tokens(F.col(f"`{item_text}`")), lambda x: F.xxhash64(x)).alias("ih"),
+    ).where(F.size("ih") >= (1 if short_items else 5))
     kind = F.lit(-1)
     for k, (lengths, _) in enumerate(LIGHT if short_items else ()):
         kind = F.when(F.size("ih").isin(*lengths), k).otherwise(kind)
@@ -107,7 +150,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         parts.append(found_in(hashed, items.where(kind == k), offsets, bad, bits))
     found = reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     out = rows.join(found, KEY, "left")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("item_ids", F.expr("CAST(array() AS ARRAY<LONG>)")).alias("item_ids"), F.col("item_ids").isNotNull().alias("contaminated"))
+    return out.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.coalesce("item_ids", F.expr("CAST(array() AS ARRAY<LONG>)")).alias("item_ids"),
+        F.col("item_ids").isNotNull().alias("contaminated"),
+    )
 
 
 #: Brute force in DuckDB's SQL: every aligned pair of equal tokens, then counts over windows of each alignment.

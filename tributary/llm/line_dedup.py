@@ -35,7 +35,12 @@ KEY = ["__ld_d", "__ld_t"]
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.withColumns({"__ld_d": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)), "__ld_t": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
+    return docs.withColumns(
+        {
+            "__ld_d": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)),
+            "__ld_t": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))),
+        }
+    )
 
 
 def line_ids(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -43,7 +48,13 @@ def line_ids(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     # An outer generator: for another the optimizer would test the array's size below it, which makes the array twice.
     lines = docs.select(*KEY, F.posexplode_outer(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("seq", "line"))
-    return lines.where("line IS NOT NULL").select(*KEY, "seq", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.size(F.array_remove(F.split("line", WORD_GAP), "")).alias("words"))
+    return lines.where("line IS NOT NULL").select(
+        *KEY,
+        "seq",
+        F.xxhash64("line").alias("h1"),
+        F.hash("line").alias("h2"),
+        F.size(F.array_remove(F.split("line", WORD_GAP), "")).alias("words"),
+    )
 
 
 def ranked(places: DataFrame, *by: str) -> DataFrame:
@@ -81,10 +92,20 @@ def later_runs(found: list[tuple[int, DataFrame]]) -> DataFrame:
     """
     later = [level.where(F.struct(*KEY, "seq") != F.col("first")).select(*KEY, "seq", F.lit(span).alias("span"), "first") for span, level in found]
     deepest = reduce(DataFrame.unionByName, later).repartition(*KEY).groupBy(*KEY, "seq").agg(F.max(F.struct("span", "first")).alias("m"))
-    deepest = deepest.select(*KEY, "seq", F.expr("seq + m.span").alias("end"), F.col(f"m.first.{KEY[0]}").alias("of_d"), F.col(f"m.first.{KEY[1]}").alias("of_t"), F.expr("seq - m.first.seq").alias("shift"))
+    deepest = deepest.select(
+        *KEY,
+        "seq",
+        F.expr("seq + m.span").alias("end"),
+        F.col(f"m.first.{KEY[0]}").alias("of_d"),
+        F.col(f"m.first.{KEY[1]}").alias("of_t"),
+        F.expr("seq - m.first.seq").alias("shift"),
+    )
     aligned = Window.partitionBy(*KEY, "of_d", "of_t", "shift").orderBy("seq")
     before = F.max("end").over(aligned.rowsBetween(Window.unboundedPreceding, -1))
-    parts = deepest.withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("seq")).cast("int")).withColumn("part", F.sum("new").over(aligned))
+    parts = deepest.withColumn(
+        "new",
+        (F.coalesce(before, F.lit(-1)) < F.col("seq")).cast("int"),
+    ).withColumn("part", F.sum("new").over(aligned))
     runs = parts.groupBy(*KEY, "of_d", "of_t", "shift", "part").agg(F.min("seq").alias("begin"), F.max("end").alias("end"))
     longer = Window.partitionBy(*KEY).orderBy("begin", F.desc("end"), "shift").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("reach", F.coalesce(F.max("end").over(longer), F.lit(-1))).where("end > reach")
@@ -120,10 +141,15 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, min_words: int = 8, doc_id:
     docs = docs.drop("n_lines", "n_removed")
     rows = keyed(docs, doc_id, text)
     df = rows.join(removed_lines(rows.select(*KEY, F.col(f"`{text}`")), min_lines, min_words, text), KEY, "left")
-    df = df.withColumn("__ld_gone", F.array_distinct("__ld_gone")).withColumn("__ld_l", F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"))
+    df = df.withColumn("__ld_gone", F.array_distinct("__ld_gone")).withColumn(
+        "__ld_l",
+        F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"),
+    )
     df = df.withColumn("__ld_n", F.expr(r"filter(sequence(0, size(__ld_l) - 1), i -> get(__ld_l, i) rlike '[^\\x20\\x09-\\x0D]')"))
     df = df.withColumn("__ld_k", F.expr("array_except(sequence(0, size(__ld_l) - 1), transform(__ld_gone, s -> get(__ld_n, s)))"))
-    left = F.when(F.col("__ld_gone").isNull(), F.col(f"`{text}`")).otherwise(F.expr(r"array_join(transform(__ld_k, i -> get(__ld_l, i)), '\n')"))
+    left = F.when(F.col("__ld_gone").isNull(), F.col(f"`{text}`")).otherwise(
+        F.expr(r"array_join(transform(__ld_k, i -> get(__ld_l, i)), '\n')")
+    )
     return df.select(
         *[left.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
         F.size("__ld_n").cast("long").alias("n_lines"),

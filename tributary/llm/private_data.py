@@ -51,7 +51,14 @@ RAISES = {
     "iban": ("iban", "bank", "account"), "ssn": ("ssn", "social", "security"), "credential": ("token", "secret", "password", "passwd", "apikey", "key"),
 }
 LOWERS = {"credential": ("checksum", "sha1", "sha256", "md5", "commit", "digest"), "ssn": ("order", "invoice", "isbn", "part")}
-SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
+SPAN = T.StructType(
+    [
+        T.StructField("kind", T.StringType()),
+        T.StructField("start", T.IntegerType()),
+        T.StructField("end", T.IntegerType()),
+        T.StructField("score", T.DoubleType()),
+    ]
+)
 
 
 def luhn(digits: str) -> bool:
@@ -126,7 +133,9 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
 def added_spans(text: str) -> Iterator[tuple[str, int, int]]:
     for run in DIGIT_RUN.finditer(text):
         a, b = run.span()
-        if b - a >= 2 and a >= 2 and text[a - 2 : a].isupper() and text[a - 2 : a].isascii() and not (a > 2 and text[a - 3].isalnum()) and (end := iban_end(text, a - 2)):
+        if b - a >= 2 and a >= 2 and text[a - 2 : a].isupper() and text[a - 2 : a].isascii() and not (
+            a > 2 and text[a - 3].isalnum()
+        ) and (end := iban_end(text, a - 2)):
             yield "iban", a - 2, end
         if b - a >= 11 and "-" in run[0]:
             for m in SSN.finditer(text, a, b):
@@ -179,14 +188,23 @@ def find_private_data(docs: DataFrame, text: str = "text", threshold: float = 0.
     """docs with ``pii``, an array of (kind, start, end, score), and with ``redacted`` texts if asked."""
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("pii", "redacted")])
     place = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("pii", T.ArrayType(SPAN)), *([T.StructField("redacted", T.StringType())] if redact else [])])
+    schema = T.StructType(
+        [
+            *docs.schema.fields,
+            T.StructField("pii", T.ArrayType(SPAN)),
+            *([T.StructField("redacted", T.StringType())] if redact else []),
+        ]
+    )
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
             found = [spans_of(t, threshold) for t in texts]
-            columns = [*batch.columns, pa.array([[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in f] for f in found], kind)]
+            columns = [
+                *batch.columns,
+                pa.array([[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in f] for f in found], kind),
+            ]
             if redact:
                 columns.append(pa.array([redacted(t, f) for t, f in zip(texts, found, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, schema.names)

@@ -102,7 +102,15 @@ class Network:
         r = np.random.default_rng(seed)
         draw = lambda a, b: r.normal(0, 1 / np.sqrt(a), (a, b))
         self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
-        self.values = [draw(FEATURES, HIDDEN), np.zeros(HIDDEN), draw(HIDDEN, HIDDEN), draw(HIDDEN, HIDDEN), draw(HIDDEN, 1)[:, 0], draw(HIDDEN, 1)[:, 0], np.zeros(1)]
+        self.values = [
+            draw(FEATURES, HIDDEN),
+            np.zeros(HIDDEN),
+            draw(HIDDEN, HIDDEN),
+            draw(HIDDEN, HIDDEN),
+            draw(HIDDEN, 1)[:, 0],
+            draw(HIDDEN, 1)[:, 0],
+            np.zeros(1),
+        ]
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> tuple:
         enc, bias, tan, sig, att, top, shift = self.values
@@ -131,7 +139,16 @@ class Network:
         return [((x - self.mean) / self.scale).T @ de, de.sum(0), e.T @ dt, e.T @ dg, (t * g).T @ draw, z.T @ d, np.array([d.sum()])]
 
 
-def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Network:
+def fit(
+    x: np.ndarray,
+    first: np.ndarray,
+    y: np.ndarray,
+    epochs: int = 40,
+    batch: int = 256,
+    rate: float = 0.01,
+    decay: float = 1e-4,
+    seed: int = 7,
+) -> Network:
     """Adam on the cross entropy of document labels."""
     net = Network(seed)
     net.mean, net.scale = x.mean(0), x.std(0) + 1e-3
@@ -158,11 +175,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Network | None:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample: int = 6000,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+) -> Network | None:
     """The network fitted on the sample; none if it lacks one of the two labels."""
-    known = labels.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.col(f"`{label}`").cast("double").alias("y")).where("i IS NOT NULL AND y IS NOT NULL")
+    known = labels.select(
+        F.col(f"`{doc_id}`").cast("long").alias("i"),
+        F.col(f"`{label}`").cast("double").alias("y"),
+    ).where("i IS NOT NULL AND y IS NOT NULL")
     known = known.where(~held_out(F.col("i"))).groupBy("i").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(sample)
-    bags = docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).join(F.broadcast(known), "i")
+    bags = docs.select(
+        F.col(f"`{doc_id}`").cast("long").alias("i"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"),
+    ).join(F.broadcast(known), "i")
     bags = bags.groupBy("i").agg(F.min("y").alias("y"), F.min(F.struct(F.xxhash64("t"), "t")).alias("t")).select("i", "y", "t.t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +201,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, doc_id: str =
                 part = batch.slice(a, b - a)
                 x, first = passages(part.column(part.schema.get_field_index("t")))
                 blobs = [x[p:q].tobytes() for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("i")), part.column(part.schema.get_field_index("y")), pa.array(blobs, pa.binary())], ["i", "y", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(part.schema.get_field_index("i")),
+                        part.column(part.schema.get_field_index("y")),
+                        pa.array(blobs, pa.binary()),
+                    ],
+                    ["i", "y", "x"],
+                )
 
     found = bags.mapInArrow(run, "i long, y double, x binary").toPandas().sort_values(["i", "x"], kind="stable")
     if not len(found) or not (found.y > 0.5).any() or not (found.y <= 0.5).any():
@@ -201,4 +238,9 @@ def score(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs."""
     df = score(docs.select(f"`{doc_id}`", f"`{text}`"), train(docs, labels, doc_id=doc_id, text=text, **how), text)
-    return df.select(doc_id, held_out(F.col(f"`{doc_id}`")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return df.select(
+        doc_id,
+        held_out(F.col(f"`{doc_id}`")).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )

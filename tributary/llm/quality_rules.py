@@ -88,21 +88,55 @@ def measure(docs: DataFrame, text: str = "text", place_bits: int = 1) -> DataFra
         F.expr("sort_array(CASE WHEN n_words >= 3 THEN transform(sequence(0, size(__q_w) - 3), i -> shiftleft(xxhash64(get(__q_w, i), get(__q_w, i + 1), get(__q_w, i + 2)), __q_b) | CAST(i AS LONG)) ELSE CAST(array() AS ARRAY<LONG>) END)"),
     )
     same = "shiftrightunsigned(x, __q_b) = shiftrightunsigned(get(__q_s, j {}), __q_b)"
-    df = df.withColumn("__q_c", F.expr(f"transform(filter(__q_s, (x, j) -> {same.format('- 1')} OR {same.format('+ 1')}), x -> CAST(x & (shiftleft(1L, __q_b) - 1) AS INT))"))
-    df = df.withColumn("__q_e", F.expr("sort_array(transform(__q_c, i -> struct(concat_ws(' ', get(__q_w, i), get(__q_w, i + 1), get(__q_w, i + 2)) AS k, i)))"))
-    df = df.withColumn("__q_p", F.expr("sort_array(transform(filter(__q_e, (x, j) -> x.k = get(__q_e, j - 1).k OR x.k = get(__q_e, j + 1).k), x -> x.i))"))
-    df = df.withColumn("n_repeat_words", F.expr("aggregate(transform(__q_p, (x, j) -> least(3L, coalesce(CAST(get(__q_p, j + 1) - x AS LONG), 3L))), 0L, (a, x) -> a + x)"))
+    df = df.withColumn(
+        "__q_c",
+        F.expr(
+            f"transform(filter(__q_s, (x, j) -> {same.format('- 1')} OR {same.format('+ 1')}), x -> CAST(x & (shiftleft(1L, "
+            f"__q_b) - 1) AS INT))"
+        ),
+    )
+    df = df.withColumn(
+        "__q_e",
+        F.expr(
+            "sort_array(transform(__q_c, i -> struct(concat_ws(' ', get(__q_w, i), get(__q_w, i + 1), get(__q_w, i + 2)) "
+            "AS k, i)))"
+        ),
+    )
+    df = df.withColumn(
+        "__q_p",
+        F.expr(
+            "sort_array(transform(filter(__q_e, (x, j) -> x.k = get(__q_e, j - 1).k OR x.k = get(__q_e, j + 1).k), x -> x.i))"
+        ),
+    )
+    df = df.withColumn(
+        "n_repeat_words",
+        F.expr(
+            "aggregate(transform(__q_p, (x, j) -> least(3L, coalesce(CAST(get(__q_p, j + 1) - x AS LONG), 3L))), 0L, (a, "
+            "x) -> a + x)"
+        ),
+    )
     features = [*BASE, "n_exclaims", "n_stop_words", "n_lines"]
     # A generator ends here what the optimizer may substitute: a later filter on a feature would else be pushed below all
     # these projections, with the word array's expression copied at each of its uses.
     return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*features))))
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def quality_rules(
+    docs: DataFrame,
+    rules: tuple[Rule, ...] = RULES,
+    text: str = "text",
+    min_words: int = 50,
+    max_repeat_percent: int = 50,
+) -> DataFrame:
     """docs with features, ``base_failed``, ``failed_rules`` (names) and ``kept``."""
     df = measure(docs.drop("base_failed", "failed_rules", "kept"), text)
     names = [F.when(failed(r), F.lit(r.name)) for r in rules]
-    df = df.withColumns({"base_failed": F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words"), "failed_rules": F.array_compact(F.array(*names)) if names else F.expr("CAST(array() AS ARRAY<STRING>)")})
+    df = df.withColumns(
+        {
+            "base_failed": F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words"),
+            "failed_rules": F.array_compact(F.array(*names)) if names else F.expr("CAST(array() AS ARRAY<STRING>)"),
+        }
+    )
     return df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 

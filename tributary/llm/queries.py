@@ -19,7 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    added = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    added = spark.sql(
+        "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS "
+        "t(turn, role)"
+    )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     return chat_format.digests(chat_format.format_chats(turns))
 
@@ -91,7 +94,20 @@ def op10_line_dedup_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_private_data, op4_decontaminate, op5_substring_dedup, op6_simhash, op7_byte_bpe, op8_url_filters, op9_quality_classifier, op10_line_dedup)}
+    return {
+        f.__name__: f for f in (
+            op1_quality_rules,
+            op2_chat_format,
+            op3_private_data,
+            op4_decontaminate,
+            op5_substring_dedup,
+            op6_simhash,
+            op7_byte_bpe,
+            op8_url_filters,
+            op9_quality_classifier,
+            op10_line_dedup,
+        )
+    }
 
 
 def variants() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

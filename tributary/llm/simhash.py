@@ -120,27 +120,70 @@ def key_columns(blocks: int, radius: int) -> Column:
     keys = []
     for k, chosen in enumerate(combinations(masks, blocks - radius)):
         m = sum(chosen)
-        keys.append(F.struct(F.lit(k).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")))
+        keys.append(
+            F.struct(
+                F.lit(k).alias("choice"),
+                F.col("fingerprint").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits"),
+            )
+        )
     return F.array(*keys)
 
 
 def links(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
     """(u, v): a spanning forest of the links of each key. prints: distinct ``fingerprint``."""
-    rows = prints.select("fingerprint", F.explode(key_columns(blocks, radius)).alias("key")).select("fingerprint", "key.*", F.bit_count("fingerprint").alias("ones"))
+    rows = prints.select(
+        "fingerprint",
+        F.explode(key_columns(blocks, radius)).alias("key"),
+    ).select("fingerprint", "key.*", F.bit_count("fingerprint").alias("ones"))
     large = rows.groupBy("choice", "bits", "ones").agg(F.count("*").alias("n"))
     large = large.join(large.groupBy("choice", "bits").agg(F.sum("n").alias("all")).where(f"all > {TILE}").drop("all"), ["choice", "bits"])
-    tiles = large.withColumn("salts", F.ceil(F.col("n") * 2 / TILE).cast("int")).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
+    tiles = large.withColumn("salts", F.ceil(F.col("n") * 2 / TILE).cast("int")).withColumn(
+        "salt",
+        F.explode(F.expr("sequence(0, salts - 1)")),
+    )
     a, b = tiles.alias("a"), tiles.alias("b")
     order = "(a.ones < b.ones OR (a.ones = b.ones AND a.salt <= b.salt))"
     pairs = a.join(b, F.expr(f"a.choice = b.choice AND a.bits = b.bits AND abs(a.ones - b.ones) <= {radius} AND {order}"))
-    pairs = pairs.selectExpr("a.choice", "a.bits", "a.salts AS sa", "b.salts AS sb", "a.ones AS oa", "a.salt AS ta", "b.ones AS ob", "b.salt AS tb")
+    pairs = pairs.selectExpr(
+        "a.choice",
+        "a.bits",
+        "a.salts AS sa",
+        "b.salts AS sb",
+        "a.ones AS oa",
+        "a.salt AS ta",
+        "b.ones AS ob",
+        "b.salt AS tb",
+    )
     pair = F.expr("struct(oa, ta, ob, tb)")
-    member = pairs.select("choice", "bits", F.explode(F.expr("array_distinct(array(struct(oa AS ones, sa AS salts, ta AS salt), struct(ob AS ones, sb AS salts, tb AS salt)))")).alias("m"), pair.alias("pair")).select("choice", "bits", "m.*", "pair")
-    salted = rows.join(tiles.select("choice", "bits", "ones", "salts").distinct(), ["choice", "bits", "ones"]).withColumn("salt", F.expr("CAST(pmod(xxhash64(fingerprint), salts) AS INT)"))
+    member = pairs.select(
+        "choice",
+        "bits",
+        F.explode(
+            F.expr(
+                "array_distinct(array(struct(oa AS ones, sa AS salts, ta AS salt), struct(ob AS ones, sb AS salts, tb AS "
+                "salt)))"
+            )
+        ).alias("m"),
+        pair.alias("pair"),
+    ).select("choice", "bits", "m.*", "pair")
+    salted = rows.join(
+        tiles.select("choice", "bits", "ones", "salts").distinct(),
+        ["choice", "bits", "ones"],
+    ).withColumn("salt", F.expr("CAST(pmod(xxhash64(fingerprint), salts) AS INT)"))
     hot = salted.join(member, ["choice", "bits", "ones", "salts", "salt"]).select("choice", "bits", "pair", "fingerprint")
     none = F.expr("CAST(NULL AS STRUCT<oa: INT, ta: INT, ob: INT, tb: INT>)")
-    cool = rows.join(large.select("choice", "bits").distinct(), ["choice", "bits"], "left_anti").select("choice", "bits", none.alias("pair"), "fingerprint")
-    met = cool.unionByName(hot).select(F.xxhash64("choice", "bits", "pair").alias("task"), "choice", "bits", F.xxhash64("pair").alias("pair"), "fingerprint")
+    cool = rows.join(
+        large.select("choice", "bits").distinct(),
+        ["choice", "bits"],
+        "left_anti",
+    ).select("choice", "bits", none.alias("pair"), "fingerprint")
+    met = cool.unionByName(hot).select(
+        F.xxhash64("choice", "bits", "pair").alias("task"),
+        "choice",
+        "bits",
+        F.xxhash64("pair").alias("pair"),
+        "fingerprint",
+    )
     met = met.repartition("task").sortWithinPartitions("task", "choice", "bits", "pair").drop("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +202,15 @@ def links(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in both], ["u", "v"])
 
         for batch in batches:
-            block = np.concatenate([rest, np.stack([np.ascontiguousarray(c.to_numpy(zero_copy_only=False)).astype(np.int64) for c in batch.columns], axis=1)])
+            block = np.concatenate(
+                [
+                    rest,
+                    np.stack(
+                        [np.ascontiguousarray(c.to_numpy(zero_copy_only=False)).astype(np.int64) for c in batch.columns],
+                        axis=1,
+                    ),
+                ]
+            )
             changed = np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(1)) + 1
             if len(changed):
                 cuts = np.concatenate([[0], changed])
@@ -205,7 +256,11 @@ def classes(prints: DataFrame, radius: int = 4, blocks: int | None = None, doc_i
     """(fingerprint, root, component_id) from rows (doc_id, fingerprint)."""
     nodes = cut(prints.groupBy("fingerprint").agg(F.min(doc_id).alias("first")))
     found = components(links(nodes.select("fingerprint"), radius, blocks or blocks_for(nodes.count(), radius)))
-    nodes = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    nodes = nodes.join(
+        found.withColumnRenamed("node", "fingerprint"),
+        "fingerprint",
+        "left",
+    ).withColumn("root", F.coalesce("root", "fingerprint"))
     # checkpointed: the join with it can split the many fingerprints of one component
     least = cut(nodes.groupBy("root").agg(F.min("first").alias("component_id")))
     return nodes.join(least, "root").select("fingerprint", "root", "component_id")
@@ -224,4 +279,8 @@ def one_of_each(docs: DataFrame, radius: int = 4, doc_id: str = "doc_id", text:
     prints = cut(with_fingerprint(keyed, text, ["__sh_d", "__sh_t"]))
     of = prints.join(classes(prints, radius, doc_id="__sh_d").select("fingerprint", "root"), "fingerprint")
     first = of.groupBy("root").agg(F.min(F.struct("__sh_d", "__sh_t")).alias("first")).select("first.*")
-    return keyed.join(first, ["__sh_d", "__sh_t"], "left_semi").dropDuplicates(["__sh_d", "__sh_t"]).select(*[f"`{c}`" for c in docs.columns])
+    return keyed.join(
+        first,
+        ["__sh_d", "__sh_t"],
+        "left_semi",
+    ).dropDuplicates(["__sh_d", "__sh_t"]).select(*[f"`{c}`" for c in docs.columns])

@@ -102,7 +102,10 @@ def prefix_counts(docs: DataFrame, window: int) -> tuple[np.ndarray, int]:
 
 def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The ids with ``n_words``, ``n_removed`` and ``kept``, the words left, joined by one space."""
-    rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)).alias("__sd_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__sd_text"))
+    rows = docs.select(
+        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)).alias("__sd_id"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__sd_text"),
+    )
     # a window of n words has n letters and n - 1 gaps at least
     long = F.length("__sd_text") >= 2 * window - 1
     counts, size = prefix_counts(rows.where(long), window)
@@ -112,9 +115,17 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     partitions = lambda n: max(least, min(n, MOST_PARTITIONS))
     groups = int((first + splits).max())
-    dealt = rows.where(long).withColumn("b", F.pmod(F.xxhash64("__sd_id", "__sd_text"), F.lit(batches))).repartition(partitions(batches), "b")
+    dealt = rows.where(long).withColumn(
+        "b",
+        F.pmod(F.xxhash64("__sd_id", "__sd_text"), F.lit(batches)),
+    ).repartition(partitions(batches), "b")
     words = words_of(F.col("__sd_text"))
-    short = rows.where(~long).select(F.col("__sd_id").alias("id"), F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(words, " ").alias("kept"))
+    short = rows.where(~long).select(
+        F.col("__sd_id").alias("id"),
+        F.size(words).cast("long").alias("n_words"),
+        F.lit(0).cast("long").alias("n_removed"),
+        F.array_join(words, " ").alias("kept"),
+    )
 
     def send(table: pa.Table) -> pa.Table:
         """The distinct keys of each group under their smallest documents: ids ascending, how many keys each has, the keys."""
@@ -130,13 +141,24 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
         held = np.searchsorted(runs, at)
         cut = lambda x, where: [v.tobytes() for v in np.split(x, where[1:])] if len(at) else []
         b = table.column("b")[0].as_py()
-        return pa.table({"g": pa.array(group[at], pa.int64()), "b": pa.array([b] * len(at), pa.int64()), "docs": pa.array(cut(least[runs], held), pa.binary()), "sizes": pa.array(cut(sizes, held), pa.binary()), "keys": pa.array(cut(key, at), pa.binary())})
+        return pa.table(
+            {
+                "g": pa.array(group[at], pa.int64()),
+                "b": pa.array([b] * len(at), pa.int64()),
+                "docs": pa.array(cut(least[runs], held), pa.binary()),
+                "sizes": pa.array(cut(sizes, held), pa.binary()),
+                "keys": pa.array(cut(key, at), pa.binary()),
+            }
+        )
 
     def subtree(table: pa.Table) -> pa.Table:
         """Keys of one prefix group, by batch: which of them a smaller document has too."""
         blobs = {c: table.column(c).to_pylist() for c in ("docs", "sizes", "keys")}
         every = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs["keys"]])
-        doc = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in blobs["docs"]]), np.concatenate([np.frombuffer(x, np.int32) for x in blobs["sizes"]]))
+        doc = np.repeat(
+            np.concatenate([np.frombuffer(x, np.int64) for x in blobs["docs"]]),
+            np.concatenate([np.frombuffer(x, np.int32) for x in blobs["sizes"]]),
+        )
         order = np.argsort(every, kind="stable")
         at = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
         least = np.minimum.reduceat(doc[order], at)
@@ -144,7 +166,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
         seen[order] = doc[order] > np.repeat(least, np.diff(np.append(at, len(order))))
         ends = np.cumsum([len(x) // 8 for x in blobs["keys"]]).tolist()
         bits = [np.packbits(seen[a:e]).tobytes() for a, e in zip([0, *ends], ends, strict=False)]
-        return pa.table({"b": table.column("b").combine_chunks(), "g": table.column("g").combine_chunks(), "seen": pa.array(bits, pa.binary())})
+        return pa.table(
+            {
+                "b": table.column("b").combine_chunks(),
+                "g": table.column("g").combine_chunks(),
+                "seen": pa.array(bits, pa.binary()),
+            }
+        )
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = pa.concat_arrays(left.column("__sd_text").chunks) if left.num_rows else pa.array([], pa.string())
@@ -178,7 +206,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
                 tokens = [tokens[j] for j in np.flatnonzero(flags).tolist()]
             removed[k] = n
             out.append(b" ".join(tokens))
-        return pa.table({"id": pa.array(ids, pa.int64()), "n_words": pa.array(np.diff(s.upto), pa.int64()), "n_removed": pa.array(removed), "kept": pa.array(out, pa.binary()).cast(pa.string())})
+        return pa.table(
+            {
+                "id": pa.array(ids, pa.int64()),
+                "n_words": pa.array(np.diff(s.upto), pa.int64()),
+                "n_removed": pa.array(removed),
+                "kept": pa.array(out, pa.binary()).cast(pa.string()),
+            }
+        )
 
     sent = dealt.groupBy("b").applyInArrow(send, "g long, b long, docs binary, sizes binary, keys binary")
     answers = sent.repartition(partitions(groups), "g").groupBy("g").applyInArrow(subtree, "b long, g long, seen binary")

@@ -90,10 +90,21 @@ def templates(paths: DataFrame, depth: int | None, many: int, min_share: float,
         spread = "sqrt(greatest(p * (1 - p), 1e-9) * (try_divide(1, labelled) + try_divide(1, rest_l)))"
         alike = f"(kinds >= {many} AND coalesce(try_divide({apart}, {spread}) < {merge_z}, false))"
         # checkpointed: a join with it can split the rows of a hot host's branch
-        token = cut(child.select("host", "tmpl", "seg", F.expr(f"CASE WHEN {rare} OR {alike} THEN '*' ELSE seg END").alias("token"), "lone"))
+        token = cut(
+            child.select(
+                "host",
+                "tmpl",
+                "seg",
+                F.expr(f"CASE WHEN {rare} OR {alike} THEN '*' ELSE seg END").alias("token"),
+                "lone",
+            )
+        )
         longer = "CASE WHEN seg IS NULL THEN tmpl ELSE concat(tmpl, '/', token) END"
         if depth is None:
-            longer = f"CASE WHEN lone THEN concat(tmpl, '/', array_join(slice(segs, {d + 1}, size(segs)), '/')) ELSE concat(tmpl, '/', token) END"
+            longer = (
+                f"CASE WHEN lone THEN concat(tmpl, '/', array_join(slice(segs, {d + 1}, size(segs)), '/')) ELSE "
+                f"concat(tmpl, '/', token) END"
+            )
         df = df.join(token, ["host", "tmpl", "seg"], "left").withColumn("tmpl", F.expr(longer)).drop("token", "seg")
         if depth is not None:
             df = cut(df.drop("lone"))
@@ -154,7 +165,17 @@ def url_filters(
     return out.withColumn("verdict", F.coalesce("__uf_v", by_method)).select(*given, "template", "blocked_share", "verdict")
 
 
-def oracle(rules=RULES, depth: int = 4, many: int = 5, min_share: float = 0.02, merge_z: float = 1.96, strength: float = 4.0, prior: float = 0.2, reject: float = 0.5, inherit: bool = False) -> str:
+def oracle(
+    rules=RULES,
+    depth: int = 4,
+    many: int = 5,
+    min_share: float = 0.02,
+    merge_z: float = 1.96,
+    strength: float = 4.0,
+    prior: float = 0.2,
+    reject: float = 0.5,
+    inherit: bool = False,
+) -> str:
     """The query in DuckDB's SQL: a common table expression for each step of each level; ``depth`` is the levels written."""
     fits = [(v, h + p, f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')") for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))]
     levels = []
