@@ -55,7 +55,13 @@ def test_only_unsteady_rows_are_checkpointed(spark, sf_dir):
 def test_merge_and_as_of_over_shuffled_rows(spark):
     t = spark.range(20).selectExpr("id AS k", "id AS v").repartition(5, "v")
     s = spark.range(10, 40).selectExpr("id AS k", "-id AS v").repartition(3, "v")
-    p = {"target": "t", "source": "s", "on": ["t.k = s.k"], "when_matched": [{"action": "update", "star": True}], "when_not_matched": [{"action": "insert", "star": True}]}
+    p = {
+        "target": "t",
+        "source": "s",
+        "on": ["t.k = s.k"],
+        "when_matched": [{"action": "update", "star": True}],
+        "when_not_matched": [{"action": "insert", "star": True}],
+    }
     got = sorted(tuple(r) for r in plan("merge", p, {"t": t, "s": s}, Context(spark)).collect())
     assert got == [(k, k if k < 10 else -k) for k in range(40)]
     left = spark.createDataFrame([(1, 5), (None, 5), (None, 5), (1, None), (2, 9)], "k int, at int").repartition(3, "at")

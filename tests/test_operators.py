@@ -28,7 +28,10 @@ def rows(df):
 
 @pytest.fixture(scope="module")
 def gaps(spark):
-    return spark.createDataFrame([(1, 1, "x", 1.5), (2, None, None, None), (None, None, None, None), (4, 4, None, 2.0)], "k int, a int, b string, c double")
+    return spark.createDataFrame(
+        [(1, 1, "x", 1.5), (2, None, None, None), (None, None, None, None), (4, 4, None, 2.0)],
+        "k int, a int, b string, c double",
+    )
 
 
 def test_there_are_45_operators():
@@ -37,7 +40,9 @@ def test_there_are_45_operators():
 
 def test_types():
     assert spark_type("decimal(10, 2)") == T.DecimalType(10, 2)
-    assert spark_type("array<struct<a: int, b: map<string, long>>>") == T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.MapType(T.StringType(), T.LongType()))]))
+    assert spark_type("array<struct<a: int, b: map<string, long>>>") == T.ArrayType(
+        T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.MapType(T.StringType(), T.LongType()))])
+    )
     assert spark_type("VARCHAR(5)") == T.StringType() and spark_type("time(3)") == T.TimeType(3)
     with pytest.raises(PipelineError, match="V-004"):
         spark_type("intt")
@@ -67,7 +72,16 @@ def test_fill_na(spark, gaps):
     assert rows(run(spark, "fillNa", {"from": "t", "value": "many"}, t=gaps))[0][1] == 1
 
 
-@pytest.mark.parametrize("how,n", [({"how": "any"}, 1), ({"how": "all"}, 3), ({"min_non_nulls": 3}, 2), ({"how": "any", "columns": ["k"]}, 3), ({"how": "any", "min_non_nulls": 0}, 4)])
+@pytest.mark.parametrize(
+    "how,n",
+    [
+        ({"how": "any"}, 1),
+        ({"how": "all"}, 3),
+        ({"min_non_nulls": 3}, 2),
+        ({"how": "any", "columns": ["k"]}, 3),
+        ({"how": "any", "min_non_nulls": 0}, 4),
+    ],
+)
 def test_drop_na(spark, gaps, how, n):
     assert run(spark, "dropNa", {"from": "t", **how}, t=gaps).count() == n
 
@@ -94,7 +108,10 @@ def test_parameters_are_checked(spark, gaps):
 
 
 def test_joins_resolve_asset_names(spark):
-    a, b = spark.createDataFrame([(1, "x"), (None, "y")], "id int, v string"), spark.createDataFrame([(1, "p"), (1, "q"), (None, "r")], "id int, w string")
+    a, b = spark.createDataFrame([(1, "x"), (None, "y")], "id int, v string"), spark.createDataFrame(
+        [(1, "p"), (1, "q"), (None, "r")],
+        "id int, w string",
+    )
     p = lambda kind: {"left": "a", "right": [{"name": "b", "type": kind, "on": ["a.id = b.id"]}]}
     counts = {k: run(spark, "join", p(k), a=a, b=b).count() for k in ("inner", "left", "right", "outer", "left_semi", "left_anti")}
     assert counts == {"inner": 2, "left": 3, "right": 3, "outer": 4, "left_semi": 1, "left_anti": 1}
@@ -108,7 +125,14 @@ LEFT = [(1, 10, "a"), (1, 10, "b"), (1, 3, "c"), (2, 5, "d"), (3, 5, "e"), (None
 RIGHT = [(1, 5, "r5"), (1, 10, "r10"), (1, 10, "r10x"), (1, 12, "r12"), (2, 9, "s9"), (4, 1, "z"), (None, 5, "n"), (1, None, "m")]
 
 
-@pytest.mark.parametrize("direction,expected", [("backward", ["r10x", "r10x", None, None, None, None, None]), ("forward", ["r10x", "r10x", "r5", "s9", None, None, None]), ("nearest", ["r10x", "r10x", "r5", "s9", None, None, None])])
+@pytest.mark.parametrize(
+    "direction,expected",
+    [
+        ("backward", ["r10x", "r10x", None, None, None, None, None]),
+        ("forward", ["r10x", "r10x", "r5", "s9", None, None, None]),
+        ("nearest", ["r10x", "r10x", "r5", "s9", None, None, None]),
+    ],
+)
 @pytest.mark.parametrize("on", ["l.k = r.rk", "l.k <= r.rk AND l.k >= r.rk"])
 def test_as_of(spark, direction, expected, on):
     l, r = spark.createDataFrame(LEFT, "k int, at int, id string"), spark.createDataFrame(RIGHT, "rk int, rat int, v string")
@@ -129,7 +153,13 @@ def test_as_of_without_keys(spark, direction, n, values):
     left = [(k, r.choice([None, *[r.randrange(values) for _ in range(9)]])) for k in range(150)]
     right = [(r.choice([None, *[r.randrange(values) for _ in range(9)]]), f"v{k:03}") for k in range(n)]
     a, b = spark.createDataFrame(left, "id int, at int"), spark.createDataFrame(right, "rat int, v string")
-    out = run(spark, "asOfJoin", {"left": "l", "right": "r", "left_as_of": "at", "right_as_of": "rat", "direction": direction, "tie_break": "v"}, l=a, r=b)
+    out = run(
+        spark,
+        "asOfJoin",
+        {"left": "l", "right": "r", "left_as_of": "at", "right_as_of": "rat", "direction": direction, "tie_break": "v"},
+        l=a,
+        r=b,
+    )
 
     def best(at):
         some = [(x, v) for x, v in right if at is not None and x is not None and (direction == "nearest" or (x <= at if direction == "backward" else x >= at))]
@@ -141,7 +171,10 @@ def test_as_of_without_keys(spark, direction, n, values):
 
 
 def test_as_of_null_keys_are_spread(spark):
-    l, r = spark.createDataFrame([(None, k) for k in range(50)] + [(1, 5)], "k int, at int"), spark.createDataFrame([(1, 3), (None, 4)], "rk int, rat int")
+    l, r = spark.createDataFrame(
+        [(None, k) for k in range(50)] + [(1, 5)],
+        "k int, at int",
+    ), spark.createDataFrame([(1, 3), (None, 4)], "rk int, rat int")
     out = run(spark, "asOfJoin", {"left": "l", "right": "r", "left_as_of": "at", "right_as_of": "rat", "on": ["l.k = r.rk"]}, l=l, r=r)
     assert out.where("rat IS NOT NULL").collect() == [(1, 5, 1, 3)] and out.count() == 51
 
@@ -159,7 +192,10 @@ def test_lateral_without_condition(spark):
 
 
 def test_lateral_ties_go_by_the_right_columns(spark):
-    l, r = spark.createDataFrame([(1,)], "id int"), spark.createDataFrame([(1, 5, c) for c in "dbca"], "lid int, v int, w string").repartition(4)
+    l, r = spark.createDataFrame([(1,)], "id int"), spark.createDataFrame(
+        [(1, 5, c) for c in "dbca"],
+        "lid int, v int, w string",
+    ).repartition(4)
     for on in (["l.id = r.lid"], ["l.id <= r.lid"]):
         p = {"left": "l", "right": "r", "on": on, "order_by": ["v"], "limit": 2}
         assert rows(run(spark, "lateralJoin", p, l=l, r=r)) == [(1, 1, 5, "a"), (1, 1, 5, "b")]
@@ -167,7 +203,14 @@ def test_lateral_ties_go_by_the_right_columns(spark):
 
 def test_lateral_limit(spark):
     l, r = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, 5), (1, 7), (1, 6)], "lid int, v int")
-    p = {"left": "l", "right": "r", "join_type": "left", "on": ["l.id = r.lid"], "order_by": [{"column": "v", "direction": "desc"}], "limit": 2}
+    p = {
+        "left": "l",
+        "right": "r",
+        "join_type": "left",
+        "on": ["l.id = r.lid"],
+        "order_by": [{"column": "v", "direction": "desc"}],
+        "limit": 2,
+    }
     for on in (["l.id = r.lid"], ["l.id <= r.lid", "l.id >= r.lid"]):
         assert rows(run(spark, "lateralJoin", {**p, "on": on}, l=l, r=r)) == [(1, 1, 6), (1, 1, 7), (2, None, None)]
 
@@ -186,12 +229,20 @@ def test_pivot_counts_none_as_zero_and_skips_null(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "it's", 2), ("b", "x", 3), ("b", None, 4)], "g string, p string, v int")
     out = run(spark, "pivot", {"from": "t", "group_by": ["g"], "pivot_column": "p", "agg": ["count(*) AS n"]}, t=df)
     assert out.columns == ["g", "it's", "x"] and rows(out) == [("a", 1, 1), ("b", 0, 1)]
-    out = run(spark, "pivot", {"from": "t", "group_by": ["g"], "pivot_column": "p", "values": ["x", "q"], "agg": ["sum(v) AS s", "count(*) AS n"]}, t=df)
+    out = run(
+        spark,
+        "pivot",
+        {"from": "t", "group_by": ["g"], "pivot_column": "p", "values": ["x", "q"], "agg": ["sum(v) AS s", "count(*) AS n"]},
+        t=df,
+    )
     assert out.columns == ["g", "x_s", "x_n", "q_s", "q_n"] and rows(out) == [("a", 1, 1, None, 0), ("b", 3, 1, None, 0)]
 
 
 def test_flatten(spark):
-    df = spark.sql("SELECT 1 AS id, struct(2 AS a, struct(3 AS c) AS b) AS s, array(struct(1 AS x), struct(2 AS x)) AS r UNION ALL SELECT 2, struct(2, struct(3)), CAST(array() AS ARRAY<STRUCT<x: INT>>)")
+    df = spark.sql(
+        "SELECT 1 AS id, struct(2 AS a, struct(3 AS c) AS b) AS s, array(struct(1 AS x), struct(2 AS x)) AS r UNION ALL "
+        "SELECT 2, struct(2, struct(3)), CAST(array() AS ARRAY<STRUCT<x: INT>>)"
+    )
     out = run(spark, "flatten", {"from": "t", "separator": "."}, t=df.drop("r"))
     assert out.columns == ["id", "s.a", "s.b.c"]
     assert rows(run(spark, "flatten", {"from": "t", "explode_arrays": True}, t=df)) == [(1, 2, 3, 1), (1, 2, 3, 2)]
@@ -200,7 +251,12 @@ def test_flatten(spark):
 
 def test_window_traps(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 4)], "id int, v int")
-    p = {"from": "t", "order_by": ["v"], "frame": {"frame_type": "range", "start": "UNBOUNDED PRECEDING", "end": "CURRENT ROW"}, "functions": [{"expression": "row_number()", "alias": "n"}, {"expression": "sum(id)", "alias": "s"}]}
+    p = {
+        "from": "t",
+        "order_by": ["v"],
+        "frame": {"frame_type": "range", "start": "UNBOUNDED PRECEDING", "end": "CURRENT ROW"},
+        "functions": [{"expression": "row_number()", "alias": "n"}, {"expression": "sum(id)", "alias": "s"}],
+    }
     assert rows(run(spark, "window", p, t=df)) == [(1, 5, 2, 4), (2, None, 3, 6), (3, 4, 1, 3)]
     with pytest.raises(PipelineError, match="V-004"):
         run(spark, "window", {**p, "frame": {"start": "now; drop"}}, t=df)
@@ -208,11 +264,29 @@ def test_window_traps(spark):
 
 def test_scd2(spark):
     d = lambda y: date(y, 1, 1)
-    cur = spark.createDataFrame([(1, "a", d(2020), None, True), (2, "b", d(2020), None, True), (3, None, d(2020), None, True), (4, "d", d(2020), None, True), (2, "old", d(2019), d(2020), False)], "k int, v string, start_date date, end_date date, is_current boolean")
+    cur = spark.createDataFrame(
+        [
+            (1, "a", d(2020), None, True),
+            (2, "b", d(2020), None, True),
+            (3, None, d(2020), None, True),
+            (4, "d", d(2020), None, True),
+            (2, "old", d(2019), d(2020), False),
+        ],
+        "k int, v string, start_date date, end_date date, is_current boolean",
+    )
     inc = spark.createDataFrame([(1, "a"), (2, "B"), (3, "c"), (5, "e")], "k int, v string")
     got = rows(run(spark, "scd2", {"current": "c", "incoming": "i", "key_columns": ["k"], "track_columns": ["v"]}, c=cur, i=inc))
     n = d(2024)
-    want = [(1, "a", d(2020), None, True), (2, "B", n, None, True), (2, "b", d(2020), n, False), (2, "old", d(2019), d(2020), False), (3, None, d(2020), n, False), (3, "c", n, None, True), (4, "d", d(2020), None, True), (5, "e", n, None, True)]
+    want = [
+        (1, "a", d(2020), None, True),
+        (2, "B", n, None, True),
+        (2, "b", d(2020), n, False),
+        (2, "old", d(2019), d(2020), False),
+        (3, None, d(2020), n, False),
+        (3, "c", n, None, True),
+        (4, "d", d(2020), None, True),
+        (5, "e", n, None, True),
+    ]
     assert got == sorted(want, key=repr)
 
 
@@ -221,7 +295,13 @@ def test_scd2_keys(spark):
     d = lambda y: date(y, 1, 1)
     kind = "k int, v string, start_date date, end_date date, is_current boolean"
     cur = spark.createDataFrame([(1, "a", d(2020), None, True), (None, "n", d(2020), None, True)], kind)
-    go = lambda inc, c=cur: run(spark, "scd2", {"current": "c", "incoming": "i", "key_columns": ["k"], "track_columns": ["v"]}, c=c, i=spark.createDataFrame(inc, "k int, v string"))
+    go = lambda inc, c=cur: run(
+        spark,
+        "scd2",
+        {"current": "c", "incoming": "i", "key_columns": ["k"], "track_columns": ["v"]},
+        c=c,
+        i=spark.createDataFrame(inc, "k int, v string"),
+    )
     assert rows(go([(None, "n"), (1, "a")])) == rows(cur)
     twice = go([(None, "m")])
     assert rows(go([(None, "m")], twice)) == rows(twice) and twice.where("is_current").count() == 2
@@ -233,7 +313,13 @@ def test_scd2_keys(spark):
 def test_merge_spreads_inserts(spark):
     """Rows of the source alone aren't one window partition."""
     t, s = spark.range(900).selectExpr("id", "id AS v"), spark.range(100, 50_900).selectExpr("id", "-id AS v")
-    p = {"target": "t", "source": "s", "on": ["t.id = s.id"], "when_matched": [{"action": "update", "star": True}], "when_not_matched": [{"action": "insert", "star": True}]}
+    p = {
+        "target": "t",
+        "source": "s",
+        "on": ["t.id = s.id"],
+        "when_matched": [{"action": "update", "star": True}],
+        "when_not_matched": [{"action": "insert", "star": True}],
+    }
     df = run(spark, "merge", p, t=t, s=s)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
@@ -244,8 +330,17 @@ def test_merge_spreads_inserts(spark):
 
 
 def test_merge(spark):
-    t, s = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "id int, v int"), spark.createDataFrame([(2, 20), (3, None), (9, 90)], "id int, v int")
-    p = {"target": "t", "source": "s", "on": ["t.id = s.id"], "when_matched": [{"action": "delete", "condition": "s.v IS NULL"}, {"action": "update", "set": {"v": "t.v + s.v"}}], "when_not_matched": [{"action": "insert", "star": True}]}
+    t, s = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "id int, v int"), spark.createDataFrame(
+        [(2, 20), (3, None), (9, 90)],
+        "id int, v int",
+    )
+    p = {
+        "target": "t",
+        "source": "s",
+        "on": ["t.id = s.id"],
+        "when_matched": [{"action": "delete", "condition": "s.v IS NULL"}, {"action": "update", "set": {"v": "t.v + s.v"}}],
+        "when_not_matched": [{"action": "insert", "star": True}],
+    }
     assert rows(run(spark, "merge", p, t=t, s=s)) == [(1, 1), (2, 22), (9, 90)]
     with pytest.raises(Exception, match="several source rows"):
         run(spark, "merge", p, t=t, s=s.union(s)).collect()
@@ -310,7 +405,15 @@ def server():
 def test_enrich(spark, server):
     url, seen = server
     df = spark.createDataFrame([("a",), ("a",), ("c",), (None,), ("b",)], "k string")
-    p = {"from": "t", "url": url + "${keyColumn}", "key_column": "k", "response_column": "r", "max_retries": 2, "on_error": "null", "parallel": 1}
+    p = {
+        "from": "t",
+        "url": url + "${keyColumn}",
+        "key_column": "k",
+        "response_column": "r",
+        "max_retries": 2,
+        "on_error": "null",
+        "parallel": 1,
+    }
     assert rows(run(spark, "enrich", p, t=df)) == sorted([("a", "<a>"), ("a", "<a>"), ("c", "<c>"), (None, None), ("b", None)], key=repr)
     assert seen.count("/x/a") == 1 and seen.count("/x/b") == 1 and seen.count("/x/c") == 2
     assert run(spark, "enrich", {**p, "on_error": "skip"}, t=df).count() == 4

@@ -69,7 +69,9 @@ output:
 def test_document_runs(spark, folder):
     run = etl(spark, DOCUMENT, {"DIR": str(folder)})
     assert run.written == ["output:0:by_place", "output:1:first"]
-    assert {(r.town, r.n) for r in spark.read.parquet(f"{folder}/out/by_place").collect()} == {(t, sum(x == h for _, x, _ in FLEET)) for h, t in HARBOURS.items()}
+    assert {
+        (r.town, r.n) for r in spark.read.parquet(f"{folder}/out/by_place").collect()
+    } == {(t, sum(x == h for _, x, _ in FLEET)) for h, t in HARBOURS.items()}
     first = spark.read.json(f"{folder}/out/first")
     assert first.count() == 5 and sorted(r.fee for r in first.collect()) == sorted(2.5 * m for m in LENGTHS[:5])
 
@@ -117,18 +119,31 @@ def test_waves():
 
 def test_explain():
     text = explain(parse(DOCUMENT.replace("${DIR}", "x")))
-    for part in ("--- Inputs ---", "--- Transformations ---", "--- Outputs ---", "joined = JOIN <- boats, places (2 inputs)", "Execution waves: 5", "Total: 9 assets"):
+    for part in (
+        "--- Inputs ---",
+        "--- Transformations ---",
+        "--- Outputs ---",
+        "joined = JOIN <- boats, places (2 inputs)",
+        "Execution waves: 5",
+        "Total: 9 assets",
+    ):
         assert part in text, text
 
 
 def test_shared_assets():
-    p = parse("input: [{name: i, format: csv, path: p}]\ntransformation: [{name: a, where: {from: i, filter: x}}, {name: b, limit: {from: a, count: 1}}]\noutput: [{name: a, format: csv, path: q}, {name: b, format: csv, path: r}]")
+    p = parse(
+        "input: [{name: i, format: csv, path: p}]\ntransformation: [{name: a, where: {from: i, filter: x}}, {name: b, "
+        "limit: {from: a, count: 1}}]\noutput: [{name: a, format: csv, path: q}, {name: b, format: csv, path: r}]"
+    )
     assert shared(p) == {"a"}
 
 
 def test_split_routes_nulls_to_the_fail_side(spark, tmp_path):
     spark.createDataFrame([(1,), (5,), (None,)], "v int").write.parquet(str(tmp_path / "t"))
-    p = parse(f"input: [{{name: t, format: parquet, path: {tmp_path}/t}}]\ntransformation: [{{name: s, split: {{from: t, condition: v > 2}}}}]")
+    p = parse(
+        f"input: [{{name: t, format: parquet, path: {tmp_path}/t}}]\ntransformation: [{{name: s, split: {{from: t, "
+        f"condition: v > 2}}}}]"
+    )
     from tributary.operators import Context
 
     frames = planned(spark, p, Context(spark))
@@ -173,11 +188,21 @@ def test_files(spark, folder, tmp_path):
 
 def test_other_origins_and_hooks_from_outside_are_refused(spark, folder):
     store = JobStore(spark, workers=1)
-    for options, origin, code in ((({}), "http://evil.test", 403), ({"origin": "http://own.test"}, "http://own.test", 202), ({"hooks": False}, None, 400), ({}, None, 202)):
+    for options, origin, code in (
+        (({}), "http://evil.test", 403),
+        ({"origin": "http://own.test"}, "http://own.test", 202),
+        ({"hooks": False}, None, 400),
+        ({}, None, 202),
+    ):
         server = serve(store, **options)
         Thread(target=server.serve_forever, daemon=True).start()
         body = json.dumps({"yaml": DOCUMENT + 'hooks: {pre: ["true"]}\n', "variables": {"DIR": str(folder), "OUT": "origins"}}).encode()
-        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}/api/jobs", body, {"Origin": origin} if origin else {}, method="POST")
+        request = urllib.request.Request(
+            f"http://127.0.0.1:{server.server_port}/api/jobs",
+            body,
+            {"Origin": origin} if origin else {},
+            method="POST",
+        )
         try:
             with urllib.request.urlopen(request) as a:
                 assert (a.status, a.headers["Access-Control-Allow-Origin"]) == (code, options.get("origin"))
@@ -203,7 +228,10 @@ def test_command_line(spark, folder, tmp_path, capsys):
 
 
 def test_freshness_compares_points_in_time(spark):
-    df = spark.sql("SELECT timestamp '2024-01-01 12:00:00+05:00' AS at, timestamp_ntz '2024-01-01 07:00:00' AS plain, date '2024-01-01' AS day, '2024-01-01 07:00:00' AS text")
+    df = spark.sql(
+        "SELECT timestamp '2024-01-01 12:00:00+05:00' AS at, timestamp_ntz '2024-01-01 07:00:00' AS plain, date "
+        "'2024-01-01' AS day, '2024-01-01 07:00:00' AS text"
+    )
     checks = lambda age: [{"type": "freshness", "column": c, "max_age": age} for c in ("at", "plain", "text")]
     for now in (datetime(2024, 1, 1, 8), datetime.fromisoformat("2024-01-01T13:00:00+05:00")):
         for age, good in (("1h", True), ("59m", False)):
@@ -212,7 +240,10 @@ def test_freshness_compares_points_in_time(spark):
 
 
 def test_overwriting_an_input_is_refused(spark, folder):
-    text = f"input: [{{name: t, format: csv, path: {folder}/boats.csv}}]\noutput: [{{name: t, format: csv, path: {folder}/boats.csv, mode: overwrite}}]"
+    text = (
+        f"input: [{{name: t, format: csv, path: {folder}/boats.csv}}]\noutput: [{{name: t, format: csv, path: "
+        f"{folder}/boats.csv, mode: overwrite}}]"
+    )
     with pytest.raises(PipelineError, match="overwritten while it is read"):
         etl(spark, text)
 
@@ -223,7 +254,11 @@ def test_jobs_over_http(spark, folder):
     Thread(target=server.serve_forever, daemon=True).start()
 
     def call(method, path, body=None):
-        r = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", json.dumps(body).encode() if body is not None else None, method=method)
+        r = urllib.request.Request(
+            f"http://127.0.0.1:{server.server_port}{path}",
+            json.dumps(body).encode() if body is not None else None,
+            method=method,
+        )
         try:
             with urllib.request.urlopen(r) as a:
                 return a.status, json.loads(a.read())
@@ -235,7 +270,11 @@ def test_jobs_over_http(spark, folder):
     assert call("POST", "/api/validate", body) == (200, {"valid": True})
     assert "JOIN" in call("POST", "/api/explain", body)[1]["plan"]
     assert call("POST", "/api/explain", {"yaml": "x"})[0] == 400
-    assert call("POST", "/api/inspect", {"format": "csv", "path": f"{folder}/boats.csv", "options": {"header": "true"}})[1]["rows"] == len(FLEET)
+    assert call(
+        "POST",
+        "/api/inspect",
+        {"format": "csv", "path": f"{folder}/boats.csv", "options": {"header": "true"}},
+    )[1]["rows"] == len(FLEET)
     code, job = call("POST", "/api/jobs", body)
     assert code == 202 and call("GET", f"/api/jobs/{job['id']}/wait?timeout=60")[1]["status"] == COMPLETED
     failing = {"yaml": DOCUMENT.replace("boats.csv", "none.csv"), "variables": body["variables"]}
@@ -252,7 +291,10 @@ def test_jobs_over_http(spark, folder):
 
 
 def test_quality(spark):
-    df = spark.createDataFrame([(1, "a", 5.0, datetime(2024, 1, 1)), (2, "b", None, datetime(2024, 1, 2)), (2, None, 7.0, None), (4, "zz", 9.0, None)], "id int, s string, v double, at timestamp_ntz")
+    df = spark.createDataFrame(
+        [(1, "a", 5.0, datetime(2024, 1, 1)), (2, "b", None, datetime(2024, 1, 2)), (2, None, 7.0, None), (4, "zz", 9.0, None)],
+        "id int, s string, v double, at timestamp_ntz",
+    )
     ref = spark.createDataFrame([(1,), (2,), (2,)], "id int")
     checks = [
         ({"type": "completeness", "column": "v", "threshold": 0.7}, True, 0.75),
@@ -280,7 +322,13 @@ def test_quality(spark):
         assert r.passed is passed, (c, r)
         assert metric is None or abs(r.metric - metric) < 1e-9, (c, r)
     assert report.has_errors and report.results[1].severity == "warning"
-    empty = run_suites([{"target": "none", "checks": [{"type": "completeness", "column": "v"}]}, {"target": "t", "filter": "id = 4", "checks": [{"type": "volume", "max": 1}]}], frames)
+    empty = run_suites(
+        [
+            {"target": "none", "checks": [{"type": "completeness", "column": "v"}]},
+            {"target": "t", "filter": "id = 4", "checks": [{"type": "volume", "max": 1}]},
+        ],
+        frames,
+    )
     assert [r.passed for r in empty.results] == [True, True] and not empty.has_errors
     soft = {"target": "t", "escalate": 1, "checks": [{"type": "completeness", "column": "v", "severity": "warning"}]}
     assert run_suites([soft], frames).has_errors
@@ -288,11 +336,20 @@ def test_quality(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = [(1, datetime(2024, 1, 1, 0, 0), 1.0), (1, datetime(2024, 1, 1, 0, 4), 2.0), (2, datetime(2024, 1, 1, 0, 7), -1.0), (1, datetime(2024, 1, 1, 0, 9), 4.0), (9, datetime(2024, 1, 2), 0.5)]
+    rows = [
+        (1, datetime(2024, 1, 1, 0, 0), 1.0),
+        (1, datetime(2024, 1, 1, 0, 4), 2.0),
+        (2, datetime(2024, 1, 1, 0, 7), -1.0),
+        (1, datetime(2024, 1, 1, 0, 9), 4.0),
+        (9, datetime(2024, 1, 2), 0.5),
+    ]
     spark.createDataFrame(rows, "k int, at timestamp, v double").coalesce(1).write.parquet(str(tmp_path / "in"))
     names = spark.createDataFrame([(1, "one"), (2, "two"), (9, "nine")], "key int, name string")
     stream = read_stream(spark, "parquet", "k int, at timestamp, v double", str(tmp_path / "in"))
-    steps = [("where", {"from": "stream", "filter": "v > 0"}), ("join", {"left": "stream", "right": [{"name": "names", "on": ["stream.k = names.key"]}]})]
+    steps = [
+        ("where", {"from": "stream", "filter": "v > 0"}),
+        ("join", {"left": "stream", "right": [{"name": "names", "on": ["stream.k = names.key"]}]}),
+    ]
     out = windowed(plan_stream(steps, stream, names=names), "at", ["sum(v) AS total"], "5 minutes", by=["name"], late="1 minute")
     write_stream(out, "parquet", str(tmp_path / "cp"), str(tmp_path / "out")).awaitTermination(90)
     got = {(r.name, r.window_start.minute, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.name != "nine"}
